@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from glossweave.functions.session import table
-from glossweave.llm import decontaminate, license_scan, packing, token_orc
+from glossweave.llm import decontaminate, license_scan, packing, token_orc, topk, toxicity
 from glossweave.llm.tokenize import vocabulary
 
 
@@ -17,13 +17,22 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_decontamination, op7_license_scan, op10_token_orc)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_decontamination, op5_toxicity, op7_license_scan, op8_exact_topk, op10_token_orc)}
 ORACLES: dict[str, str] = {}

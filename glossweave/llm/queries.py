@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from glossweave.functions.session import table
-from glossweave.llm import decontaminate, license_scan, packing, token_orc, topk, toxicity
+from glossweave.llm import decontaminate, license_scan, packing, quality, token_orc, topk, toxicity
 from glossweave.llm.tokenize import vocabulary
 
 
@@ -22,6 +22,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    found = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return found.selectExpr("doc_id", "__host as host", "__path as path", "__p as classifier", "__host_posterior as host_posterior", "__path_posterior as path_posterior", "__score as score", "__keep as keep")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("matches")
 
@@ -34,5 +40,5 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_decontamination, op5_toxicity, op7_license_scan, op8_exact_topk, op10_token_orc)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_decontamination, op5_toxicity, op6_quality, op7_license_scan, op8_exact_topk, op10_token_orc)}
 ORACLES: dict[str, str] = {}

@@ -49,8 +49,9 @@ def measures(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
     same = np.zeros(len(h), bool)
     same[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
+    inside = np.flatnonzero(doc[: max(0, len(h) - 2)] == doc[2:])  # triples within one text
     out[:, len(_CLASSES) :] = np.stack(
-        [np.log1p(np.diff(offs)), np.log1p(n_words), np.bincount(doc, weights=e - s, minlength=n) / some, np.bincount(doc, weights=same, minlength=n) / some, _distinct(h, doc, n) / some, n_words / lines, _distinct(T.ngrams(h, 3), doc[:-2][: max(0, len(h) - 2)], n) / some], axis=1
+        [np.log1p(np.diff(offs)), np.log1p(n_words), np.bincount(doc, weights=e - s, minlength=n) / some, np.bincount(doc, weights=same, minlength=n) / some, _distinct(h, doc, n) / some, n_words / lines, _distinct(T.ngrams(h, 3)[inside], doc[inside], n) / some], axis=1
     )
     return out
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glossweave.functions.session import shared_dir, shards
+from glossweave.functions.session import shared_dir, shards, stored
 from glossweave.llm.packing import crcs, encoded
 
 
@@ -57,7 +57,7 @@ def digest(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("file"), b.column("row"), b.column("doc_id"), pa.array(np.diff(at)), pa.array(crcs(values, at[:-1], at[1:]))], ["file", "row", "doc_id", "n_tokens", "ids_crc32"])
 
     per = rows.select("file", "row", "doc_id", "ids").mapInArrow(sizes, f"file string, row long, doc_id {kind}, n_tokens long, ids_crc32 long")
-    per = per.withColumn("upto", F.sum("n_tokens").over(Window.partitionBy("file").orderBy("row")))
+    per = stored(per, "sizes").withColumn("upto", F.sum("n_tokens").over(Window.partitionBy("file").orderBy("row")))
     files = per.groupBy("file").agg(F.max("upto").alias("n"))  # one row a file
     files = files.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
     return per.join(files, "file").select("doc_id", (F.col("before") + F.col("upto") - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32")

@@ -1,9 +1,10 @@
 """Token ids by the tokenizers library, fast on whole columns.
 
-Both vocabularies split a text into pieces before they merge, and no piece holds a space after another character, so
-the parts between spaces (each with its leading space) encode on their own. Each part is looked up once and its ids kept
-in a bounded table of the process; a text in which white space stands before a space is encoded whole, since there runs
-of white space could form one piece. Both ways give the library's ids for the whole text.
+Both vocabularies split a text into pieces before they merge. Where white space is dropped, the parts between white
+space encode on their own, lower-cased beforehand as the library does. Elsewhere no piece holds a space after another
+character, so the parts between spaces (each with its leading space) do; a text in which white space stands before a
+space is encoded whole, since there runs of white space could form one piece. Each part is looked up once and its ids
+kept in a bounded table of the process. All ways give the library's ids for the whole text.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import os
 import re
 from collections.abc import Iterator
 from itertools import groupby
+from unicodedata import is_normalized
 
 import numpy as np
 
@@ -22,7 +24,8 @@ KEEP = 600_000
 #: Parts encoded in one call.
 TOGETHER = 8192
 _RUN = re.compile(r"\s ")
-_SPACE = re.compile(r"\s+")
+#: Characters that Python takes as white space, or whose lower case hangs on their neighbours, otherwise than the library.
+_ODD = re.compile("[\x1c-\x1f\u03a3]")
 _open: dict[str, "Encoder"] = {}
 
 
@@ -33,6 +36,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Codes(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -48,25 +59,25 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at = Codes()
         self.ids = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 16, np.int64)
         self.known = self.used = 0
 
     def _size(self, part: str) -> int:
         """Bytes of all tokens of a part."""
-        if not self.drops_space:
-            return len(part.encode())
         if part.isascii():
-            return len(part.encode().translate(None, b" \t\n\v\f\r"))
-        return len(_SPACE.sub("", self.tokenizer.normalizer.normalize_str(part)).encode())
+            return len(part)
+        if self.drops_space and not is_normalized("NFC", part):
+            part = self.tokenizer.normalizer.normalize_str(part)
+        return len(part.encode())
 
     def _together(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each part) of parts encoded as one text, cut by the bytes that tokens stand for.
 
         If a part's end is not a token's end there, each part is encoded for itself."""
-        if all(p[0] == " " for p in parts):
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids, np.uint32)
+        if self.drops_space or all(p[0] == " " for p in parts):
+            ids = np.array(self.tokenizer.encode_batch_fast([("" if not self.drops_space else " ").join(parts)], add_special_tokens=False)[0].ids, np.uint32)
             reach = np.concatenate([[0], np.cumsum(self.bytes[ids])])
             ends = np.cumsum([self._size(p) for p in parts])
             at = np.searchsorted(reach, ends)
@@ -102,25 +113,29 @@ class Encoder:
         counts = np.zeros(len(texts), np.int64)
         whole = []
         for i, t in enumerate(texts):
-            if self.drops_space and t.isascii():
-                t = t.lower()  # as its normalizer does; fewer distinct parts
-            if "\x01" in t or _RUN.search(t):
+            if self.drops_space:
+                if _ODD.search(t):
+                    whole.append(i)
+                    continue
+                p = t.lower().split()
+            elif "\x01" in t or _RUN.search(t):
                 whole.append(i)
-            elif t:
+                continue
+            else:
                 p = t.replace(" ", "\x01 ").split("\x01")
                 if p[0]:
                     heads.append(p[0])
                 else:
                     del p[0]
-                counts[i] = len(p)
-                parts += p
+            counts[i] = len(p)
+            parts += p
         if len(self.at) > KEEP:
             self.clear()
         at = self.at
         known = len(at)
         for p in heads:  # these have no leading space; first, so that they stand together
-            at.setdefault(p, len(at))
-        codes = np.fromiter((at.setdefault(p, len(at)) for p in parts), np.int64, len(parts))
+            at[p]
+        codes = np.fromiter(map(at.__getitem__, parts), np.int64, len(parts))
         if len(at) > known:
             self._add(_tail(at, len(at) - known))
         start = self.start

@@ -89,41 +89,40 @@ class Field:
     def fit(self, texts: list[str], toxic: np.ndarray, odds: float, rounds: int = 60) -> None:
         """odds: how much more a clean row of the sample stands for than a toxic one."""
         col = pa.array(texts, pa.large_string())
-        parts = [(i, *tokens(d, o)) for i, _, d, o in T.texts(col)]
-        doc = np.concatenate([i + np.repeat(np.arange(len(f) - 1), np.diff(f)) for i, _, _, f, _ in parts])
-        kinds = [np.concatenate([p[4][k] for p in parts]) for k in range(1 + len(PREFIXES))]
         n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-        found, lift = [], []
-        for h in kinds:
-            pairs = _pairs(h, doc)
-            u, inverse = np.unique(pairs[0], return_inverse=True)
-            c1 = np.bincount(inverse, weights=toxic[pairs[1]], minlength=len(u))
-            c = np.bincount(inverse, minlength=len(u))
-            lo = np.log((c1 + 0.5) / (n1 + 1)) - np.log((c - c1 + 0.5) / (n0 + 1))
-            keep = (c1 >= SEEN) & (lo >= LIFT) & (u != 0)
-            found.append(u[keep])
-            lift.append(lo[keep])
-        found, lift = np.concatenate(found), np.concatenate(lift)
-        self.table, at = np.unique(found, return_index=True)
+        # documents of either kind that have a feature, counted slice by slice
+        totals: list[dict[int, np.ndarray]] = []
+        for k in range(1 + len(PREFIXES)):
+            seen = [(u, n) for i, _, d, o in T.texts(col) for u, n in [_documents(d, o, k, toxic[i:])]]
+            u, inverse = np.unique(np.concatenate([u for u, _ in seen]), return_inverse=True)
+            counts = np.stack([np.bincount(inverse, weights=np.concatenate([n[:, c] for _, n in seen]), minlength=len(u)) for c in (0, 1)], axis=1)
+            lift = np.log((counts[:, 1] + 0.5) / (n1 + 1)) - np.log((counts[:, 0] + 0.5) / (n0 + 1))
+            totals.append(u[(counts[:, 1] >= SEEN) & (lift >= LIFT) & (u != 0)])
+        self.table = np.unique(np.concatenate(totals))
         self.weight = np.zeros(len(self.table))
         if not len(self.table):
             return
-        features = self.known(kinds)
-        tag = (features >= 0).any(axis=0) & (toxic[doc] == 1)
-        # windows: those around toxic tokens first, the rest spread over the sample
-        start = np.flatnonzero(np.diff(doc, prepend=-1))
-        at = np.arange(len(doc)) - start[doc_rank(doc)]
-        heads = np.flatnonzero(at % WINDOW == 0)
-        size = np.diff(np.append(heads, len(doc)))
-        hot = np.add.reduceat((features >= 0).any(axis=0).astype(int), heads) > 0
+        # windows with known features, and as many others, spread over the sample
         rng = np.random.default_rng(5)
-        pick = [rng.permutation(np.flatnonzero(x))[: WINDOWS // 2] for x in (hot, ~hot)]
-        rows = np.concatenate(pick)
-        index = np.minimum(heads[rows][:, None] + np.arange(WINDOW), len(doc) - 1)
-        mask = np.arange(WINDOW) < size[rows][:, None]
-        gold = tag[index] & mask
-        flat = features[:, index]
-        last = size[rows] - 1
+        hot, cold = [], []
+        for i, _, d, o in T.texts(col):
+            first, features = (x := tokens(d, o))[2], self.known(x[3])
+            doc = np.repeat(np.arange(len(o) - 1), np.diff(first))
+            heads = np.flatnonzero((np.arange(len(doc)) - first[doc]) % WINDOW == 0)
+            size = np.diff(np.append(heads, len(doc)))
+            some = np.add.reduceat((features >= 0).any(axis=0).astype(int), heads) > 0 if len(heads) else np.zeros(0, bool)
+            for kept, want in ((hot, True), (cold, False)):
+                rows = rng.permutation(np.flatnonzero(some == want))
+                rows = rows if want else rows[: 1 + WINDOWS * len(d) // max(1, 2 * col.nbytes)]
+                index = np.minimum(heads[rows][:, None] + np.arange(WINDOW), max(0, len(doc) - 1))
+                kept.append((features[:, index].astype(np.int32), size[rows], toxic[i + doc[heads[rows]]] == 1))
+        flat, size, bad = (np.concatenate([x[k] for x in hot + cold], axis=1 if k == 0 else 0) for k in range(3))
+        n_hot = sum(len(x[1]) for x in hot)
+        rows = np.concatenate([rng.permutation(n_hot)[: WINDOWS // 2], np.arange(n_hot, len(size))])
+        flat, size, bad = flat[:, rows], size[rows], bad[rows]
+        mask = np.arange(WINDOW) < size[:, None]
+        gold = (flat >= 0).any(axis=0) & bad[:, None] & mask
+        last = size - 1
         params = np.concatenate([np.zeros(len(self.table)), [-3.0], np.zeros(4)])
         m1, m2 = np.zeros_like(params), np.zeros_like(params)
         n = len(rows)
@@ -150,7 +149,7 @@ class Field:
         x = np.zeros((len(texts), 2))
         for i, j, d, o in T.texts(col):
             x[i:j] = self.summaries(d, o)[0]
-        self.curve = _logistic(x, toxic.astype(float), np.where(toxic == 1, 1.0, odds))
+        self.curve = _logistic(x, toxic.astype(float), np.where(toxic == 1, 1.0, odds), ridge=1.0)
 
     def summaries(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(what the curve takes of each text; text, start byte, end byte, marginal of each word with known features)."""
@@ -210,9 +209,13 @@ class Field:
         return 1 / (1 + np.exp(-(x @ self.curve[:-1] + self.curve[-1]).clip(-30, 30)))
 
 
-def doc_rank(doc: np.ndarray) -> np.ndarray:
-    """The number, from 0, of each word's document among those that have words."""
-    return np.cumsum(np.diff(doc, prepend=doc[0] if len(doc) else 0) != 0)
+def _documents(data: np.ndarray, offs: np.ndarray, kind: int, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(features of one kind, how many clean and toxic documents have each) in a slice."""
+    _, _, first, kinds = tokens(data, offs)
+    h, doc = _pairs(kinds[kind], np.repeat(np.arange(len(offs) - 1), np.diff(first)))
+    u, inverse = np.unique(h, return_inverse=True)
+    bad = np.bincount(inverse, weights=toxic[doc], minlength=len(u))
+    return u, np.stack([np.bincount(inverse, minlength=len(u)) - bad, bad], axis=1)
 
 
 def _pairs(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

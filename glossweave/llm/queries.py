@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from glossweave.functions.session import table
-from glossweave.llm import decontaminate, license_scan, packing, quality, token_orc, topk, toxicity
+from glossweave.llm import decontaminate, jaccard, license_scan, packing, quality, token_orc, topk, toxicity
 from glossweave.llm.tokenize import vocabulary
 
 
@@ -36,9 +36,13 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents"))
+
+
 def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_decontamination, op5_toxicity, op6_quality, op7_license_scan, op8_exact_topk, op10_token_orc)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_decontamination, op5_toxicity, op6_quality, op7_license_scan, op8_exact_topk, op9_ngram_jaccard, op10_token_orc)}
 ORACLES: dict[str, str] = {}

@@ -21,7 +21,7 @@ BITS = 48
 
 
 def pack(values: np.ndarray, counts: np.ndarray | None = None) -> bytes:
-    """Sorted distinct values below 2**BITS as byte-aligned differences, and the counts that are not 1."""
+    """Sorted distinct values as byte-aligned differences, and their counts: a byte each, or only those that are not 1."""
     n = len(values)
     d = np.diff(values, prepend=np.uint64(0))
     base = int(d[0]) if n else 0
@@ -29,21 +29,23 @@ def pack(values: np.ndarray, counts: np.ndarray | None = None) -> bytes:
         d[0] = 0
     width = max(1, (int(d.max()).bit_length() + 7) // 8) if n else 1
     body = d.astype("<u8").view(np.uint8).reshape(n, 8)[:, :width].tobytes()
-    odd = np.flatnonzero(counts != 1).astype("<u4") if counts is not None else np.zeros(0, "<u4")
-    more = counts[odd].astype("<u4") if counts is not None else np.zeros(0, "<u4")
-    return np.array([n, width, base, len(odd)], "<u8").tobytes() + odd.tobytes() + more.tobytes() + body
+    counts = np.ones(n, np.int64) if counts is None else counts
+    dense = np.count_nonzero(counts != 1) > n // 8
+    usual = np.minimum(counts, 255) if dense else np.ones(n, np.int64)
+    odd = np.flatnonzero(counts != usual).astype("<u4")
+    return np.array([n, width, base, len(odd), dense], "<u8").tobytes() + odd.tobytes() + counts[odd].astype("<u8").tobytes() + body + (usual.astype(np.uint8).tobytes() if dense else b"")
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(values, counts)."""
-    n, width, base, k = np.frombuffer(blob, "<u8", 4).tolist()
-    odd, more = np.frombuffer(blob, "<u4", k, 32), np.frombuffer(blob, "<u4", k, 32 + 4 * k)
+    n, width, base, k, dense = np.frombuffer(blob, "<u8", 5).tolist()
+    odd, more = np.frombuffer(blob, "<u4", k, 40), np.frombuffer(blob, "<u8", k, 40 + 4 * k)
     d = np.zeros((n, 8), np.uint8)
-    d[:, :width] = np.frombuffer(blob, np.uint8, n * width, 32 + 8 * k).reshape(n, width)
+    d[:, :width] = np.frombuffer(blob, np.uint8, n * width, 40 + 12 * k).reshape(n, width)
     d = d.view("<u8").ravel()
     if n:
         d[0] = base
-    counts = np.ones(n, np.int64)
+    counts = np.frombuffer(blob, np.uint8, n, 40 + 12 * k + n * width).astype(np.int64) if dense else np.ones(n, np.int64)
     counts[odd] = more
     return np.cumsum(d, dtype=np.uint64), counts
 
@@ -58,22 +60,25 @@ def shard_count(docs: DataFrame) -> int:
 
 
 def sharded(docs: DataFrame, *columns: Column | str) -> DataFrame:
-    """doc_id, text and more, dealt by a hash of doc_id; ``shard`` says to which shard each row belongs."""
+    """doc_id, text and more, dealt by a hash of doc_id; ``__shard`` says to which shard each row belongs."""
     n = shard_count(docs)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text"), *columns, F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("shard")).repartition(shards(docs.sparkSession), "shard")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), *columns, F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("__shard")).repartition(shards(docs.sparkSession), "__shard")
 
 
-def bounds(n: int) -> np.ndarray:
-    """Upper ends of n equal ranges of values."""
-    return np.array([((k + 1) << BITS) // n for k in range(n)], np.uint64)
+def bounds(n: int, bits: int = BITS) -> np.ndarray:
+    """Ends of n equal ranges of values: first values beyond them or, of 64 bits, last values (which end a run of 2**32)."""
+    if bits == 64:
+        return np.array([((((k + 1) << 32) // n) << 32) - 1 for k in range(n)], np.uint64)
+    return np.array([((k + 1) << bits) // n for k in range(n)], np.uint64)
 
 
-def sent(dealt: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.ndarray], parts: int) -> DataFrame:
+def sent(dealt: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.ndarray], parts: int, at_once: int = 1 << 21) -> DataFrame:
     """(part, shard, blob): the distinct hashes of each shard, with the number of texts that have each.
 
-    ``hashes`` takes (bytes, offsets) and gives the hashes of each text's distinct features, all texts in a row."""
+    ``hashes`` takes (bytes, offsets) of about ``at_once`` bytes of texts and gives the hashes of each text's distinct
+    features, all texts in a row."""
     ends = bounds(parts)
-    at_text, at_shard = dealt.columns.index("text"), dealt.columns.index("shard")
+    at_text, at_shard = dealt.columns.index("text"), dealt.columns.index("__shard")
 
     def send(batches: Iterator[pa.RecordBatch]):
         from glossweave.llm import text as T
@@ -82,7 +87,7 @@ def sent(dealt: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.ndarray
         for b in batches:
             own = b.column(at_shard).to_numpy()
             for shard in np.unique(own).tolist():
-                for _, _, data, offs in T.texts(b.column(at_text).filter(pa.array(own == shard))):
+                for _, _, data, offs in T.texts(b.column(at_text).filter(pa.array(own == shard)), at_once):
                     held.setdefault(shard, []).append(upper(hashes(data, offs)))
         for shard in list(held):
             v, c = np.unique(np.concatenate(held.pop(shard)), return_counts=True)

@@ -89,7 +89,7 @@ def _first(dealt: DataFrame, back: DataFrame, n: int, percent: int) -> DataFrame
         return pa.table({"doc_id": docs["doc_id"], "n_shingles": np.concatenate(size) if size else np.zeros(0, np.int64), "f1": pa.array(f1, pa.int64()), "f2": pa.array(f2, pa.int64()), "prefix": pa.array(prefix, pa.list_(pa.int64())), "members": pa.array(sets, pa.binary())})
 
     schema = f"doc_id {kind.simpleString()}, n_shingles long, f1 long, f2 long, prefix array<long>, members binary"
-    return dealt.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(one, schema)
+    return dealt.groupBy("__shard").cogroup(back.groupBy("shard")).applyInArrow(one, schema)
 
 
 def forest(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:

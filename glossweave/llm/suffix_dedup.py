@@ -21,6 +21,10 @@ from glossweave.llm import exchange as X
 from glossweave.llm import text as T
 
 SEED = 18
+#: Bytes of text, and contexts, that a task works on at once.
+SLICE, AT_ONCE = 1 << 19, 8000
+#: The bits of a seed's hash that choose anchors.
+ORDER = np.uint64(((1 << 64) - 1) ^ ((1 << 20) - 1))
 NEVER = np.iinfo(np.int64).max
 
 
@@ -31,27 +35,42 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray
     if n < length:
         return none.astype(np.uint64), none, none, none, none
     p = T.prefix_hash(data)
-    s = np.arange(n - SEED + 1)
-    h = T.mix(T.span_hash(p, s, s + SEED))
-    least, at = h, s
+    with np.errstate(over="ignore"):
+        h = T.mix((p[SEED:] - p[:-SEED]) * T.powers(n, True)[: n - SEED + 1])
+    at = None
+    if n < 1 << 20:  # the place in the low bits, so one minimum finds the least hash and the leftmost of equals
+        least = (h & ORDER) | np.arange(len(h), dtype=np.uint64)
+    else:
+        least, at = h & ORDER, np.arange(len(h))
     reach = 1
-    while reach < w:  # minima over twice as many seeds, the leftmost of equals
+    while reach < w:  # minima over twice as many seeds
         step = min(reach, w - reach)
-        right = least[step:] < least[:-step]
-        least, at = np.where(right, least[step:], least[:-step]), np.where(right, at[step:], at[:-step])
+        if at is None:
+            least = np.minimum(least[step:], least[:-step])
+        else:
+            right = least[step:] < least[:-step]
+            least, at = np.where(right, least[step:], least[:-step]), np.where(right, at[step:], at[:-step])
         reach += step
+    if at is None:
+        at = (least & ~ORDER).view(np.int64)
     room = np.diff(offs) - length + 1
     many = np.maximum(0, room)
-    start = np.repeat(offs[:-1] - np.cumsum(many) + many, many) + np.arange(many.sum())
-    if not len(start):
+    full = np.flatnonzero(many)
+    if not len(full):
         return none.astype(np.uint64), none, none, none, none
-    doc = np.repeat(np.arange(len(room)), many)
-    a = at[start]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(a)) - 1
-    return h[a[first]], a[first], start[first], start[last], doc[first]
+    # a string's anchor differs from the one before it, or the text begins; strings across texts are left out
+    new = np.zeros(n - length + 2, bool)
+    new[1:-1] = at[1:] != at[:-1]
+    inside = np.zeros(n - length + 2, np.int8)
+    inside[offs[full]] += 1
+    inside[offs[full] + many[full]] -= 1
+    valid = np.cumsum(inside, dtype=np.int8).view(bool)
+    new[offs[full]] = True
+    first = np.flatnonzero(new & valid)
+    doc = np.searchsorted(offs, first, "right") - 1
+    last = np.minimum(np.append(first[1:], n), offs[doc] + many[doc]) - 1
+    a = at[first]
+    return h[a], a, first, last, doc
 
 
 def context_hash(p: np.ndarray, position: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -81,7 +100,7 @@ def _contexts(dealt: DataFrame, back: DataFrame, length: int, parts: int) -> Dat
         ids = ids.fill_null(0).to_numpy()
         got: list[list[np.ndarray]] = [[] for _ in range(6)]
         raw: list[bytes] = []
-        for i, _, data, offs in T.texts(docs["text"]):
+        for i, _, data, offs in T.texts(docs["text"], SLICE):
             h, position, first, last, doc = anchors(data, offs, length)
             seed = X.upper(h)
             keep = (X.lookup(seed, known) >= 0) & named[i + doc] if len(h) else np.zeros(0, bool)
@@ -107,7 +126,7 @@ def _contexts(dealt: DataFrame, back: DataFrame, length: int, parts: int) -> Dat
         least, most = np.minimum.reduceat(doc[order], head), np.maximum.reduceat(doc[order], head)
         rows = order[head]
         cut = np.concatenate([[0], np.searchsorted(seed[rows], ends)])
-        shard = docs["shard"][0].as_py()
+        shard = docs["__shard"][0].as_py()
         out: dict[str, list] = {k: [] for k in empty.column_names}
         for part in np.flatnonzero(np.diff(cut)).tolist():
             k = slice(cut[part], cut[part + 1])
@@ -118,7 +137,7 @@ def _contexts(dealt: DataFrame, back: DataFrame, length: int, parts: int) -> Dat
                 out[name].append(x)
         return pa.table(out, empty.schema)
 
-    return dealt.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(one, "part int, shard int, data binary, size binary, left binary, least binary, most binary")
+    return dealt.groupBy("__shard").cogroup(back.groupBy("shard")).applyInArrow(one, "part int, shard int, data binary, size binary, left binary, least binary, most binary")
 
 
 def common(p: np.ndarray, inv: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -240,55 +259,62 @@ def _answers(contexts: DataFrame, length: int) -> DataFrame:
     """(shard, hash, runs, doc): for contexts that have strings of smaller documents, runs of offsets and those documents."""
 
     def one(rows: pa.Table) -> pa.Table:
-        size = [np.frombuffer(b, np.uint8).astype(np.int64) for b in rows["size"].to_pylist()]
+        size, left, least, most, hashes, seed = [], [], [], [], [], []
+        for row in zip(*(rows[c].to_pylist() for c in ("data", "size", "left", "least", "most")), strict=True):
+            own, n, k = np.frombuffer(row[0], np.uint8), np.frombuffer(row[1], np.uint8).astype(np.int64), np.frombuffer(row[2], np.uint8).astype(np.int64)
+            at, p = np.cumsum(n) - n, T.prefix_hash(own)
+            size.append(n), left.append(k), least.append(np.frombuffer(row[3], np.int64)), most.append(np.frombuffer(row[4], np.int64))
+            hashes.append(context_hash(p, at + k, at, at + n)), seed.append(T.span_hash(p, at + k, at + k + SEED))
         shard = np.repeat(rows["shard"].to_numpy(), [len(x) for x in size])
-        size = np.concatenate(size)
+        size, left, least, most, hashes, seed = (np.concatenate(x) for x in (size, left, least, most, hashes, seed))
         data = np.frombuffer(b"".join(rows["data"].to_pylist()), np.uint8)
-        left = np.frombuffer(b"".join(rows["left"].to_pylist()), np.uint8).astype(np.int64)
-        least = np.frombuffer(b"".join(rows["least"].to_pylist()), np.int64)
-        most = np.frombuffer(b"".join(rows["most"].to_pylist()), np.int64)
         begin = np.cumsum(size) - size
-        p = T.prefix_hash(data)
-        hashes = context_hash(p, begin + left, begin, begin + size)
-        seed = T.span_hash(p, begin + left, begin + left + SEED)
         # equal contexts of several shards are one
         order = np.lexsort((hashes, seed))
         new = np.ones(len(order), bool)
         new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (seed[order][1:] != seed[order][:-1])
-        head = np.flatnonzero(new)
-        kind = np.empty(len(order), np.int64)
-        kind[order] = np.cumsum(new) - 1
-        one_doc = np.minimum.reduceat(least[order], head)
-        r = order[head]
+        head = np.append(np.flatnonzero(new), len(order))
+        r, one_doc = order[head[:-1]], np.minimum.reduceat(least[order], head[:-1])
         group = np.cumsum(np.diff(seed[r], prepend=seed[r[0]]) != 0)
-        alone = np.bincount(group)[group] == 1
-        table = np.full((len(r), length - SEED + 1), NEVER)
-        o = np.arange(length - SEED + 1)
-        fits = (left[r][:, None] >= o) & ((size - left)[r][:, None] >= length - o)
-        table[alone] = np.where(fits[alone], one_doc[alone][:, None], NEVER)
-        some = np.flatnonzero(~alone)
-        if len(some):
-            table[some] = smallest(data, begin[r[some]], size[r[some]], left[r[some]], one_doc[some], group[some], length)
-        # contexts for which some document of the shard is later than a string's smallest
-        keep = np.flatnonzero(table.min(axis=1)[kind] < most)
-        out_shard, out_hash, out_runs, out_doc = [], [], [], []
-        m = table[kind[keep]]
-        change = np.ones(m.shape, bool)
-        change[:, 1:] = m[:, 1:] != m[:, :-1]
-        row, col = np.nonzero(change)
-        end = np.append(col[1:], m.shape[1])
-        end[np.append(row[1:] != row[:-1], True)] = m.shape[1]
-        value = m[row, col]
-        use = value < most[keep][row]
-        row, col, end, value = row[use], col[use], end[use], value[use]
-        by = np.argsort(shard[keep][row], kind="stable")
-        row, col, end, value = row[by], col[by], end[by], value[by]
-        s = shard[keep][row]
+        offsets = np.arange(length - SEED + 1)
+        found: list[list[np.ndarray]] = [[] for _ in range(5)]
+        edges = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(r))
+        a = 0
+        while a < len(r):  # seeds by seeds, about AT_ONCE contexts at a time
+            z = edges[max(np.searchsorted(edges, a + AT_ONCE, "right") - 1, np.searchsorted(edges, a, "right"))]
+            k = np.arange(a, z)
+            alone = np.bincount(group[k] - group[a])[group[k] - group[a]] == 1
+            fits = (left[r[k]][:, None] >= offsets) & ((size - left)[r[k]][:, None] >= length - offsets)
+            table = np.where(fits, one_doc[k][:, None], NEVER)
+            some = k[~alone]
+            if len(some):
+                n = size[r[some]]
+                flat = data[np.repeat(begin[r[some]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                table[~alone] = smallest(flat, np.cumsum(n) - n, n, left[r[some]], one_doc[some], group[some], length)
+            # contexts for which some document of the shard is later than a string's smallest
+            member = order[head[a] : head[z]]
+            kind = np.repeat(k - a, np.diff(head[a : z + 1]))
+            keep = table.min(axis=1)[kind] < most[member]
+            member, m = member[keep], table[kind[keep]]
+            change = np.ones(m.shape, bool)
+            change[:, 1:] = m[:, 1:] != m[:, :-1]
+            row, col = np.nonzero(change)
+            end = np.append(col[1:], m.shape[1])
+            end[np.append(row[1:] != row[:-1], True)] = m.shape[1]
+            value = m[row, col]
+            use = value < most[member][row]
+            for x, y in zip(found, (shard[member[row]], hashes[member[row]], col, end, value), strict=True):
+                x.append(y[use])
+            a = z
+        s, h, col, end, value = (np.concatenate(x) for x in found)
+        by = np.argsort(s, kind="stable")
+        s, h, value, runs = s[by], h[by], value[by], np.column_stack([col[by], end[by]]).astype(np.uint8)
         cut = np.append(np.flatnonzero(np.diff(s, prepend=-1)), len(s))
+        out_shard, out_hash, out_runs, out_doc = [], [], [], []
         for a, z in zip(cut[:-1], cut[1:], strict=True):
             out_shard.append(int(s[a]))
-            out_hash.append(hashes[keep[row[a:z]]].tobytes())
-            out_runs.append(np.column_stack([col[a:z], end[a:z]]).astype(np.uint8).tobytes())
+            out_hash.append(h[a:z].tobytes())
+            out_runs.append(runs[a:z].tobytes())
             out_doc.append(value[a:z].tobytes())
         return pa.table({"shard": pa.array(out_shard, pa.int32()), "hash": pa.array(out_hash, pa.binary()), "runs": pa.array(out_runs, pa.binary()), "doc": pa.array(out_doc, pa.binary())})
 
@@ -302,12 +328,11 @@ def dedup(docs: DataFrame, length: int = 50, cleaned: bool = False) -> DataFrame
     ``length`` bytes keep all; rows of one doc_id do not strike out each other; a null doc_id strikes out nothing and keeps
     all; no rows give no rows. Of a character that is cut in two, ``cleaned`` drops the rest.
     """
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "shard")] if cleaned else []
+    others = [c for c in docs.columns if c not in ("doc_id", "text")] if cleaned else []
     parts = X.shard_count(docs)
     dealt = X.sharded(docs, *others)
-    slim = dealt if not others else X.sharded(docs)
-    back = X.shared(X.sent(slim, lambda d, o: _seeds(d, o, length), parts))
-    answers = _answers(_contexts(slim, back, length, parts), length)
+    back = X.shared(X.sent(dealt, lambda d, o: _seeds(d, o, length), parts, SLICE))
+    answers = _answers(_contexts(dealt, back, length, parts), length)
     fields = [docs.schema[c] for c in docs.columns] if cleaned else []
 
     def one(own: pa.Table, found: pa.Table) -> pa.Table:
@@ -320,7 +345,7 @@ def dedup(docs: DataFrame, length: int = 50, cleaned: bool = False) -> DataFrame
         named = ~ids.is_null().to_numpy()
         ids = ids.fill_null(0).to_numpy()
         n_bytes, n_removed, n_spans, sha, kept_text = [], [], [], [], []
-        for i, j, data, offs in T.texts(own["text"]):
+        for i, j, data, offs in T.texts(own["text"], SLICE):
             cover = np.zeros(len(data) + 1, np.int64)
             if len(key) and len(data) >= length:
                 _, position, first, last, doc = anchors(data, offs, length)
@@ -361,4 +386,4 @@ def dedup(docs: DataFrame, length: int = 50, cleaned: bool = False) -> DataFrame
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     schema = kinds if cleaned else f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(one, schema)
+    return dealt.groupBy("__shard").cogroup(answers.groupBy("shard")).applyInArrow(one, schema)

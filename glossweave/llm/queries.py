@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from glossweave.functions.session import table
-from glossweave.llm import decontaminate, jaccard, license_scan, packing, quality, suffix_dedup, token_orc, topk, toxicity
+from glossweave.llm import decontaminate, jaccard, license_scan, lm_score, packing, quality, suffix_dedup, token_orc, topk, toxicity
 from glossweave.llm.tokenize import vocabulary
 
 
@@ -17,6 +17,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,5 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_decontamination, op4_suffix_dedup, op5_toxicity, op6_quality, op7_license_scan, op8_exact_topk, op9_ngram_jaccard, op10_token_orc)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_decontamination, op3_lm_score, op4_suffix_dedup, op5_toxicity, op6_quality, op7_license_scan, op8_exact_topk, op9_ngram_jaccard, op10_token_orc)}
 ORACLES: dict[str, str] = {}

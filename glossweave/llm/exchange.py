@@ -7,6 +7,7 @@ one entry a shard. The range's counter returns to each shard what it needs, in t
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +17,12 @@ from pyspark.sql import functions as F
 
 from glossweave.functions.session import shards
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _libc = None
+
 #: Hashes are exchanged by their upper 48 bits. What shares them counts as shared; a chance match makes work, not errors.
 BITS = 48
 
@@ -50,6 +57,19 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(d, dtype=np.uint64), counts
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts in an order that the reader knows, a byte each, and the large ones apart."""
+    odd = np.flatnonzero(counts >= 255).astype("<u4")
+    return np.array([len(counts), len(odd)], "<u8").tobytes() + odd.tobytes() + counts[odd].astype("<u8").tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def unpack_counts(blob: bytes) -> np.ndarray:
+    n, k = np.frombuffer(blob, "<u8", 2).tolist()
+    out = np.frombuffer(blob, np.uint8, n, 16 + 12 * k).astype(np.int64)
+    out[np.frombuffer(blob, "<u4", k, 16)] = np.frombuffer(blob, "<u8", k, 16 + 4 * k)
+    return out
+
+
 def upper(h: np.ndarray) -> np.ndarray:
     return h >> np.uint64(64 - BITS)
 
@@ -98,6 +118,13 @@ def sent(dealt: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.ndarray
     return dealt.mapInArrow(send, "part int, shard int, blob binary")
 
 
+def trim() -> None:
+    """Gives memory that a group's arrays took back to the system, as its worker goes on with others."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def shared(rows: DataFrame) -> DataFrame:
     """(shard, blob): of each shard's hashes those that at least two texts have, with their number of texts."""
 

@@ -22,7 +22,7 @@ from glossweave.llm import text as T
 
 SEED = 18
 #: Bytes of text, and contexts, that a task works on at once.
-SLICE, AT_ONCE = 1 << 19, 8000
+SLICE, AT_ONCE = 1 << 18, 4000
 #: The bits of a seed's hash that choose anchors.
 ORDER = np.uint64(((1 << 64) - 1) ^ ((1 << 20) - 1))
 NEVER = np.iinfo(np.int64).max
@@ -70,7 +70,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray
     doc = np.searchsorted(offs, first, "right") - 1
     last = np.minimum(np.append(first[1:], n), offs[doc] + many[doc]) - 1
     a = at[first]
-    return h[a], a, first, last, doc
+    return T.mix(~h[a]), a, first, last, doc  # anchors have small hashes; mixed anew, these fall evenly into ranges
 
 
 def context_hash(p: np.ndarray, position: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -118,6 +118,7 @@ def _contexts(dealt: DataFrame, back: DataFrame, length: int, parts: int) -> Dat
             return empty
         seed, hashes, size, left, doc = (np.concatenate(g) for g in got[:5])
         flat = np.concatenate(raw)
+        raw.clear()
         begin = np.cumsum(size) - size
         order = np.lexsort((hashes, seed))
         new = np.ones(len(order), bool)
@@ -135,6 +136,7 @@ def _contexts(dealt: DataFrame, back: DataFrame, length: int, parts: int) -> Dat
             pos = np.repeat(begin[r] - np.cumsum(n) + n, n) + np.arange(n.sum())
             for name, x in (("part", part), ("shard", shard), ("data", flat[pos].tobytes()), ("size", n.astype(np.uint8).tobytes()), ("left", left[r].astype(np.uint8).tobytes()), ("least", least[k].tobytes()), ("most", most[k].tobytes())):
                 out[name].append(x)
+        X.trim()
         return pa.table(out, empty.schema)
 
     return dealt.groupBy("__shard").cogroup(back.groupBy("shard")).applyInArrow(one, "part int, shard int, data binary, size binary, left binary, least binary, most binary")
@@ -260,14 +262,16 @@ def _answers(contexts: DataFrame, length: int) -> DataFrame:
 
     def one(rows: pa.Table) -> pa.Table:
         size, left, least, most, hashes, seed = [], [], [], [], [], []
-        for row in zip(*(rows[c].to_pylist() for c in ("data", "size", "left", "least", "most")), strict=True):
-            own, n, k = np.frombuffer(row[0], np.uint8), np.frombuffer(row[1], np.uint8).astype(np.int64), np.frombuffer(row[2], np.uint8).astype(np.int64)
+        flat = {c: T.utf8(rows[c]) for c in ("data", "size", "left", "least", "most")}
+        for i in range(rows.num_rows):
+            own, n, k, lo, hi = (x[at[i] : at[i + 1]] for x, at in flat.values())
+            n, k = n.astype(np.int64), k.astype(np.int64)
             at, p = np.cumsum(n) - n, T.prefix_hash(own)
-            size.append(n), left.append(k), least.append(np.frombuffer(row[3], np.int64)), most.append(np.frombuffer(row[4], np.int64))
+            size.append(n), left.append(k), least.append(lo.copy().view(np.int64)), most.append(hi.copy().view(np.int64))
             hashes.append(context_hash(p, at + k, at, at + n)), seed.append(T.span_hash(p, at + k, at + k + SEED))
         shard = np.repeat(rows["shard"].to_numpy(), [len(x) for x in size])
         size, left, least, most, hashes, seed = (np.concatenate(x) for x in (size, left, least, most, hashes, seed))
-        data = np.frombuffer(b"".join(rows["data"].to_pylist()), np.uint8)
+        data = flat["data"][0]
         begin = np.cumsum(size) - size
         # equal contexts of several shards are one
         order = np.lexsort((hashes, seed))
@@ -289,8 +293,8 @@ def _answers(contexts: DataFrame, length: int) -> DataFrame:
             some = k[~alone]
             if len(some):
                 n = size[r[some]]
-                flat = data[np.repeat(begin[r[some]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                table[~alone] = smallest(flat, np.cumsum(n) - n, n, left[r[some]], one_doc[some], group[some], length)
+                near = data[np.repeat(begin[r[some]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                table[~alone] = smallest(near, np.cumsum(n) - n, n, left[r[some]], one_doc[some], group[some], length)
             # contexts for which some document of the shard is later than a string's smallest
             member = order[head[a] : head[z]]
             kind = np.repeat(k - a, np.diff(head[a : z + 1]))
@@ -316,6 +320,7 @@ def _answers(contexts: DataFrame, length: int) -> DataFrame:
             out_hash.append(h[a:z].tobytes())
             out_runs.append(runs[a:z].tobytes())
             out_doc.append(value[a:z].tobytes())
+        X.trim()
         return pa.table({"shard": pa.array(out_shard, pa.int32()), "hash": pa.array(out_hash, pa.binary()), "runs": pa.array(out_runs, pa.binary()), "doc": pa.array(out_doc, pa.binary())})
 
     return contexts.groupBy("part").applyInArrow(one, "shard int, hash binary, runs binary, doc binary")
@@ -378,6 +383,7 @@ def dedup(docs: DataFrame, length: int = 50, cleaned: bool = False) -> DataFrame
                     kept_text.append(raw.decode("utf-8", "ignore"))
                 else:
                     sha.append(hashlib.sha256(raw).hexdigest())
+        X.trim()
         if cleaned:
             new = pa.array(kept_text, pa.string(), mask=own["text"].is_null().to_numpy())
             return pa.table([new if f.name == "text" else own[f.name] for f in fields], names=[f.name for f in fields])

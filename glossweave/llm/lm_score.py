@@ -97,20 +97,15 @@ def _sent(dealt: DataFrame, parts: int, pairs: bool) -> DataFrame:
 
 
 def _pairs_back(rows: DataFrame) -> DataFrame:
-    """(shard, blob): totals of those of a shard's pairs that other shards' training texts have as well."""
+    """(part, shard, counts): for each of a shard's pairs of a range, in order, how often other shards' training texts have it."""
 
     def count(group: pa.Table) -> pa.Table:
         parts = [X.unpack(b) for b in group["blob"].to_pylist()]
         v, total = merged(parts)
-        out = []
-        for x, own in parts:
-            t = total[np.searchsorted(v, x)]
-            out.append(X.pack(x[t != own], t[t != own]) if (t != own).any() else None)
-        keep = [i for i, b in enumerate(out) if b]
-        shard = group["shard"].to_pylist()
-        return pa.table({"shard": pa.array([shard[i] for i in keep], pa.int32()), "blob": pa.array([out[i] for i in keep], pa.binary())})
+        out = [X.pack_counts(total[np.searchsorted(v, x)] - own) for x, own in parts]
+        return pa.table({"part": group["part"], "shard": group["shard"], "counts": pa.array(out, pa.binary())})
 
-    return rows.groupBy("part").applyInArrow(count, "shard int, blob binary")
+    return rows.groupBy("part").applyInArrow(count, "part int, shard int, counts binary")
 
 
 def _successors(rows: DataFrame, parts: int) -> DataFrame:
@@ -128,24 +123,26 @@ def _successors(rows: DataFrame, parts: int) -> DataFrame:
 
 
 def _words_back(rows: DataFrame, successors: DataFrame, n_shards: int) -> DataFrame:
-    """(shard, blob, follow, tokens, types): totals of a shard's words and how many successors each has; of every range, to
-    every shard, its number of training tokens and of different ones."""
+    """(part, shard, counts, follow, tokens, types): for each of a shard's words of a range, in order, its total and how many
+    successors it has; of every range, to every shard, its number of training tokens and of different ones."""
 
     def count(group: pa.Table, after: pa.Table) -> pa.Table:
         shard = group["shard"].to_pylist()
         parts = [X.unpack(b) for b in group["blob"].to_pylist()]
         v, total = merged(parts)
         c, follow = merged([X.unpack(b) for b in after["blob"].to_pylist()])
+        at = X.lookup((v >> _HALF) << _HALF, c)
+        follow = np.where(at >= 0, follow[at] if len(c) else 0, 0)
         real = v != BEGIN
         n_tokens, n_types = int(total[real].sum()), int((total[real] > 0).sum())
-        blob, after_blob = [None] * n_shards, [None] * n_shards
+        counts, after_counts = [None] * n_shards, [None] * n_shards
         for s, (x, _) in zip(shard, parts, strict=True):
-            at = X.lookup((x >> _HALF) << _HALF, c)
-            blob[s] = X.pack(x, total[np.searchsorted(v, x)])
-            after_blob[s] = np.where(at >= 0, follow[at] if len(c) else 0, 0).astype("<u4").tobytes()
-        return pa.table({"shard": pa.array(range(n_shards), pa.int32()), "blob": pa.array(blob, pa.binary()), "follow": pa.array(after_blob, pa.binary()), "tokens": pa.array([n_tokens] * n_shards, pa.int64()), "types": pa.array([n_types] * n_shards, pa.int64())})
+            at = np.searchsorted(v, x)
+            counts[s], after_counts[s] = X.pack_counts(total[at]), X.pack_counts(follow[at])
+        part = group["part"][0].as_py() if group.num_rows else 0
+        return pa.table({"part": pa.array([part] * n_shards, pa.int32()), "shard": pa.array(range(n_shards), pa.int32()), "counts": pa.array(counts, pa.binary()), "follow": pa.array(after_counts, pa.binary()), "tokens": pa.array([n_tokens] * n_shards, pa.int64()), "types": pa.array([n_types] * n_shards, pa.int64())})
 
-    return rows.groupBy("part").cogroup(successors.groupBy("part")).applyInArrow(count, "shard int, blob binary, follow binary, tokens long, types long")
+    return rows.groupBy("part").cogroup(successors.groupBy("part")).applyInArrow(count, "part int, shard int, counts binary, follow binary, tokens long, types long")
 
 
 class Automaton:
@@ -182,22 +179,28 @@ def score(docs: DataFrame, mod: int = 7, out: int = 2) -> DataFrame:
     dealt = X.sharded(docs, (fold(mod) == out).alias("held_out"))
     words, pairs = _sent(dealt, n, False), _sent(dealt, n, True)
     none = F.lit(None)
-    back = _words_back(words, _successors(pairs, n), n).union(_pairs_back(pairs).select("shard", "blob", none.cast("binary"), none.cast("long"), none.cast("long")))
+    back = _words_back(words, _successors(pairs, n), n).union(_pairs_back(pairs).select("part", "shard", "counts", none.cast("binary"), none.cast("long"), none.cast("long")))
+    ends = X.bounds(n, 64)
 
     def one(own: pa.Table, got: pa.Table) -> pa.Table:
         is_pair = got["tokens"].is_null().to_numpy() if got.num_rows else np.zeros(0, bool)
-        blobs, follow = got["blob"].to_pylist(), got["follow"].to_pylist()
+        part, counts, follow = got["part"].to_pylist(), got["counts"], got["follow"]
         n_tokens, n_types = (int(np.nansum(got[c].to_numpy())) if got.num_rows else 0 for c in ("tokens", "types"))
-        words = sorted(((*X.unpack(blobs[k]), np.frombuffer(follow[k], "<u4")) for k in np.flatnonzero(~is_pair) if blobs[k]), key=lambda x: int(x[0][0]))
         held = own["held_out"].to_numpy().astype(bool)
         slices = list(T.texts(own["text"]))
-        # pairs: the shard's own counts, and totals where others have them too
-        pairs, count = merged([_counts(data, offs, held[i:j], True) for i, j, data, offs in slices])
+        # the shard's words and pairs in the order in which it sent them, with what the ranges' counters answered
+        pairs, pair_count = merged([_counts(data, offs, held[i:j], True) for i, j, data, offs in slices])
+        cut = np.concatenate([[0], np.searchsorted(pairs, ends, "right")])
         for k in np.flatnonzero(is_pair):
-            v, c = X.unpack(blobs[k])
-            count[np.searchsorted(pairs, v)] = c
-        joined = [np.concatenate([w[k] for w in words]) if words else np.zeros(0, t) for k, t in enumerate((np.uint64, np.int64, np.int64))]
-        auto = Automaton(*joined, pairs, count, n_tokens, n_types)
+            pair_count[cut[part[k]] : cut[part[k] + 1]] += X.unpack_counts(counts[k].as_py())
+        words, count = merged([_counts(data, offs, held[i:j], False) for i, j, data, offs in slices])
+        after = np.zeros(len(words), np.int64)
+        cut = np.concatenate([[0], np.searchsorted(words, ends, "right")])
+        for k in np.flatnonzero(~is_pair):
+            if counts[k].is_valid:
+                count[cut[part[k]] : cut[part[k] + 1]] = X.unpack_counts(counts[k].as_py())
+                after[cut[part[k]] : cut[part[k] + 1]] = X.unpack_counts(follow[k].as_py())
+        auto = Automaton(words, count, after, pairs, pair_count, n_tokens, n_types)
         cols: list[list[np.ndarray]] = [[] for _ in range(5)]
         for i, j, data, offs in slices:
             token, before, doc = tokens(data, offs)

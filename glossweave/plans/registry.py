@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from glossweave.plans import cluster_queries, graph_queries, ingest_queries
+
+QUERIES = ingest_queries.QUERIES | cluster_queries.QUERIES | graph_queries.QUERIES
+ORACLES = ingest_queries.ORACLES | cluster_queries.ORACLES | graph_queries.ORACLES

@@ -8,6 +8,7 @@ one entry a shard. The range's counter returns to each shard what it needs, in t
 from __future__ import annotations
 
 import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -74,15 +75,42 @@ def upper(h: np.ndarray) -> np.ndarray:
     return h >> np.uint64(64 - BITS)
 
 
-def shard_count(docs: DataFrame) -> int:
-    """Twice the partitions: shards fall to partitions by hash, and more of them fall more evenly."""
-    return 2 * shards(docs.sparkSession)
+def labels(n: int) -> list[int]:
+    """n numbers of which each is dealt to another of n partitions, in the partitions' order: Spark deals by Murmur3."""
+    found = np.full(n, -1, np.int64)
+    at = 0
+    while (found < 0).any():
+        k = np.arange(at, at + 8 * n + 64, dtype=np.uint32)
+        part = (_murmur3(k).view(np.int32).astype(np.int64)) % n
+        values, first = np.unique(part, return_index=True)
+        new = found[values] < 0
+        found[values[new]] = k[first[new]]
+        at += len(k)
+    return found.tolist()
+
+
+def _murmur3(k: np.ndarray) -> np.ndarray:
+    """Spark's hash of 32-bit integers: MurmurHash3 of four bytes, with the seed 42."""
+    turn = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+    with np.errstate(over="ignore"):
+        h = turn(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = turn(np.uint32(42) ^ h, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(4)
+        for r, m in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            h = (h ^ (h >> np.uint32(r))) * np.uint32(m)
+        return h ^ (h >> np.uint32(16))
+
+
+def shard_labels(docs: DataFrame) -> list[int]:
+    """One shard a partition."""
+    return labels(shards(docs.sparkSession))
 
 
 def sharded(docs: DataFrame, *columns: Column | str) -> DataFrame:
     """doc_id, text and more, dealt by a hash of doc_id; ``__shard`` says to which shard each row belongs."""
-    n = shard_count(docs)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text"), *columns, F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("__shard")).repartition(shards(docs.sparkSession), "__shard")
+    names = shard_labels(docs)
+    label = F.element_at(F.lit(names), (F.pmod(F.xxhash64("doc_id"), F.lit(len(names))) + 1).cast("int")).cast("int")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), *columns, label.alias("__shard")).repartition(len(names), "__shard")
 
 
 def bounds(n: int, bits: int = BITS) -> np.ndarray:
@@ -92,17 +120,18 @@ def bounds(n: int, bits: int = BITS) -> np.ndarray:
     return np.array([((k + 1) << bits) // n for k in range(n)], np.uint64)
 
 
-def sent(dealt: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.ndarray], parts: int, at_once: int = 1 << 21) -> DataFrame:
+def sent(dealt: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.ndarray], parts: list[int], at_once: int = 1 << 21) -> DataFrame:
     """(part, shard, blob): the distinct hashes of each shard, with the number of texts that have each.
 
     ``hashes`` takes (bytes, offsets) of about ``at_once`` bytes of texts and gives the hashes of each text's distinct
     features, all texts in a row."""
-    ends = bounds(parts)
+    ends, names = bounds(len(parts)), np.array(parts, np.int32)
     at_text, at_shard = dealt.columns.index("text"), dealt.columns.index("__shard")
 
     def send(batches: Iterator[pa.RecordBatch]):
         from glossweave.llm import text as T
 
+        trim()
         held: dict[int, list[np.ndarray]] = {}
         for b in batches:
             own = b.column(at_shard).to_numpy()
@@ -113,13 +142,16 @@ def sent(dealt: DataFrame, hashes: Callable[[np.ndarray, np.ndarray], np.ndarray
             v, c = np.unique(np.concatenate(held.pop(shard)), return_counts=True)
             cut = np.concatenate([[0], np.searchsorted(v, ends)])
             full = np.flatnonzero(np.diff(cut))
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), shard, np.int32)), pa.array([pack(v[cut[p] : cut[p + 1]], c[cut[p] : cut[p + 1]]) for p in full], pa.binary())], ["part", "shard", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[full]), pa.array(np.full(len(full), shard, np.int32)), pa.array([pack(v[cut[p] : cut[p + 1]], c[cut[p] : cut[p + 1]]) for p in full], pa.binary())], ["part", "shard", "blob"])
+        trim()
 
     return dealt.mapInArrow(send, "part int, shard int, blob binary")
 
 
 def trim() -> None:
-    """Gives memory that a group's arrays took back to the system, as its worker goes on with others."""
+    """Gives memory that a group's arrays took, and token tables of another operator, back to the system, as a worker goes on with others."""
+    if tokenize := sys.modules.get("glossweave.llm.tokenize"):
+        tokenize._open.clear()
     pa.default_memory_pool().release_unused()
     if _libc is not None:
         _libc.malloc_trim(0)
@@ -146,6 +178,7 @@ def shared(rows: DataFrame) -> DataFrame:
             k += len(x)
             out.append(pack(x[n > 1], n[n > 1]) if (n > 1).any() else None)
         keep = [i for i, b in enumerate(out) if b]
+        trim()
         return pa.table({"shard": pa.array([shard[i] for i in keep], pa.int32()), "blob": pa.array([out[i] for i in keep], pa.binary())})
 
     return rows.groupBy("part").applyInArrow(count, "shard int, blob binary")

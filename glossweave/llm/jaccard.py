@@ -86,6 +86,7 @@ def _first(dealt: DataFrame, back: DataFrame, n: int, percent: int) -> DataFrame
                 # sets of so few that one missing breaks the link are linked with equal sets only
                 prefix.append(v[shared][order].view(np.int64).tolist() if need(total[k], percent) < total[k] else [])
                 sets.append(v.tobytes())
+        X.trim()
         return pa.table({"doc_id": docs["doc_id"], "n_shingles": np.concatenate(size) if size else np.zeros(0, np.int64), "f1": pa.array(f1, pa.int64()), "f2": pa.array(f2, pa.int64()), "prefix": pa.array(prefix, pa.list_(pa.int64())), "members": pa.array(sets, pa.binary())})
 
     schema = f"doc_id {kind.simpleString()}, n_shingles long, f1 long, f2 long, prefix array<long>, members binary"
@@ -171,7 +172,7 @@ def groups(docs: DataFrame, words: int = 3, percent: int = 90, block: int = BLOC
     node; a null doc_id links with nothing and has a null component. No rows give no rows.
     """
     dealt = X.sharded(docs)
-    back = X.shared(X.sent(dealt, lambda d, o: shingles(d, o, words)[0], X.shard_count(docs)))
+    back = X.shared(X.sent(dealt, lambda d, o: shingles(d, o, words)[0], X.shard_labels(docs)))
     found = stored(_first(dealt, back, words, percent), "sets")
     may = found.where("f1 is not null and doc_id is not null")
     equal = may.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id"))

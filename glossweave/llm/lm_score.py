@@ -73,12 +73,13 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return v[head], np.add.reduceat(c, head) if len(v) else c
 
 
-def _sent(dealt: DataFrame, parts: int, pairs: bool) -> DataFrame:
+def _sent(dealt: DataFrame, parts: list[int], pairs: bool) -> DataFrame:
     """(part, shard, blob) of each shard's words or pairs with their training counts."""
-    ends = X.bounds(parts, 64)
+    ends, names = X.bounds(len(parts), 64), np.array(parts, np.int32)
     at_text, at_shard, at_held = (dealt.columns.index(c) for c in ("text", "__shard", "held_out"))
 
     def send(batches):
+        X.trim()
         got: dict[int, list] = {}
         for b in batches:
             own = b.column(at_shard).to_numpy()
@@ -91,7 +92,7 @@ def _sent(dealt: DataFrame, parts: int, pairs: bool) -> DataFrame:
             v, c = merged(got.pop(shard))
             cut = np.concatenate([[0], np.searchsorted(v, ends, "right")])
             full = np.flatnonzero(np.diff(cut))
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), shard, np.int32)), pa.array([X.pack(v[cut[p] : cut[p + 1]], c[cut[p] : cut[p + 1]]) for p in full], pa.binary())], ["part", "shard", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[full]), pa.array(np.full(len(full), shard, np.int32)), pa.array([X.pack(v[cut[p] : cut[p + 1]], c[cut[p] : cut[p + 1]]) for p in full], pa.binary())], ["part", "shard", "blob"])
 
     return dealt.mapInArrow(send, "part int, shard int, blob binary")
 
@@ -108,21 +109,21 @@ def _pairs_back(rows: DataFrame) -> DataFrame:
     return rows.groupBy("part").applyInArrow(count, "part int, shard int, counts binary")
 
 
-def _successors(rows: DataFrame, parts: int) -> DataFrame:
+def _successors(rows: DataFrame, parts: list[int]) -> DataFrame:
     """(part, blob): of each context (the upper half of its hash) how many distinct training pairs a range of pairs has."""
-    ends = X.bounds(parts, 64)
+    ends, names = X.bounds(len(parts), 64), np.array(parts, np.int32)
 
     def count(group: pa.Table) -> pa.Table:
         v, total = merged([X.unpack(b) for b in group["blob"].to_pylist()])
         c, n = np.unique(v[total > 0] << _HALF, return_counts=True)
         cut = np.concatenate([[0], np.searchsorted(c, ends, "right")])
         full = np.flatnonzero(np.diff(cut))
-        return pa.table({"part": pa.array(full.astype(np.int32)), "blob": pa.array([X.pack(c[cut[p] : cut[p + 1]], n[cut[p] : cut[p + 1]]) for p in full], pa.binary())})
+        return pa.table({"part": pa.array(names[full]), "blob": pa.array([X.pack(c[cut[p] : cut[p + 1]], n[cut[p] : cut[p + 1]]) for p in full], pa.binary())})
 
     return rows.groupBy("part").applyInArrow(count, "part int, blob binary")
 
 
-def _words_back(rows: DataFrame, successors: DataFrame, n_shards: int) -> DataFrame:
+def _words_back(rows: DataFrame, successors: DataFrame, shards: list[int]) -> DataFrame:
     """(part, shard, counts, follow, tokens, types): for each of a shard's words of a range, in order, its total and how many
     successors it has; of every range, to every shard, its number of training tokens and of different ones."""
 
@@ -135,12 +136,14 @@ def _words_back(rows: DataFrame, successors: DataFrame, n_shards: int) -> DataFr
         follow = np.where(at >= 0, follow[at] if len(c) else 0, 0)
         real = v != BEGIN
         n_tokens, n_types = int(total[real].sum()), int((total[real] > 0).sum())
-        counts, after_counts = [None] * n_shards, [None] * n_shards
+        counts, after_counts = dict.fromkeys(shards), dict.fromkeys(shards)
         for s, (x, _) in zip(shard, parts, strict=True):
             at = np.searchsorted(v, x)
             counts[s], after_counts[s] = X.pack_counts(total[at]), X.pack_counts(follow[at])
         part = group["part"][0].as_py() if group.num_rows else 0
-        return pa.table({"part": pa.array([part] * n_shards, pa.int32()), "shard": pa.array(range(n_shards), pa.int32()), "counts": pa.array(counts, pa.binary()), "follow": pa.array(after_counts, pa.binary()), "tokens": pa.array([n_tokens] * n_shards, pa.int64()), "types": pa.array([n_types] * n_shards, pa.int64())})
+        n = len(shards)
+        X.trim()
+        return pa.table({"part": pa.array([part] * n, pa.int32()), "shard": pa.array(shards, pa.int32()), "counts": pa.array(counts.values(), pa.binary()), "follow": pa.array(after_counts.values(), pa.binary()), "tokens": pa.array([n_tokens] * n, pa.int64()), "types": pa.array([n_types] * n, pa.int64())})
 
     return rows.groupBy("part").cogroup(successors.groupBy("part")).applyInArrow(count, "part int, shard int, counts binary, follow binary, tokens long, types long")
 
@@ -175,16 +178,16 @@ def score(docs: DataFrame, mod: int = 7, out: int = 2) -> DataFrame:
     scored but not learned from. Null and empty texts are one end token; repeated rows are learned from and scored as often
     as they stand; a null doc_id counts as the empty text for the fold; no rows give no rows.
     """
-    n = X.shard_count(docs)
+    names = X.shard_labels(docs)
     dealt = X.sharded(docs, (fold(mod) == out).alias("held_out"))
-    words, pairs = _sent(dealt, n, False), _sent(dealt, n, True)
+    words, pairs = _sent(dealt, names, False), _sent(dealt, names, True)
     none = F.lit(None)
-    back = _words_back(words, _successors(pairs, n), n).union(_pairs_back(pairs).select("part", "shard", "counts", none.cast("binary"), none.cast("long"), none.cast("long")))
-    ends = X.bounds(n, 64)
+    back = _words_back(words, _successors(pairs, names), names).union(_pairs_back(pairs).select("part", "shard", "counts", none.cast("binary"), none.cast("long"), none.cast("long")))
+    ends, number = X.bounds(len(names), 64), {name: k for k, name in enumerate(names)}
 
     def one(own: pa.Table, got: pa.Table) -> pa.Table:
         is_pair = got["tokens"].is_null().to_numpy() if got.num_rows else np.zeros(0, bool)
-        part, counts, follow = got["part"].to_pylist(), got["counts"], got["follow"]
+        part, counts, follow = [number[x] for x in got["part"].to_pylist()], got["counts"], got["follow"]
         n_tokens, n_types = (int(np.nansum(got[c].to_numpy())) if got.num_rows else 0 for c in ("tokens", "types"))
         held = own["held_out"].to_numpy().astype(bool)
         slices = list(T.texts(own["text"]))
@@ -210,6 +213,7 @@ def score(docs: DataFrame, mod: int = 7, out: int = 2) -> DataFrame:
             both = np.maximum(a, b) + np.log10(1 + 10.0 ** -np.minimum(300, np.abs(a - b))) - np.log10(2)
             for x, col in zip((add(np.ones(len(doc))).astype(np.int64), add(c > 0).astype(np.int64), b, both, a), cols, strict=True):
                 col.append(x)
+        X.trim()
         size, known, base, both, p = (np.concatenate(c) if c else np.zeros(0) for c in cols)
         return pa.table({"doc_id": own["doc_id"], "held_out": own["held_out"], "n_tokens": size.astype(np.int64), "n_known": known.astype(np.int64), "train_tokens": np.full(own.num_rows, n_tokens), "base_score": base, "score": both, "automaton_score": p})
 

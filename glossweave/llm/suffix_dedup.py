@@ -89,9 +89,9 @@ def _seeds(data: np.ndarray, offs: np.ndarray, length: int) -> np.ndarray:
     return h[new]
 
 
-def _contexts(dealt: DataFrame, back: DataFrame, length: int, parts: int) -> DataFrame:
+def _contexts(dealt: DataFrame, back: DataFrame, length: int, parts: list[int]) -> DataFrame:
     """(part, data, size, left, least, most, shard): a shard's distinct contexts of shared seeds, with their documents' range."""
-    ends = X.bounds(parts)
+    ends = X.bounds(len(parts))
 
     def one(docs: pa.Table, blobs: pa.Table) -> pa.Table:
         known, _ = X.together(blobs)
@@ -134,7 +134,7 @@ def _contexts(dealt: DataFrame, back: DataFrame, length: int, parts: int) -> Dat
             r = rows[k]
             n = size[r]
             pos = np.repeat(begin[r] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            for name, x in (("part", part), ("shard", shard), ("data", flat[pos].tobytes()), ("size", n.astype(np.uint8).tobytes()), ("left", left[r].astype(np.uint8).tobytes()), ("least", least[k].tobytes()), ("most", most[k].tobytes())):
+            for name, x in (("part", parts[part]), ("shard", shard), ("data", flat[pos].tobytes()), ("size", n.astype(np.uint8).tobytes()), ("left", left[r].astype(np.uint8).tobytes()), ("least", least[k].tobytes()), ("most", most[k].tobytes())):
                 out[name].append(x)
         X.trim()
         return pa.table(out, empty.schema)
@@ -334,7 +334,7 @@ def dedup(docs: DataFrame, length: int = 50, cleaned: bool = False) -> DataFrame
     all; no rows give no rows. Of a character that is cut in two, ``cleaned`` drops the rest.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")] if cleaned else []
-    parts = X.shard_count(docs)
+    parts = X.shard_labels(docs)
     dealt = X.sharded(docs, *others)
     back = X.shared(X.sent(dealt, lambda d, o: _seeds(d, o, length), parts, SLICE))
     answers = _answers(_contexts(dealt, back, length, parts), length)

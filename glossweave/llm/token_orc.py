@@ -35,7 +35,7 @@ def write(docs: DataFrame, out: str, path: str, end_id: int = 2) -> None:
     dealt = docs.select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange(shards(spark), "doc_id").sortWithinPartitions("doc_id")
     (
         dealt.mapInArrow(encode, f"row long, doc_id {kind}, ids array<int>")
-        .write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true").option("orc.compress", "ZSTD")
+        .write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true").option("orc.compress", "SNAPPY")
         .orc(out)
     )
 

@@ -1,6 +1,6 @@
 """Operator 2: benchmark passages in documents, by an FM-index of each training shard.
 
-A shard is one Arrow batch of whole documents. Its words become symbols of the benchmark's vocabulary; any other word,
+A shard is some ``SHARD`` bytes of whole documents. Its words become symbols of the benchmark's vocabulary; any other word,
 and every document's end, is one separator, and runs too short for the shortest test phrase are left out, which loses no
 occurrence. The suffix array of these symbols is sorted by prefix doubling; its Burrows-Wheeler transform is kept as a
 wavelet matrix, all test phrases are searched backward through its ranks together, and occurrences are located by
@@ -15,11 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossweave.llm import exchange as X
 from glossweave.llm import text as T
 from glossweave.llm.license_scan import find
 
 #: Characters of benchmark text that go to the executors at once.
 BLOCK_CHARS = 16 << 20
+#: Bytes of a shard.
+SHARD = 6 << 20
 
 
 class FMIndex:
@@ -193,7 +196,8 @@ def _with_hits(docs: DataFrame, p: Phrases, first: bool, last: bool, cleaned: bo
     text_at = names.index("text")
 
     def rows(batches):
-        for batch in batches:
+        X.trim()
+        for batch in (b.slice(i, j - i) for b in batches for i, j in T.slices(T.utf8(b.column(text_at))[1], SHARD)):
             data, offs = T.utf8(batch.column(text_at))
             n = len(offs) - 1
             parts = []

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossweave.llm import exchange as X
 from glossweave.llm import text as T
 
 # Phrases that are looked for as such, and their labels.
@@ -150,6 +151,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
         return first, doc, places, out
 
     def rows(batches):
+        X.trim()
         for batch in batches:
             for i, j, data, offs in T.texts(batch.column(1)):
                 first, doc, places, found = one(data, offs)

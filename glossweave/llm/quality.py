@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossweave.functions.session import stored
+from glossweave.llm import exchange as X
 from glossweave.llm import text as T
 from glossweave.llm.toxicity import _logistic
 
@@ -108,6 +109,7 @@ def with_evidence(docs: DataFrame, model: Classifier, text: str = "text", name:
     at = docs.columns.index(text)
 
     def rows(batches):
+        X.trim()
         for b in batches:
             out = np.zeros(b.num_rows)
             for i, j, data, offs in T.texts(b.column(at)):

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossweave.llm import exchange as X
 from glossweave.llm import text as T
 from glossweave.llm.license_scan import find
 
@@ -290,6 +291,7 @@ def score(docs: DataFrame, field: Field, mod: int = 4, out: int = 2, threshold:
     pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
 
     def rows(batches):
+        X.trim()
         for b in batches:
             for i, j, data, offs in T.texts(b.column(2)):
                 x, doc, s, e, m = field.summaries(data, offs)

@@ -253,7 +253,7 @@ def build(key: str, pages: pd.DataFrame, edges: pd.DataFrame) -> Component:
 def per_component(pages: DataFrame, edges: DataFrame, member: DataFrame, step: Callable[[Component], pd.DataFrame], schema: str, limit: int = LIMIT) -> DataFrame:
     """``step`` of every component: pages (key, lang, redirect_id), edges (a, b, weight), member (key, root)."""
     p = pages.where("redirect_id is null").join(member, "key").select("root", "key", "lang")
-    e = edges.join(member.withColumnRenamed("key", "a"), "a").select("root", "a", "b", "weight")
+    e = edges.join(member.withColumnRenamed("key", "a"), "a").select(F.col("root").alias("root"), "a", "b", "weight")  # a column of its own, as both sides come from ``member``
 
     def one(own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         if len(own) > limit:

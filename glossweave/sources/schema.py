@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+
+
 def _table(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """From ``name type [not null]``, without a session."""
+    fields = (f.split() for f in text.split(", "))
+    return T.StructType([T.StructField(f[0], _TYPES[f[1]], len(f) == 2) for f in fields])
 
 
 PAGES = _table("key string not null, lang string not null, namespace int not null, title string not null, redirect_id string, comp_id string")

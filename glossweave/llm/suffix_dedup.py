@@ -7,6 +7,10 @@ anchor stands for. Contexts of one seed meet in one task. There the suffixes fro
 merge sort whose comparisons find common extensions by binary search over prefix polynomial hashes; neighbours' common
 extensions, checked on the bytes themselves, and hashes of what stands left of the anchor tell which strings are equal,
 and so the smallest document of each. The answers return to the shards, where documents strike out what is covered.
+
+A seed of very many texts (more than ``HOT_TEXTS``) would bring as many contexts to one task. Of such seeds a shard sends,
+instead, the 64-bit hash of each string with its smallest document; these are dealt by their own value, so one string is
+one entry a shard, and no task has more than its range of them.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from glossweave.llm import text as T
 SEED = 18
 #: Bytes of text, and contexts, that a task works on at once.
 SLICE, AT_ONCE = 1 << 18, 4000
+#: Texts beyond which a seed's strings are dealt by themselves.
+HOT_TEXTS = 20_000
 #: The bits of a seed's hash that choose anchors.
 ORDER = np.uint64(((1 << 64) - 1) ^ ((1 << 20) - 1))
 NEVER = np.iinfo(np.int64).max
@@ -79,6 +85,13 @@ def context_hash(p: np.ndarray, position: np.ndarray, first: np.ndarray, end: np
         return T.mix(T.span_hash(p, first, end) + (position - first).astype(np.uint64) * np.uint64(T.BASE) + (end - first).astype(np.uint64))
 
 
+def strings_of(p: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, anchor's number) of every string that anchors stand for."""
+    n = last - first + 1
+    s = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+    return T.mix(T.span_hash(p, s, s + length)), s, np.repeat(np.arange(len(n)), n)
+
+
 def _seeds(data: np.ndarray, offs: np.ndarray, length: int) -> np.ndarray:
     """Distinct seed hashes of each text's anchors."""
     h, _, _, _, doc = anchors(data, offs, length)
@@ -89,21 +102,33 @@ def _seeds(data: np.ndarray, offs: np.ndarray, length: int) -> np.ndarray:
     return h[new]
 
 
-def _contexts(dealt: DataFrame, back: DataFrame, length: int, parts: list[int]) -> DataFrame:
-    """(part, data, size, left, least, most, shard): a shard's distinct contexts of shared seeds, with their documents' range."""
-    ends = X.bounds(len(parts))
+_KINDS = ("contexts", "strings", "seeds")
+
+
+def _contexts(dealt: DataFrame, back: DataFrame, length: int, parts: list[int], hot_texts: int) -> DataFrame:
+    """(part, shard, kind, data, size, left, least, most): a shard's distinct contexts of shared seeds, with their documents'
+    range; of hot seeds the strings with their smallest document, and which these seeds are."""
+    ends, string_ends = X.bounds(len(parts)), X.bounds(len(parts), 64)
 
     def one(docs: pa.Table, blobs: pa.Table) -> pa.Table:
-        known, _ = X.together(blobs)
+        known, many = X.together(blobs)
+        hot_seeds = known[many > hot_texts]
         ids = docs["doc_id"].cast(pa.int64())
         named = ~ids.is_null().to_numpy()
         ids = ids.fill_null(0).to_numpy()
         got: list[list[np.ndarray]] = [[] for _ in range(6)]
         raw: list[bytes] = []
+        strings: list[tuple[np.ndarray, np.ndarray]] = []
         for i, _, data, offs in T.texts(docs["text"], SLICE):
             h, position, first, last, doc = anchors(data, offs, length)
             seed = X.upper(h)
             keep = (X.lookup(seed, known) >= 0) & named[i + doc] if len(h) else np.zeros(0, bool)
+            if len(hot_seeds) and keep.any():
+                hot = np.flatnonzero(keep & (X.lookup(seed, hot_seeds) >= 0))
+                keep[hot] = False
+                if len(hot):
+                    v, _, k = strings_of(T.prefix_hash(data), first[hot], last[hot], length)
+                    strings.append(_least(v, ids[i + doc[hot]][k]))
             seed, position, first, end, doc = seed[keep], position[keep], first[keep], last[keep] + length, ids[i + doc[keep]]
             if not len(seed):
                 continue
@@ -113,9 +138,23 @@ def _contexts(dealt: DataFrame, back: DataFrame, length: int, parts: list[int])
             size = end - first
             pos = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
             raw.append(data[pos])
-        empty = pa.table({k: pa.array([], t) for k, t in (("part", pa.int32()), ("shard", pa.int32()), ("data", pa.binary()), ("size", pa.binary()), ("left", pa.binary()), ("least", pa.binary()), ("most", pa.binary()))})
+        shard = docs["__shard"][0].as_py()
+        out: dict[str, list] = {f.name: [] for f in _SENT}
+
+        def put(part: int, kind: int, *blobs: bytes) -> None:
+            for name, x in zip(out, (parts[part], shard, kind, *blobs), strict=True):
+                out[name].append(x)
+
+        if len(hot_seeds):
+            put(0, 2, X.pack(hot_seeds), b"", b"", b"", b"")
+        if strings:
+            v, least = _least(*(np.concatenate(x) for x in zip(*strings, strict=True)))
+            cut = np.concatenate([[0], np.searchsorted(v, string_ends, "right")])
+            for part in np.flatnonzero(np.diff(cut)).tolist():
+                k = slice(cut[part], cut[part + 1])
+                put(part, 1, X.pack(v[k]), b"", b"", least[k].tobytes(), b"")
         if not raw:
-            return empty
+            return pa.table(out, _SENT)
         seed, hashes, size, left, doc = (np.concatenate(g) for g in got[:5])
         flat = np.concatenate(raw)
         raw.clear()
@@ -127,19 +166,28 @@ def _contexts(dealt: DataFrame, back: DataFrame, length: int, parts: list[int])
         least, most = np.minimum.reduceat(doc[order], head), np.maximum.reduceat(doc[order], head)
         rows = order[head]
         cut = np.concatenate([[0], np.searchsorted(seed[rows], ends)])
-        shard = docs["__shard"][0].as_py()
-        out: dict[str, list] = {k: [] for k in empty.column_names}
         for part in np.flatnonzero(np.diff(cut)).tolist():
             k = slice(cut[part], cut[part + 1])
             r = rows[k]
             n = size[r]
             pos = np.repeat(begin[r] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            for name, x in (("part", parts[part]), ("shard", shard), ("data", flat[pos].tobytes()), ("size", n.astype(np.uint8).tobytes()), ("left", left[r].astype(np.uint8).tobytes()), ("least", least[k].tobytes()), ("most", most[k].tobytes())):
-                out[name].append(x)
+            put(part, 0, flat[pos].tobytes(), n.astype(np.uint8).tobytes(), left[r].astype(np.uint8).tobytes(), least[k].tobytes(), most[k].tobytes())
         X.trim()
-        return pa.table(out, empty.schema)
+        return pa.table(out, _SENT)
+
+    return dealt.groupBy("__shard").cogroup(back.groupBy("shard")).applyInArrow(one, "part int, shard int, kind int, data binary, size binary, left binary, least binary, most binary")
+
+
+_SENT = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("data", "size", "left", "least", "most"))])
+_TOLD = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("part", pa.int32()), ("hash", pa.binary()), ("runs", pa.binary()), ("doc", pa.binary())])
 
-    return dealt.groupBy("__shard").cogroup(back.groupBy("shard")).applyInArrow(one, "part int, shard int, data binary, size binary, left binary, least binary, most binary")
+
+def _least(v: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values, sorted; the smallest document of each)."""
+    order = np.argsort(v, kind="stable")
+    v, doc = v[order], doc[order]
+    head = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])[: len(v)])
+    return v[head], np.minimum.reduceat(doc, head) if len(v) else doc
 
 
 def common(p: np.ndarray, inv: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -258,75 +306,114 @@ def smallest(data: np.ndarray, begin: np.ndarray, size: np.ndarray, left: np.nda
 
 
 def _answers(contexts: DataFrame, length: int) -> DataFrame:
-    """(shard, hash, runs, doc): for contexts that have strings of smaller documents, runs of offsets and those documents."""
+    """(shard, kind, part, hash, runs, doc): for contexts that have strings of smaller documents, runs of offsets and those
+    documents; for each string of a hot seed, in the shard's order, its smallest document; and which seeds are hot."""
 
     def one(rows: pa.Table) -> pa.Table:
-        size, left, least, most, hashes, seed = [], [], [], [], [], []
-        flat = {c: T.utf8(rows[c]) for c in ("data", "size", "left", "least", "most")}
-        for i in range(rows.num_rows):
-            own, n, k, lo, hi = (x[at[i] : at[i + 1]] for x, at in flat.values())
-            n, k = n.astype(np.int64), k.astype(np.int64)
-            at, p = np.cumsum(n) - n, T.prefix_hash(own)
-            size.append(n), left.append(k), least.append(lo.copy().view(np.int64)), most.append(hi.copy().view(np.int64))
-            hashes.append(context_hash(p, at + k, at, at + n)), seed.append(T.span_hash(p, at + k, at + k + SEED))
-        shard = np.repeat(rows["shard"].to_numpy(), [len(x) for x in size])
-        size, left, least, most, hashes, seed = (np.concatenate(x) for x in (size, left, least, most, hashes, seed))
-        data = flat["data"][0]
-        begin = np.cumsum(size) - size
-        # equal contexts of several shards are one
-        order = np.lexsort((hashes, seed))
-        new = np.ones(len(order), bool)
-        new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (seed[order][1:] != seed[order][:-1])
-        head = np.append(np.flatnonzero(new), len(order))
-        r, one_doc = order[head[:-1]], np.minimum.reduceat(least[order], head[:-1])
-        group = np.cumsum(np.diff(seed[r], prepend=seed[r[0]]) != 0)
-        offsets = np.arange(length - SEED + 1)
-        found: list[list[np.ndarray]] = [[] for _ in range(5)]
-        edges = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(r))
-        a = 0
-        while a < len(r):  # seeds by seeds, about AT_ONCE contexts at a time
-            z = edges[max(np.searchsorted(edges, a + AT_ONCE, "right") - 1, np.searchsorted(edges, a, "right"))]
-            k = np.arange(a, z)
-            alone = np.bincount(group[k] - group[a])[group[k] - group[a]] == 1
-            fits = (left[r[k]][:, None] >= offsets) & ((size - left)[r[k]][:, None] >= length - offsets)
-            table = np.where(fits, one_doc[k][:, None], NEVER)
-            some = k[~alone]
-            if len(some):
-                n = size[r[some]]
-                near = data[np.repeat(begin[r[some]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                table[~alone] = smallest(near, np.cumsum(n) - n, n, left[r[some]], one_doc[some], group[some], length)
-            # contexts for which some document of the shard is later than a string's smallest
-            member = order[head[a] : head[z]]
-            kind = np.repeat(k - a, np.diff(head[a : z + 1]))
-            keep = table.min(axis=1)[kind] < most[member]
-            member, m = member[keep], table[kind[keep]]
-            change = np.ones(m.shape, bool)
-            change[:, 1:] = m[:, 1:] != m[:, :-1]
-            row, col = np.nonzero(change)
-            end = np.append(col[1:], m.shape[1])
-            end[np.append(row[1:] != row[:-1], True)] = m.shape[1]
-            value = m[row, col]
-            use = value < most[member][row]
-            for x, y in zip(found, (shard[member[row]], hashes[member[row]], col, end, value), strict=True):
-                x.append(y[use])
-            a = z
-        s, h, col, end, value = (np.concatenate(x) for x in found)
-        by = np.argsort(s, kind="stable")
-        s, h, value, runs = s[by], h[by], value[by], np.column_stack([col[by], end[by]]).astype(np.uint8)
-        cut = np.append(np.flatnonzero(np.diff(s, prepend=-1)), len(s))
-        out_shard, out_hash, out_runs, out_doc = [], [], [], []
-        for a, z in zip(cut[:-1], cut[1:], strict=True):
-            out_shard.append(int(s[a]))
-            out_hash.append(h[a:z].tobytes())
-            out_runs.append(runs[a:z].tobytes())
-            out_doc.append(value[a:z].tobytes())
+        kind = rows["kind"].to_numpy()
+        told = [pa.table({"shard": rows["shard"], "kind": rows["kind"], "part": rows["part"], "hash": rows["data"], "runs": rows["size"], "doc": rows["least"]}, _TOLD).filter(pa.array(kind == 2))]
+        if (kind == 1).any():
+            told.append(_strings_told(rows.filter(pa.array(kind == 1))))
+        if (kind == 0).any():
+            told.append(_contexts_told(rows.filter(pa.array(kind == 0)), length))
         X.trim()
-        return pa.table({"shard": pa.array(out_shard, pa.int32()), "hash": pa.array(out_hash, pa.binary()), "runs": pa.array(out_runs, pa.binary()), "doc": pa.array(out_doc, pa.binary())})
-
-    return contexts.groupBy("part").applyInArrow(one, "shard int, hash binary, runs binary, doc binary")
-
-
-def dedup(docs: DataFrame, length: int = 50, cleaned: bool = False) -> DataFrame:
+        return pa.concat_tables(told)
+
+    return contexts.groupBy("part").applyInArrow(one, "shard int, kind int, part int, hash binary, runs binary, doc binary")
+
+
+def _strings_told(rows: pa.Table) -> pa.Table:
+    own = [X.unpack(b)[0] for b in rows["data"].to_pylist()]
+    v, least = _least(np.concatenate(own), np.concatenate([np.frombuffer(b, np.int64) for b in rows["least"].to_pylist()]))
+    none = pa.array([b""] * len(own), pa.binary())
+    return pa.table({"shard": rows["shard"], "kind": rows["kind"], "part": rows["part"], "hash": none, "runs": none, "doc": pa.array([least[np.searchsorted(v, x)].tobytes() for x in own], pa.binary())}, _TOLD)
+
+
+def _contexts_told(rows: pa.Table, length: int) -> pa.Table:
+    size, left, least, most, hashes, seed = [], [], [], [], [], []
+    flat = {c: T.utf8(rows[c]) for c in ("data", "size", "left", "least", "most")}
+    for i in range(rows.num_rows):
+        own, n, k, lo, hi = (x[at[i] : at[i + 1]] for x, at in flat.values())
+        n, k = n.astype(np.int64), k.astype(np.int64)
+        at, p = np.cumsum(n) - n, T.prefix_hash(own)
+        size.append(n), left.append(k), least.append(lo.copy().view(np.int64)), most.append(hi.copy().view(np.int64))
+        hashes.append(context_hash(p, at + k, at, at + n)), seed.append(T.span_hash(p, at + k, at + k + SEED))
+    shard = np.repeat(rows["shard"].to_numpy(), [len(x) for x in size])
+    size, left, least, most, hashes, seed = (np.concatenate(x) for x in (size, left, least, most, hashes, seed))
+    data = flat["data"][0]
+    begin = np.cumsum(size) - size
+    # equal contexts of several shards are one
+    order = np.lexsort((hashes, seed))
+    new = np.ones(len(order), bool)
+    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (seed[order][1:] != seed[order][:-1])
+    head = np.append(np.flatnonzero(new), len(order))
+    r, one_doc = order[head[:-1]], np.minimum.reduceat(least[order], head[:-1])
+    group = np.cumsum(np.diff(seed[r], prepend=seed[r[0]]) != 0)
+    offsets = np.arange(length - SEED + 1)
+    found: list[list[np.ndarray]] = [[] for _ in range(5)]
+    edges = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(r))
+    a = 0
+    while a < len(r):  # seeds by seeds, about AT_ONCE contexts at a time
+        z = edges[max(np.searchsorted(edges, a + AT_ONCE, "right") - 1, np.searchsorted(edges, a, "right"))]
+        k = np.arange(a, z)
+        alone = np.bincount(group[k] - group[a])[group[k] - group[a]] == 1
+        fits = (left[r[k]][:, None] >= offsets) & ((size - left)[r[k]][:, None] >= length - offsets)
+        table = np.where(fits, one_doc[k][:, None], NEVER)
+        some = k[~alone]
+        if len(some):
+            n = size[r[some]]
+            near = data[np.repeat(begin[r[some]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            table[~alone] = smallest(near, np.cumsum(n) - n, n, left[r[some]], one_doc[some], group[some], length)
+        # contexts for which some document of the shard is later than a string's smallest
+        member = order[head[a] : head[z]]
+        kind = np.repeat(k - a, np.diff(head[a : z + 1]))
+        keep = table.min(axis=1)[kind] < most[member]
+        member, m = member[keep], table[kind[keep]]
+        change = np.ones(m.shape, bool)
+        change[:, 1:] = m[:, 1:] != m[:, :-1]
+        row, col = np.nonzero(change)
+        end = np.append(col[1:], m.shape[1])
+        end[np.append(row[1:] != row[:-1], True)] = m.shape[1]
+        value = m[row, col]
+        use = value < most[member][row]
+        for x, y in zip(found, (shard[member[row]], hashes[member[row]], col, end, value), strict=True):
+            x.append(y[use])
+        a = z
+    s, h, col, end, value = (np.concatenate(x) for x in found)
+    by = np.argsort(s, kind="stable")
+    s, h, value, runs = s[by], h[by], value[by], np.column_stack([col[by], end[by]]).astype(np.uint8)
+    cut = np.append(np.flatnonzero(np.diff(s, prepend=-1)), len(s))
+    out_shard, out_hash, out_runs, out_doc = [], [], [], []
+    for a, z in zip(cut[:-1], cut[1:], strict=True):
+        out_shard.append(int(s[a]))
+        out_hash.append(h[a:z].tobytes())
+        out_runs.append(runs[a:z].tobytes())
+        out_doc.append(value[a:z].tobytes())
+    n = len(out_shard)
+    return pa.table({"shard": out_shard, "kind": [0] * n, "part": [0] * n, "hash": out_hash, "runs": out_runs, "doc": out_doc}, _TOLD)
+
+
+def _hot_strings(texts: pa.ChunkedArray, named: np.ndarray, told: pa.Table, parts: list[int], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hot seeds, hashes of a shard's strings of theirs, the smallest document of each), from what the ranges told."""
+    kind, part = told["kind"].to_numpy(), told["part"].to_pylist()
+    seeds = np.unique(np.concatenate([X.unpack(told["hash"][int(k)].as_py())[0] for k in np.flatnonzero(kind == 2)]))
+    found = []
+    for i, _, data, offs in T.texts(texts, SLICE):
+        h, _, first, last, doc = anchors(data, offs, length)
+        hot = np.flatnonzero((X.lookup(X.upper(h), seeds) >= 0) & named[i + doc]) if len(h) else np.zeros(0, np.int64)
+        if len(hot):
+            found.append(np.unique(strings_of(T.prefix_hash(data), first[hot], last[hot], length)[0]))
+    values = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+    least = np.full(len(values), NEVER)
+    cut = np.concatenate([[0], np.searchsorted(values, X.bounds(len(parts), 64), "right")])
+    number = {name: k for k, name in enumerate(parts)}
+    for k in np.flatnonzero(kind == 1).tolist():
+        r = number[part[k]]
+        least[cut[r] : cut[r + 1]] = np.frombuffer(told["doc"][k].as_py(), np.int64)
+    return seeds, values, least
+
+
+def dedup(docs: DataFrame, length: int = 50, cleaned: bool = False, hot_texts: int = HOT_TEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; with ``cleaned``, all columns of ``docs`` with what is kept as text.
 
     ``docs`` has doc_id (an integer) and text. Null counts as empty text (with ``cleaned`` it stays null); texts shorter than
@@ -337,25 +424,36 @@ def dedup(docs: DataFrame, length: int = 50, cleaned: bool = False) -> DataFrame
     parts = X.shard_labels(docs)
     dealt = X.sharded(docs, *others)
     back = X.shared(X.sent(dealt, lambda d, o: _seeds(d, o, length), parts, SLICE))
-    answers = _answers(_contexts(dealt, back, length, parts), length)
+    answers = _answers(_contexts(dealt, back, length, parts, hot_texts), length)
     fields = [docs.schema[c] for c in docs.columns] if cleaned else []
 
     def one(own: pa.Table, found: pa.Table) -> pa.Table:
+        ids = own["doc_id"].cast(pa.int64())
+        named = ~ids.is_null().to_numpy()
+        ids = ids.fill_null(0).to_numpy()
+        kind = found["kind"].to_numpy() if found.num_rows else np.zeros(0, np.int64)
+        strings = _hot_strings(own["text"], named, found.filter(pa.array(kind > 0)), parts, length) if (kind == 2).any() else None
+        found = found.filter(pa.array(kind == 0))
         key = np.frombuffer(b"".join(found["hash"].to_pylist()), np.uint64)
         runs = np.frombuffer(b"".join(found["runs"].to_pylist()), np.uint8).reshape(-1, 2).astype(np.int64)
         least = np.frombuffer(b"".join(found["doc"].to_pylist()), np.int64)
         order = np.argsort(key, kind="stable")
         key, runs, least = key[order], runs[order], least[order]
-        ids = own["doc_id"].cast(pa.int64())
-        named = ~ids.is_null().to_numpy()
-        ids = ids.fill_null(0).to_numpy()
         n_bytes, n_removed, n_spans, sha, kept_text = [], [], [], [], []
         for i, j, data, offs in T.texts(own["text"], SLICE):
             cover = np.zeros(len(data) + 1, np.int64)
-            if len(key) and len(data) >= length:
-                _, position, first, last, doc = anchors(data, offs, length)
-                if len(position):
-                    h = context_hash(T.prefix_hash(data), position, first, last + length)
+            if (len(key) or strings) and len(data) >= length:
+                seed, position, first, last, doc = anchors(data, offs, length)
+                p = T.prefix_hash(data)
+                if strings:
+                    seeds, values, smallest_doc = strings
+                    hot = np.flatnonzero((X.lookup(X.upper(seed), seeds) >= 0) & named[i + doc])
+                    v, s, k = strings_of(p, first[hot], last[hot], length)
+                    s = s[smallest_doc[np.searchsorted(values, v)] < ids[i + doc[hot]][k]]
+                    np.add.at(cover, s, 1)
+                    np.add.at(cover, s + length, -1)
+                if len(position) and len(key):
+                    h = context_hash(p, position, first, last + length)
                     a, z = np.searchsorted(key, h), np.searchsorted(key, h, "right")
                     n = z - a
                     k = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())

@@ -29,8 +29,8 @@ def brute(rows, length):
     return sorted(out)
 
 
-def check(docs, length=50):
-    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in S.dedup(docs, length).collect())
+def check(docs, length=50, **kw):
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in S.dedup(docs, length, **kw).collect())
     assert got == brute([(r[0], r[1]) for r in docs.select("doc_id", "text").collect()], length)
     return sum(r[2] for r in got)
 
@@ -54,6 +54,7 @@ def test_suffix_sort():
 
 def test_against_brute_force(spark, sf):
     assert check(table(spark, sf, "documents")) > 1000
+    check(table(spark, sf, "documents"), hot_texts=3)
 
 
 def test_made_overlaps(docs_of):
@@ -69,13 +70,16 @@ def test_made_overlaps(docs_of):
             rows.append((i, t))
         assert check(docs_of(rows)) > 0
         assert check(docs_of(rows), 24) > 0
+        for hot in (1, 2, 4):  # all shared seeds are hot, or some
+            assert check(docs_of(rows), hot_texts=hot) > 0
 
 
 def test_odd_rows(odd, docs_of):
     check(odd)
     check(odd.union(odd))
     same = "abc " * 40
-    check(docs_of([(None, same), (3, same), (3, same), (5, same), (9, None)]))
+    for hot in (1, S.HOT_TEXTS):
+        check(docs_of([(None, same), (3, same), (3, same), (5, same), (9, None)]), hot_texts=hot)
     assert S.dedup(docs_of([])).count() == 0
 
 

@@ -164,6 +164,20 @@ def _tiles(members: DataFrame, percent: int, block: int) -> DataFrame:
     return dealt.groupBy("family", "band", "i", "j").applyInArrow(links, f"a {kind}, b {kind}")
 
 
+#: A key with more than this share of a table's rows is joined apart; there are at most as many as its inverse.
+HOT_SHARE = 1 / 1000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows`` joined with a table that has each key once and, as ``copies``, how many rows have it.
+
+    Keys with more than ``HOT_SHARE`` of all rows, at most 1 / HOT_SHARE of them, are broadcast, so their rows stay where
+    they are; the others are joined as usual."""
+    hot = F.broadcast(counted.where(F.col("copies") > max(1.0, total * HOT_SHARE)))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(counted, keys)
+    return rows.join(hot, keys).unionByName(rest)
+
+
 def groups(docs: DataFrame, words: int = 3, percent: int = 90, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id of every document: the size of its set and the smallest id that links reach.
 
@@ -171,18 +185,30 @@ def groups(docs: DataFrame, words: int = 3, percent: int = 90, block: int = BLOC
     n-grams and no links; fewer words than ``words`` are one n-gram. Rows that repeat a doc_id give a row each and are one
     node; a null doc_id links with nothing and has a null component. No rows give no rows.
     """
+    key = ["f1", "f2", "n_shingles"]
+    names = X.shard_labels(docs)
     dealt = X.sharded(docs)
-    back = X.shared(X.sent(dealt, lambda d, o: shingles(d, o, words)[0], X.shard_labels(docs)))
+    back = X.shared(X.sent(dealt, lambda d, o: shingles(d, o, words)[0], names))
     found = stored(_first(dealt, back, words, percent), "sets")
     may = found.where("f1 is not null and doc_id is not null")
-    equal = may.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id"))
-    node = checkpoint(may.select("doc_id", "f1", "f2", "n_shingles").join(equal, ["f1", "f2", "n_shingles"]).select("doc_id", "id", "f1", "f2").distinct())
-    one = node.where("doc_id = id").select(F.col("id").alias("doc_id"), "f1", "f2")
-    reps = may.join(one, ["doc_id", "f1", "f2"]).select(F.col("doc_id").alias("id"), "f1", F.col("n_shingles").alias("n"), "prefix", "members")
+    # equal sets are one, named by the smallest document
+    equal = checkpoint(may.groupBy(*key).agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
+    total = equal.agg(F.sum("copies")).first()[0] or 0
+    reps = may.join(equal.select(*key, F.col("id").alias("doc_id")), [*key, "doc_id"]).dropDuplicates(["doc_id", "f1", "f2"])
+    reps = reps.select(F.col("doc_id").alias("id"), "f1", F.col("n_shingles").alias("n"), "prefix", "members")
     first = reps.select("id", F.explode("prefix").alias("gram"))
-    least = first.groupBy("gram").agg(F.min("id").alias("m"), F.max("id").alias("z")).where("m <> z")
-    family = connected_components(first.join(least, "gram").select(F.col("id").alias("a"), F.col("m").alias("b")))
-    members = reps.join(family.withColumnRenamed("root", "family"), "id").select("family", "id", "f1", "n", "members").dropDuplicates(["id", "f1"])
-    links = _tiles(members, percent, block).union(node.select("doc_id", "id"))
-    root = connected_components(links)
-    return found.select("doc_id", "n_shingles").join(root.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    least = first.groupBy("gram").agg(F.min("id").alias("m"), F.max("id").alias("z"), F.count("*").alias("copies")).where("m <> z")
+    least = checkpoint(least.select("gram", "m", "copies"))
+    grams = least.agg(F.sum("copies")).first()[0] or 0
+    family = connected_components(join_counted(first, least, ["gram"], grams).select(F.col("id").alias("a"), F.col("m").alias("b")))
+    members = reps.join(family.withColumnRenamed("root", "family"), "id").select("family", "id", "f1", "n", "members")
+    # rows of one doc_id with different texts are one node
+    twice = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
+    twice = checkpoint(twice)
+    same = may.join(twice, "doc_id", "left_semi").select("doc_id", *key).join(equal, key).select("doc_id", "id")
+    root = connected_components(_tiles(members, percent, block).union(same))
+    known = equal.join(root, "id", "left").select(*key, F.coalesce("root", "id").alias("component_id"), "copies")
+    rest = found.where("f1 is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = join_counted(may.select("doc_id", *key), known, key, total).select("doc_id", "n_shingles", "component_id").union(rest)
+    fixed = out.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("__least"))
+    return out.join(fixed, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("__least", "component_id").alias("component_id"))

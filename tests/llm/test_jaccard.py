@@ -72,6 +72,8 @@ def test_odd_rows(spark, odd, docs_of):
     check(odd)
     twice = J.groups(odd.union(odd)).collect()
     assert len(twice) == 20 and {r["component_id"] for r in twice if r["doc_id"] in (5, 6)} == {5}
+    one = J.groups(docs_of([(3, "a b c d e"), (7, "a b c d e"), (7, "f g h"), (8, "f g h"), (7, "u v w x")])).collect()
+    assert [r["component_id"] for r in one] == [3] * 5
     nulls = J.groups(docs_of([(None, "a b c d e"), (None, "a b c d e"), (3, "a b c d e")])).collect()
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in nulls) == [("3", 3, "3"), ("None", 3, "None"), ("None", 3, "None")]
     assert J.groups(docs_of([])).count() == 0

@@ -17,27 +17,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossweave.functions.session import stored
+from glossweave.llm import text as T
 from glossweave.llm.tokenize import encoder
 
-#: Texts encoded at a time, by their characters.
-CHARS = 1 << 21
+#: Bytes of texts encoded at a time.
+AT_ONCE = 1 << 21
 
 
-def encoded(texts: list[str | None], path: str, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def encoded(texts: pa.Array, path: str, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, ids, offsets) by groups of texts; each text's ids end with ``end_id``; null counts as empty."""
-    i = 0
-    while i < len(texts):
-        j, n = i, 0
-        while j < len(texts) and (j == i or n < CHARS):
-            n += len(texts[j] or "")
-            j += 1
-        ids, offs = encoder(path).encode([t or "" for t in texts[i:j]])
+    for i, j in T.slices(T.utf8(texts)[1], AT_ONCE):
+        ids, offs = encoder(path).encode(texts.slice(i, j - i))
         size = np.diff(offs) + 1
         at = np.concatenate([[0], np.cumsum(size)])
         out = np.full(at[-1], end_id, np.uint32)
         out[np.arange(len(ids)) + np.repeat(np.arange(j - i), size - 1)] = ids
         yield i, j, out, at
-        i = j
 
 
 def crcs(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -53,7 +48,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, size: int, with_ids: bool) -
         task = TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64)  # pieces of each length so far in this task
         for batch in batches:
-            doc, texts = batch.column(0), batch.column(1).to_pylist()
+            doc, texts = batch.column(0), batch.column(1)
             for i, j, ids, at in encoded(texts, path, end_id):
                 total = np.diff(at)
                 n = -(-total // size)

@@ -27,8 +27,7 @@ def write(docs: DataFrame, out: str, path: str, end_id: int = 2) -> None:
     def encode(batches):
         row = 0
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for i, j, ids, at in encoded(texts, path, end_id):
+            for i, j, ids, at in encoded(b.column(1), path, end_id):
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + j - i)), b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))], ["row", "doc_id", "ids"])
                 row += j - i
 

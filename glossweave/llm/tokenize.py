@@ -1,7 +1,7 @@
 """Token ids by the tokenizers library, fast on whole columns.
 
 Both vocabularies split a text into pieces before they merge. Where white space is dropped, the parts between white
-space encode on their own, lower-cased beforehand as the library does. Elsewhere no piece holds a space after another
+space encode on their own, and are known by 64-bit hashes of their bytes. Elsewhere no piece holds a space after another
 character, so the parts between spaces (each with its leading space) do; a text in which white space stands before a
 space is encoded whole, since there runs of white space could form one piece. Each part is looked up once and its ids
 kept in a bounded table of the process. All ways give the library's ids for the whole text.
@@ -16,6 +16,9 @@ from itertools import groupby
 from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+
+from glossweave.llm import text as T
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -24,8 +27,9 @@ KEEP = 600_000
 #: Parts encoded in one call.
 TOGETHER = 8192
 _RUN = re.compile(r"\s ")
-#: Characters that Python takes as white space, or whose lower case hangs on their neighbours, otherwise than the library.
-_ODD = re.compile("[\x1c-\x1f\u03a3]")
+#: ASCII bytes that are neither letters, digits nor white space.
+_SIGN = ~T.ALNUM & T.SOLID
+_SIGN[:0x21] = _SIGN[0x7F] = False
 _open: dict[str, "Encoder"] = {}
 
 
@@ -106,38 +110,11 @@ class Encoder:
             for _, run in groupby(parts[k : k + TOGETHER], lambda p: p[0] == " "):
                 yield list(run)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, offsets)."""
-        parts: list[str] = []
-        heads: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        whole = []
-        for i, t in enumerate(texts):
-            if self.drops_space:
-                if _ODD.search(t):
-                    whole.append(i)
-                    continue
-                p = t.lower().split()
-            elif "\x01" in t or _RUN.search(t):
-                whole.append(i)
-                continue
-            else:
-                p = t.replace(" ", "\x01 ").split("\x01")
-                if p[0]:
-                    heads.append(p[0])
-                else:
-                    del p[0]
-            counts[i] = len(p)
-            parts += p
-        if len(self.at) > KEEP:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, offsets) of an Arrow column of texts; null counts as empty."""
+        if self.known > KEEP:
             self.clear()
-        at = self.at
-        known = len(at)
-        for p in heads:  # these have no leading space; first, so that they stand together
-            at[p]
-        codes = np.fromiter(map(at.__getitem__, parts), np.int64, len(parts))
-        if len(at) > known:
-            self._add(_tail(at, len(at) - known))
+        codes, counts, whole = self._by_hash(texts) if self.drops_space else self._by_text(texts)
         start = self.start
         lengths = start[codes + 1] - start[codes]
         ends = np.concatenate([[0], np.cumsum(lengths)])
@@ -147,12 +124,72 @@ class Encoder:
         size = ends[edge[1:]] - ends[edge[:-1]]
         if not whole:
             return flat, np.concatenate([[0], np.cumsum(size)])
-        apart = self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
         pieces = np.split(flat, ends[edge[1:-1]])
+        apart = self.tokenizer.encode_batch_fast(list(whole.values()), add_special_tokens=False)
         for i, e in zip(whole, apart, strict=True):
             pieces[i] = np.array(e.ids, np.uint32)
         return np.concatenate(pieces), np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
 
+    def _by_hash(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, dict[int, str]]:
+        """(numbers of all parts in a row, parts of each text, none): parts between ASCII white space, known by 64-bit hashes."""
+        data, offs = T.utf8(texts)
+        low = T.LOWER[data]  # as the library's normalizer does; what is not ASCII is left to it
+        s, e, first = T.words(low, offs, T.SOLID)
+        s, e, first = _without_tails(low, s, e, first)
+        u, at, inverse = np.unique(T.word_hashes(low, s, e), return_index=True, return_inverse=True)
+        known = len(self.at)
+        codes = np.fromiter(map(self.at.__getitem__, u.tolist()), np.int64, len(u))
+        fresh = at[codes >= known]
+        if len(fresh):
+            raw = low.tobytes()
+            self._add([raw[i:j].decode() for i, j in zip(s[fresh].tolist(), e[fresh].tolist(), strict=True)])
+        return codes[inverse.ravel()], np.diff(first), {}
+
+    def _by_text(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, dict[int, str]]:
+        """(numbers of all parts in a row, parts of each text, texts that are encoded whole)."""
+        parts: list[str] = []
+        heads: list[str] = []
+        counts = np.zeros(len(texts), np.int64)
+        whole = {}
+        for i, t in enumerate(texts.to_pylist()):
+            if not t:
+                continue
+            if "\x01" in t or _RUN.search(t):
+                whole[i] = t
+                continue
+            p = t.replace(" ", "\x01 ").split("\x01")
+            if p[0]:
+                heads.append(p[0])
+            else:
+                del p[0]
+            counts[i] = len(p)
+            parts += p
+        at = self.at
+        known = len(at)
+        for p in heads:  # these have no leading space; first, so that they stand together
+            at[p]
+        codes = np.fromiter(map(at.__getitem__, parts), np.int64, len(parts))
+        if len(at) > known:
+            self._add(_tail(at, len(at) - known))
+        return codes, counts, whole
+
+
+def _without_tails(low: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parts whose signs after a last ASCII letter or digit stand apart: a piece ends there, and signs alone are one piece."""
+    solid = np.where(_SIGN[low], 0, np.arange(1, len(low) + 1))
+    last = np.maximum.accumulate(solid) if len(low) else solid  # one past the last byte that is no sign
+    cut = last[e - 1] if len(e) else e
+    apart = (cut > s) & (cut < e)
+    tip = low[cut[apart] - 1]
+    apart[apart] = T.ALNUM[tip] & (tip < 128)
+    before = np.concatenate([[0], np.cumsum(apart)])
+    n = len(s) + before[-1]
+    at = np.arange(len(s)) + before[:-1]
+    start, end = np.empty(n, np.int64), np.empty(n, np.int64)
+    start[at], end[at] = s, np.where(apart, cut, e)
+    start[at[apart] + 1], end[at[apart] + 1] = cut[apart], e[apart]
+    return start, end, first + before[first]
+
 
 def _tail(table: dict, n: int) -> list:
     """The last n keys of a dict, in order."""

@@ -2,6 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from glossweave.functions.session import table
 from glossweave.llm import packing as P
@@ -72,11 +73,11 @@ def test_patterns_keep_the_histogram():
 
 
 def test_encoder_gives_the_librarys_ids():
-    texts = ["a b", "", " lead", "x  y", "x \n y", "tab\t z", "<|endoftext|> Q", "É é ́x Σ ΟΔΟΣ İ", "\x01 \x02", "don't  I'll 12 345", "a b c", "\x1c x \x1d"] * 2
+    texts = ["a b", "", " lead", "x  y", "x \n y", "tab\t z", "<|endoftext|> Q", "É é ́x Σ ΟΔΟΣ İ", "\x01 \x02", "don't  I'll 12 345", "a b c", "\x1c x \x1d", "a\u00a0b \u3000c", "ΑΣ. ΑΣ", "dogs' it's. !!a!! b--c-- 4.0. é. x_ _y_ 's. z'll,. \x7f. q\x00", None] * 2
     for path in (BYTE, WORD):
         e = Encoder(path)
         for _ in range(2):
-            ids, at = e.encode(texts)
+            ids, at = e.encode(pa.array(texts))
             for i, t in enumerate(texts):
                 assert ids[at[i] : at[i + 1]].tolist() == plain(path, t, 0)[:-1], t
 

@@ -1 +1 @@
-"""See the modules of this subpackage."""
+"""Empty: all sources of the link graph are snapshots of tables, without event times, so nothing streams."""

@@ -132,17 +132,32 @@ def forest(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> lis
     return links
 
 
+#: A key with more than this share of a table's rows is joined apart; there are at most as many as its inverse.
+HOT_SHARE = 1 / 1000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows`` joined with a table that has each key once and, as ``copies``, how many rows have it.
+
+    Keys with more than ``HOT_SHARE`` of all rows, at most 1 / HOT_SHARE of them, are broadcast, so their rows stay where
+    they are; the others are joined as usual."""
+    hot = F.broadcast(counted.where(F.col("copies") > max(1.0, total * HOT_SHARE)))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(counted, keys)
+    return rows.join(hot, keys).unionByName(rest)
+
+
 def _tiles(members: DataFrame, percent: int, block: int) -> DataFrame:
     """(a, b): links between the sets of each family. ``members``: family, id, n, members."""
     kind = members.schema["id"].dataType.simpleString()
     ratio = math.log(100 / percent) * 1.01  # a little more than the threshold, so rounding parts no linked sizes
-    size = members.groupBy("family").agg(F.count("*").alias("all"))
-    sized = members.join(size, "family").withColumn("band", F.when(F.col("all") > block, F.floor(F.log("n") / ratio)).otherwise(0).cast("int"))
-    cells = sized.groupBy("family", "band").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("k"))
+    size = checkpoint(members.groupBy("family").agg(F.count("*").alias("copies")))
+    total = size.agg(F.sum("copies")).first()[0] or 0
+    sized = join_counted(members, size, ["family"], total).withColumnRenamed("copies", "all").withColumn("band", F.when(F.col("all") > block, F.floor(F.log("n") / ratio)).otherwise(0).cast("int"))
+    cells = checkpoint(sized.groupBy("family", "band").agg(F.count("*").alias("copies"))).withColumn("k", F.ceil(F.col("copies") / F.lit(block)).cast("int"))
     up = cells.select("family", (F.col("band") - 1).alias("band"), F.col("k").alias("k_up"))
     down = cells.select("family", (F.col("band") + 1).alias("band"), F.col("k").alias("k_down"))
     cells = cells.join(up, ["family", "band"], "left").join(down, ["family", "band"], "left")
-    row = sized.join(cells, ["family", "band"]).withColumn("i", F.pmod(F.xxhash64("id", "f1"), F.col("k")).cast("int"))
+    row = join_counted(sized, cells, ["family", "band"], total).withColumn("i", F.pmod(F.xxhash64("id", "f1"), F.col("k")).cast("int"))
 
     def tile(other_band: str, i: str, j: str, side: int) -> str:
         return f"named_struct('band', {other_band}, 'i', {i}, 'j', {j}, 'side', {side})"
@@ -164,20 +179,6 @@ def _tiles(members: DataFrame, percent: int, block: int) -> DataFrame:
     return dealt.groupBy("family", "band", "i", "j").applyInArrow(links, f"a {kind}, b {kind}")
 
 
-#: A key with more than this share of a table's rows is joined apart; there are at most as many as its inverse.
-HOT_SHARE = 1 / 1000
-
-
-def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """``rows`` joined with a table that has each key once and, as ``copies``, how many rows have it.
-
-    Keys with more than ``HOT_SHARE`` of all rows, at most 1 / HOT_SHARE of them, are broadcast, so their rows stay where
-    they are; the others are joined as usual."""
-    hot = F.broadcast(counted.where(F.col("copies") > max(1.0, total * HOT_SHARE)))
-    rest = rows.join(hot.select(*keys), keys, "left_anti").join(counted, keys)
-    return rows.join(hot, keys).unionByName(rest)
-
-
 def groups(docs: DataFrame, words: int = 3, percent: int = 90, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id of every document: the size of its set and the smallest id that links reach.
 
@@ -201,7 +202,7 @@ def groups(docs: DataFrame, words: int = 3, percent: int = 90, block: int = BLOC
     least = checkpoint(least.select("gram", "m", "copies"))
     grams = least.agg(F.sum("copies")).first()[0] or 0
     family = connected_components(join_counted(first, least, ["gram"], grams).select(F.col("id").alias("a"), F.col("m").alias("b")))
-    members = reps.join(family.withColumnRenamed("root", "family"), "id").select("family", "id", "f1", "n", "members")
+    members = stored(reps.join(family.withColumnRenamed("root", "family"), "id").select("family", "id", "f1", "n", "members"), "members")
     # rows of one doc_id with different texts are one node
     twice = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
     twice = checkpoint(twice)

@@ -7,20 +7,30 @@ import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where it lies here, whatever folder they start in."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(p for p in (root, env.get("PYTHONPATH", "")) if p)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of ``sf_dir``, through Spark's reader alone, so any store that Spark reads will do."""
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset (local tests), one of our own."""
     global _own_dir
+    importable(spark)
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if _own_dir is None:
@@ -50,6 +60,7 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
 
 def shards(spark: SparkSession) -> int:
     """Into how many parts whole-table steps are dealt: the session's number of shuffle partitions, which is to follow the input's size."""
+    importable(spark)
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 

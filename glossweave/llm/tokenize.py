@@ -10,7 +10,6 @@ kept in a bounded table of the process. All ways give the library's ids for the
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 from itertools import groupby
 from unicodedata import is_normalized
@@ -26,10 +25,11 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 KEEP = 600_000
 #: Parts encoded in one call.
 TOGETHER = 8192
-_RUN = re.compile(r"\s ")
 #: ASCII bytes that are neither letters, digits nor white space.
 _SIGN = ~T.ALNUM & T.SOLID
-_SIGN[:0x21] = _SIGN[0x7F] = False
+_SIGN[:0x21] = _SIGN[0x41:0x5B] = _SIGN[0x7F] = False
+_TIP = np.zeros(256, bool)
+_TIP[0x30:0x3A] = _TIP[0x41:0x5B] = _TIP[0x61:0x7B] = True
 _open: dict[str, "Encoder"] = {}
 
 
@@ -114,7 +114,7 @@ class Encoder:
         """(ids of all texts in a row, offsets) of an Arrow column of texts; null counts as empty."""
         if self.known > KEEP:
             self.clear()
-        codes, counts, whole = self._by_hash(texts) if self.drops_space else self._by_text(texts)
+        codes, counts, whole = self._by_hash(texts)
         start = self.start
         lengths = start[codes + 1] - start[codes]
         ends = np.concatenate([[0], np.cumsum(lengths)])
@@ -131,47 +131,49 @@ class Encoder:
         return np.concatenate(pieces), np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
 
     def _by_hash(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, dict[int, str]]:
-        """(numbers of all parts in a row, parts of each text, none): parts between ASCII white space, known by 64-bit hashes."""
+        """(numbers of all parts in a row, parts of each text, texts that are encoded whole): parts are known by 64-bit hashes."""
         data, offs = T.utf8(texts)
-        low = T.LOWER[data]  # as the library's normalizer does; what is not ASCII is left to it
-        s, e, first = T.words(low, offs, T.SOLID)
-        s, e, first = _without_tails(low, s, e, first)
-        u, at, inverse = np.unique(T.word_hashes(low, s, e), return_index=True, return_inverse=True)
+        whole = {}
+        if self.drops_space:
+            data = T.LOWER[data]  # as the library's normalizer does; what is not ASCII is left to it
+            s, e, first = T.words(data, offs, T.SOLID)
+        else:
+            s, e, first, runs = _spaced(data, offs)
+            whole = {int(i): texts[int(i)].as_py() for i in runs}
+        s, e, first = _without_tails(data, s, e, first)
+        u, at, inverse = np.unique(T.word_hashes(data, s, e), return_index=True, return_inverse=True)
+        # parts without a leading space stand together, so that the others can be encoded as one text
+        order = np.argsort(data[s[at]] == 0x20, kind="stable") if len(at) else at
         known = len(self.at)
-        codes = np.fromiter(map(self.at.__getitem__, u.tolist()), np.int64, len(u))
-        fresh = at[codes >= known]
+        codes = np.empty(len(u), np.int64)
+        codes[order] = np.fromiter(map(self.at.__getitem__, u[order].tolist()), np.int64, len(u))
+        fresh = at[order][codes[order] >= known]
         if len(fresh):
-            raw = low.tobytes()
+            raw = data.tobytes()
             self._add([raw[i:j].decode() for i, j in zip(s[fresh].tolist(), e[fresh].tolist(), strict=True)])
-        return codes[inverse.ravel()], np.diff(first), {}
-
-    def _by_text(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, dict[int, str]]:
-        """(numbers of all parts in a row, parts of each text, texts that are encoded whole)."""
-        parts: list[str] = []
-        heads: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        whole = {}
-        for i, t in enumerate(texts.to_pylist()):
-            if not t:
-                continue
-            if "\x01" in t or _RUN.search(t):
-                whole[i] = t
-                continue
-            p = t.replace(" ", "\x01 ").split("\x01")
-            if p[0]:
-                heads.append(p[0])
-            else:
-                del p[0]
-            counts[i] = len(p)
-            parts += p
-        at = self.at
-        known = len(at)
-        for p in heads:  # these have no leading space; first, so that they stand together
-            at[p]
-        codes = np.fromiter(map(at.__getitem__, parts), np.int64, len(parts))
-        if len(at) > known:
-            self._add(_tail(at, len(at) - known))
-        return codes, counts, whole
+        return codes[inverse.ravel()], np.diff(first), whole
+
+
+def _spaced(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first of each text, texts left out): parts that begin at each space or text; texts in which white space stands before a space are left out."""
+    n = len(data)
+    space = np.flatnonzero(data == 0x20)
+    heads = offs[:-1][np.diff(offs) > 0]
+    inner = space[~np.isin(space, heads)]
+    before = data[inner - 1]
+    bad = ~T.SOLID[before] | ((before >= 0x1C) & (before < 0x20))
+    odd = np.flatnonzero(before >= 0x80)
+    if len(odd):  # white space outside ASCII ends in these bytes
+        k = inner[odd]
+        one, two, three = data[k - 1], data[k - 2], data[np.maximum(k - 3, 0)]
+        bad[odd] |= (two == 0xC2) & ((one == 0x85) | (one == 0xA0)) | (three == 0xE1) & (two == 0x9A) | (three == 0xE2) & ((two == 0x80) | (two == 0x81)) | (three == 0xE3) & (two == 0x80)
+    starts = np.sort(np.concatenate([heads, inner]))
+    ends = np.append(starts[1:], n)[: len(starts)]
+    out = np.unique(np.searchsorted(offs, inner[bad], "right") - 1)
+    if len(out):
+        keep = ~np.isin(np.searchsorted(offs, starts, "right") - 1, out)
+        starts, ends = starts[keep], ends[keep]
+    return starts, ends, np.searchsorted(starts, offs), out
 
 
 def _without_tails(low: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,8 +182,7 @@ def _without_tails(low: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndar
     last = np.maximum.accumulate(solid) if len(low) else solid  # one past the last byte that is no sign
     cut = last[e - 1] if len(e) else e
     apart = (cut > s) & (cut < e)
-    tip = low[cut[apart] - 1]
-    apart[apart] = T.ALNUM[tip] & (tip < 128)
+    apart[apart] = _TIP[low[cut[apart] - 1]]
     before = np.concatenate([[0], np.cumsum(apart)])
     n = len(s) + before[-1]
     at = np.arange(len(s)) + before[:-1]
@@ -191,12 +192,6 @@ def _without_tails(low: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndar
     return start, end, first + before[first]
 
 
-def _tail(table: dict, n: int) -> list:
-    """The last n keys of a dict, in order."""
-    it = reversed(table)
-    return [next(it) for _ in range(n)][::-1]
-
-
 def encoder(path: str) -> Encoder:
     """This process's encoder for a vocabulary file."""
     if path not in _open:

@@ -73,7 +73,7 @@ def test_patterns_keep_the_histogram():
 
 
 def test_encoder_gives_the_librarys_ids():
-    texts = ["a b", "", " lead", "x  y", "x \n y", "tab\t z", "<|endoftext|> Q", "É é ́x Σ ΟΔΟΣ İ", "\x01 \x02", "don't  I'll 12 345", "a b c", "\x1c x \x1d", "a\u00a0b \u3000c", "ΑΣ. ΑΣ", "dogs' it's. !!a!! b--c-- 4.0. é. x_ _y_ 's. z'll,. \x7f. q\x00", None] * 2
+    texts = ["a b", "", " lead", "x  y", "x \n y", "tab\t z", "<|endoftext|> Q", "É é ́x Σ ΟΔΟΣ İ", "\x01 \x02", "don't  I'll 12 345", "a b c", "\x1c x \x1d", "a\u00a0b \u3000c", "ΑΣ. ΑΣ", "dogs' it's. !!a!! b--c-- 4.0. é. x_ _y_ 's. z'll,. \x7f. q\x00 iPhone aB. McX,Y. Zz", " ", "  ", "a ", None] * 2
     for path in (BYTE, WORD):
         e = Encoder(path)
         for _ in range(2):

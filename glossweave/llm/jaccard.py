@@ -83,8 +83,8 @@ def _first(dealt: DataFrame, back: DataFrame, n: int, percent: int) -> DataFrame
                     f2.append(int(T.mix(v ^ np.uint64(T.BASE)).sum().view(np.int64)))
                 shared = d > 1
                 order = np.lexsort((v[shared], d[shared]))[: room[k] - alone[k]]
-                # sets of so few that one missing breaks the link are linked with equal sets only
-                prefix.append(v[shared][order].view(np.int64).tolist() if need(total[k], percent) < total[k] else [])
+                # sets of so few that even one more member breaks the link are linked with equal sets only
+                prefix.append(v[shared][order].view(np.int64).tolist() if total[k] * (100 - percent) >= percent else [])
                 sets.append(v.tobytes())
         X.trim()
         return pa.table({"doc_id": docs["doc_id"], "n_shingles": np.concatenate(size) if size else np.zeros(0, np.int64), "f1": pa.array(f1, pa.int64()), "f2": pa.array(f2, pa.int64()), "prefix": pa.array(prefix, pa.list_(pa.int64())), "members": pa.array(sets, pa.binary())})

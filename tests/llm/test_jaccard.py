@@ -68,6 +68,22 @@ def test_near_copies_and_tiles(docs_of):
     check(docs, percent=80, block=16)
 
 
+def test_short_sets_link_with_larger_ones(docs_of):
+    words = [f"s{k}" for k in range(14)]
+    rows = [(1, words[:11]), (2, words[:12]), (3, words[:13])]  # a chain of 9, 10 and 11 n-grams
+    rows += [(4, [f"t{k}" for k in range(12)]), (5, [f"t{k}" for k in range(1, 12)])]
+    # all sizes, each with a word less at either end
+    for n in range(1, 17):
+        own = [f"u{n}x{k}" for k in range(n)]
+        rows += [(10 * n + k, w) for k, w in enumerate((own, own[1:], own[:-1], own[1:-1]), 10)]
+    docs = docs_of([(i, " ".join(w)) for i, w in rows])
+    got = {r["doc_id"]: r["component_id"] for r in J.groups(docs).collect()}
+    assert [got[i] for i in (1, 2, 3, 4, 5)] == [1, 1, 1, 4, 4]
+    assert check(docs) > 10
+    check(docs, percent=80)
+    check(docs, block=2)
+
+
 def test_odd_rows(spark, odd, docs_of):
     check(odd)
     twice = J.groups(odd.union(odd)).collect()

@@ -1,7 +1,7 @@
 """Operator 7: license notices, by an exact set-similarity join of text blocks with templates.
 
 A block is a line's words; longer lines give blocks of ``BLOCK`` words at every ``STEP``, so each run of ``STEP`` words
-lies in one. A template's containment in a block is the share of its distinct words that the block has. Template words
+lies in one. As notices are often wrapped, so does the document's whole word sequence, across its lines. A template's containment in a block is the share of its distinct words that the block has. Template words
 are ordered by their number in the whole corpus, rarest first. A block can reach the threshold only if it has one of a
 template's first words (prefix filter), enough distinct words (length filter), and if the words from its first common one
 on suffice (positional filter); what is left is counted exactly. Only the templates (a fixed table) go to the executors.
@@ -69,7 +69,7 @@ def find(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def blocks(line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of blocks over words, from each word's line number; every run of STEP words of a line lies in one."""
+    """(starts, ends) of blocks over words, from each word's line (or text) number; every run of STEP words of one lies in one."""
     first = np.flatnonzero(np.diff(line, prepend=-1))
     n = np.diff(np.append(first, len(line)))
     per = np.maximum(1, -(-(n - BLOCK) // STEP) + 1)
@@ -128,7 +128,8 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
         known = np.flatnonzero(at >= 0)
         newline = np.cumsum(data == 10)
         line = (newline[s] if len(s) else np.zeros(0, np.int64)) + doc
-        bs, be = blocks(line)
+        bs, be = (np.concatenate(x) for x in zip(blocks(line), blocks(doc), strict=True))
+        bs, be = np.divmod(np.unique(bs * (len(h) + 1) + be), len(h) + 1)
         rare = known[table.prefix[at[known]]]
         below = np.searchsorted(rare, bs)
         cand = np.flatnonzero(np.searchsorted(rare, be) > below)

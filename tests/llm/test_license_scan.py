@@ -55,6 +55,25 @@ def test_made_notices(spark, docs_of):
     check(docs_of(rows + rows))
 
 
+def test_wrapped_notices(spark, docs_of):
+    fill = "filler " * 70
+    notices = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation",
+        "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided",
+        "gpl": " * This program is free software; you can redistribute it and/or\n * modify it under the terms of the GNU General\n * Public License as published",
+    }
+    rows = [(10 * k + n, t) for k, t in enumerate(notices.values()) for n, t in enumerate((t, f"{fill}\n{t}\n{fill}", t.replace("\n", "\r\n\r\n"), "x\n\n" + t.replace(" ", "\n")))]
+    got = {r["doc_id"]: (r["labels"], r["score"], r["matches"]) for r in L.scan(docs_of(rows)).collect()}
+    for k, label in enumerate(notices):
+        for n in range(4):
+            labels, score, matches = got[10 * k + n]
+            assert labels == label and score == 1.0, (label, n)
+            assert len({(m["template"], m["first"], m["end"]) for m in matches}) == len(matches)
+    # words of two documents never make one block
+    parts = notices["bsd"].split("\n")
+    assert [r["labels"] for r in L.scan(docs_of(list(enumerate(parts)))).collect()] == ["", ""]
+
+
 def test_odd_rows(spark, odd, docs_of):
     check(odd)
     assert L.scan(docs_of([])).count() == 0

@@ -292,11 +292,16 @@ def betweenness(pages: DataFrame, edges: DataFrame, member: DataFrame, limit: in
 # ---- greedy folds as native expressions ----
 
 
-def models(pages: DataFrame, edges: DataFrame, member: DataFrame, limit: int = 300) -> DataFrame:
-    """(root, pages, links) of components of at most ``limit`` pages: arrays of (k, l) and (a, b, w) in order of keys."""
+#: Pages of a component that the native fold takes at most; ``greedy`` takes larger ones.
+FOLD_LIMIT = 300
+
+
+def models(pages: DataFrame, edges: DataFrame, member: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(root, pages, links) of components, refused beyond ``limit`` pages: arrays of (k, l) and (a, b, w) in order of keys."""
     p = pages.where("redirect_id is null").join(member, "key").groupBy("root").agg(F.array_sort(F.collect_list(F.struct(F.col("key").alias("k"), F.col("lang").alias("l")))).alias("pages"))
     e = edges.join(member.withColumnRenamed("key", "a"), "a").groupBy("root").agg(F.array_sort(F.collect_list(F.struct("a", "b", F.col("weight").alias("w")))).alias("links"))
-    return p.where(F.size("pages") <= limit).join(e, "root")
+    refused = F.raise_error(F.concat(F.lit("component "), "root", F.lit(" has "), F.size("pages").cast("string"), F.lit(f" pages, more than {limit}")))
+    return p.withColumn("pages", F.when(F.size("pages") <= limit, F.col("pages")).otherwise(refused)).join(e, "root")
 
 
 def fold(pages: Column, links: Column) -> Column:
@@ -319,15 +324,36 @@ def fold(pages: Column, links: Column) -> Column:
     return F.aggregate(links, start, step)
 
 
-def random_costs(model: DataFrame, repeats: int = 10) -> DataFrame:
-    """(root, seed, nodes, cost): greedy folds in pseudo-random orders that follow from seed and edge alone."""
+def folded(df: DataFrame, keep: list[str], fold_limit: int) -> DataFrame:
+    """(keep, nodes, cost) of greedy merging along ``keyed``: by ``fold`` up to ``fold_limit`` pages, by ``greedy`` beyond."""
+    node = "array<struct<k:string,l:string,c:int>>"
+    native = df.where(F.size("pages") <= fold_limit).withColumn("f", fold(F.col("pages"), F.col("keyed")))
+
+    def large(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                keys, langs = [n["k"] for n in row["pages"]], [n["l"] for n in row["pages"]]
+                at = {k: i for i, k in enumerate(keys)}
+                edges = [(at[e["a"]], at[e["b"]], float(e["w"])) for e in row["keyed"] if e["a"] in at and e["b"] in at]
+                own, cost = greedy(Component("", keys, langs, edges), range(len(edges)))
+                nodes = [{"k": k, "l": l, "c": c} for k, l, c in zip(keys, langs, own.of, strict=True)]
+                yield pd.DataFrame({**{c: [row[c]] for c in keep}, "nodes": [nodes], "cost": [float(cost)]})
+
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep)
+    beyond = df.where(F.size("pages") > fold_limit).select(*keep, "pages", F.transform("keyed", lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b"), e["w"].cast("double").alias("w"))).alias("keyed"))
+    beyond = beyond.mapInPandas(large, f"{kinds}, nodes {node}, cost double")
+    return native.select(*keep, F.col("f.nodes").cast(node).alias("nodes"), F.col("f.cost").alias("cost")).unionByName(beyond)
+
+
+def random_costs(model: DataFrame, repeats: int = 10, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+    """(root, seed, nodes, cost): greedy merging in pseudo-random orders that follow from seed and edge alone."""
     seeds = model.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("seed"))
     keyed = F.array_sort(F.transform("links", lambda e: F.struct(F.xxhash64(F.col("seed"), e["a"], e["b"]).alias("h"), e["a"].alias("a"), e["b"].alias("b"), e["w"].alias("w"))))
-    return seeds.withColumn("f", fold(F.col("pages"), keyed)).select("root", "seed", "f.nodes", "f.cost")
+    return folded(seeds.withColumn("keyed", keyed), ["root", "seed"], fold_limit)
 
 
-def spatial(model: DataFrame, positions: DataFrame, member: DataFrame) -> DataFrame:
-    """(root, nodes, cost): greedy folds along edges in order of the distance between their pages."""
+def spatial(model: DataFrame, positions: DataFrame, member: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+    """(root, nodes, cost): greedy merging along edges in order of the distance between their pages."""
     at = positions.join(member, positions["page_id"] == member["key"]).groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("page_id", F.struct("x", "y", "z")))).alias("at"))
 
     def far(e: Column) -> Column:
@@ -335,7 +361,7 @@ def spatial(model: DataFrame, positions: DataFrame, member: DataFrame) -> DataFr
         return sum((p[c] - q[c]) * (p[c] - q[c]) for c in "xyz")
 
     keyed = F.array_sort(F.transform("links", lambda e: F.struct(far(e).alias("d"), e["a"].alias("a"), e["b"].alias("b"), e["w"].alias("w"))))
-    return model.join(at, "root").withColumn("f", fold(F.col("pages"), keyed)).select("root", "f.nodes", "f.cost")
+    return folded(model.join(at, "root").withColumn("keyed", keyed), ["root"], fold_limit)
 
 
 def validity(found: DataFrame, pages: DataFrame, edges: DataFrame, member: DataFrame) -> DataFrame:

@@ -249,6 +249,30 @@ def test_native_fold_equals_python(spark):
         assert named(c, own.of) == {frozenset(s) for s in clusters.values()} and np.isclose(cost, r["cost"])
 
 
+def test_no_large_component_is_dropped(spark):
+    # a chain of 310 pages and one of 6
+    links = [(f"{'abcd'[x % 4]}:{x:03}", f"{'abcd'[(x + 1) % 4]}:{x + 1:03}") for x in [*range(309), *range(400, 405)]]
+    keys = sorted({k for e in links for k in e})
+    pages = pages_of(spark, [(k, None) for k in keys])
+    edges = G.edges(pages, links_of(spark, links))
+    member = pages.select("key", F.when(F.substring("key", 3, 3) < "400", "r").otherwise("s").alias("root"))
+    at = pages.select(F.col("key").alias("page_id"), *(F.substring("key", 3, 3).cast("double").alias(c) for c in "xyz"))
+    model = C.models(pages, edges, member)
+
+    def nodes(df):
+        return {(r["root"], n["k"]) for r in df.collect() for n in r["nodes"]}
+
+    everything = {("r" if k[2:] < "400" else "s", k) for k in keys}
+    assert nodes(C.random_costs(model, 1)) == everything and nodes(C.spatial(model, at, member)) == everything
+    # both ways give the same
+    small = model.where("root = 's'")
+    for found in (lambda n: C.random_costs(small, 4, n), lambda n: C.spatial(small, at, member, n)):
+        native, python = (sorted(map(str, found(n).collect())) for n in (300, 2))
+        assert native == python
+    with pytest.raises(Exception, match="more than 100"):
+        C.random_costs(C.models(pages, edges, member, 100), 1).collect()
+
+
 def test_merging_languages_twice_is_refused():
     c = C.Clusters(["en", "en", "de"])
     with pytest.raises(ValueError, match="language"):

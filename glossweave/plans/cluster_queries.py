@@ -86,6 +86,23 @@ def edge_betweenness(w: World) -> DataFrame:
     return C.betweenness(w.pages, w.edges.join(few.select(F.col("key").alias("a")), "a", "left_semi"), few).select("a", "b", F.round("eb", 6).alias("eb"))
 
 
+#: Distances and numbers of shortest paths between all pages of all components.
+_SHORTEST = """,
+arcs AS (SELECT e.a AS u, e.b AS v, e.a || ' ' || e.b AS e, size FROM edges e JOIN member ON key = a JOIN comps USING (root) UNION ALL SELECT e.b, e.a, e.a || ' ' || e.b, size FROM edges e JOIN member ON key = a JOIN comps USING (root)),
+steps AS (SELECT DISTINCT u AS s, u AS t, 0 AS d FROM arcs UNION SELECT w.s, a.v, w.d + 1 FROM steps w JOIN arcs a ON a.u = w.t WHERE w.d < a.size - 1),
+dist AS (SELECT s, t, min(d) AS d FROM steps GROUP BY s, t),
+paths AS (SELECT s, t, d, CAST(1 AS DOUBLE) AS n FROM dist WHERE d = 0
+    UNION ALL SELECT p.s, a.v, p.d + 1, sum(p.n) FROM paths p JOIN arcs a ON a.u = p.t JOIN dist x ON x.s = p.s AND x.t = a.v AND x.d = p.d + 1 GROUP BY p.s, a.v, p.d + 1),
+shares AS (SELECT e, p.n * q.n / r.n AS share FROM arcs JOIN paths p ON p.t = u JOIN paths q ON q.s = v JOIN paths r ON r.s = p.s AND r.t = q.t WHERE p.d + 1 + q.d = r.d)"""
+
+
+@query(sql("SELECT split_part(e, ' ', 1) AS a, split_part(e, ' ', 2) AS b, round(sum(share), 6) AS eb FROM shares GROUP BY e", COMPS, EDGES, _SHORTEST))
+def edge_betweenness_all(w: World) -> DataFrame:
+    """Of every component, whatever its size; ``edge_betweenness`` has those that its SQL can enumerate."""
+    member = w.member.join(w.comps.select("root"), "root", "left_semi")
+    return C.betweenness(w.pages, w.edges, member).select("a", "b", F.round("eb", 6).alias("eb"))
+
+
 _SKELETON = """,
 nodes AS (SELECT m.root, meaning, count(*) AS size, coalesce(min(title) FILTER (WHERE lang = 'AUTOMOBILE'), '') AS label FROM pages JOIN meanings m ON key = page_id WHERE redirect_id IS NULL GROUP BY m.root, meaning),
 cuts AS (SELECT ma.root, least(ma.meaning, mb.meaning) AS m1, greatest(ma.meaning, mb.meaning) AS m2, count(*) AS n FROM edges JOIN meanings ma ON ma.page_id = a JOIN meanings mb ON mb.page_id = b WHERE ma.meaning <> mb.meaning GROUP BY 1, 2, 3)"""

@@ -280,3 +280,33 @@ def test_merging_languages_twice_is_refused():
     c.merge(0, 2)
     c.merge(0, 1, force=True)
     assert set(c.of) == {0}
+
+
+def test_edge_betweenness_of_every_component(spark, sf):
+    from glossweave.plans import registry
+
+    brute = {}
+    arcs = {}
+    got = {(r["a"], r["b"]): r["eb"] for r in registry.QUERIES["edge_betweenness_all"](spark, sf).collect()}
+    for a, b in got:
+        arcs.setdefault(a, set()).add(b)
+        arcs.setdefault(b, set()).add(a)
+    edges = {(r["a"], r["b"]) for r in registry.QUERIES["canonical_edges"](spark, sf).select("a", "b").collect()}
+    assert set(got) == edges
+    sizes = set()
+    for s in arcs:
+        level, found = {s: [[s]]}, {s: [[s]]}
+        while level:
+            after = {}
+            for u, ways in level.items():
+                for v in arcs[u] - found.keys():
+                    after.setdefault(v, []).extend([*way, v] for way in ways)
+            found |= after
+            level = after
+        sizes.add(len(found))
+        for t, ways in found.items():
+            for way in ways:
+                for e in zip(way, way[1:], strict=False):
+                    brute[tuple(sorted(e))] = brute.get(tuple(sorted(e)), 0) + 1 / len(ways)
+    assert max(sizes) > 8
+    assert all(abs(got[e] - x) < 1e-5 for e, x in brute.items()) and brute.keys() == got.keys()

@@ -4,21 +4,35 @@ from __future__ import annotations
 
 import atexit
 import os
+import secrets
 import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
+#: The variable by which Python workers learn the driver's random key.
+_SALT = "GLOSSWEAVE_SALT"
+
+
+def salt() -> bytes:
+    """A key that the driver draws at random, the same in all workers of its session."""
+    if _SALT not in os.environ:
+        if TaskContext.get() is not None:
+            raise RuntimeError("this worker has no key: call glossweave.functions.session.importable(spark) before the query")
+        os.environ[_SALT] = secrets.token_hex(16)
+    return bytes.fromhex(os.environ[_SALT])
 
 
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where it lies here, whatever folder they start in."""
+    """Lets Python workers import this package from where it lies here, whatever folder they start in, and know the driver's key."""
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(p for p in (root, env.get("PYTHONPATH", "")) if p)
+    env[_SALT] = salt().hex()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +47,8 @@ def shared_dir(spark: SparkSession) -> str:
     importable(spark)
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if _own_dir is None:
             _own_dir = tempfile.mkdtemp(prefix="glossweave-")
             atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)

@@ -2,17 +2,23 @@
 
 A batch's texts lie in one byte buffer with offsets, so words and hashes are found for all of its texts at once. Work
 goes in slices of about ``SLICE`` bytes of whole texts, so memory follows the slice and the longest text, not the batch.
-Hashes are 64-bit polynomials modulo 2**64 (odd base, so powers can be inverted), finished by a mixing step.
+Words are named by 64-bit hashes under a key that the driver draws at random for each process (see ``salt``), so nobody can
+write texts whose words collide; what is then said of words is checked on their bytes wherever that can be done in place.
+Runs of bytes (``prefix_hash``) have polynomials modulo 2**64 (odd base, so powers can be inverted); who uses these must
+compare bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from glossweave.functions.session import salt
+
 SLICE = 1 << 21
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
@@ -112,9 +118,50 @@ def span_hash(prefix: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         return (prefix[e] - prefix[s]) * powers(len(prefix), True)[s]
 
 
+#: Words of more bytes are hashed one by one, by a keyed cryptographic hash.
+LONG = 64
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
+
+
+def _eight(padded: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number; those beyond ``left`` are zero. ``padded`` has eight bytes to spare."""
+    rows = np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1))[at]
+    return rows.view("<u8").ravel() & _MASK[np.minimum(left, 8)]
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words of (already lower-cased) bytes."""
-    return mix(span_hash(prefix_hash(data), starts, ends))
+    """64-bit keyed hashes of words of (already lower-cased) bytes."""
+    if not len(starts):
+        return np.zeros(0, U64)
+    secret = salt()
+    key = np.frombuffer(hashlib.shake_128(secret).digest(8 * (LONG // 8 + 1)), "<u8").astype(U64)
+    padded, size = np.append(data, np.zeros(8, np.uint8)), ends - starts
+    with np.errstate(over="ignore"):
+        h = mix((_eight(padded, starts, size) ^ key[0]) + size.astype(U64) * (key[1] | U64(1)))
+        live = np.flatnonzero((size > 8) & (size <= LONG))
+        for k in range(1, LONG // 8):
+            live = live[size[live] > 8 * k]
+            if not len(live):
+                break
+            h[live] = mix((h[live] ^ _eight(padded, starts[live] + 8 * k, size[live] - 8 * k)) + key[k + 1])
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, key=secret).digest(), "little")
+    return h
+
+
+def same(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a[at_a : at_a + size] equals b[at_b : at_b + size], for each of many places."""
+    out = np.ones(len(size), bool)
+    pad_a, pad_b = np.append(a, np.zeros(8, np.uint8)), np.append(b, np.zeros(8, np.uint8))
+    live = np.flatnonzero(size <= LONG)
+    for k in range(0, LONG, 8):
+        live = live[size[live] > k]
+        if not len(live):
+            break
+        out[live] &= _eight(pad_a, at_a[live] + k, size[live] - k) == _eight(pad_b, at_b[live] + k, size[live] - k)
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = np.array_equal(a[at_a[i] : at_a[i] + size[i]], b[at_b[i] : at_b[i] + size[i]])
+    return out
 
 
 def hash_of(word: str) -> int:

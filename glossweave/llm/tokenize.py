@@ -1,10 +1,11 @@
 """Token ids by the tokenizers library, fast on whole columns.
 
 Both vocabularies split a text into pieces before they merge. Where white space is dropped, the parts between white
-space encode on their own, and are known by 64-bit hashes of their bytes. Elsewhere no piece holds a space after another
+space encode on their own; they are looked up by 64-bit hashes and compared with what is found on their bytes. Elsewhere no piece holds a space after another
 character, so the parts between spaces (each with its leading space) do; a text in which white space stands before a
 space is encoded whole, since there runs of white space could form one piece. Each part is looked up once and its ids
-kept in a bounded table of the process. All ways give the library's ids for the whole text.
+kept in a bounded table of the process. Texts that hold the content of an added token, in whatever case, and texts with a
+part whose hash misled are encoded whole. All ways give the library's ids for the whole text.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from glossweave.llm import text as T
 
@@ -52,7 +54,9 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer.from_file(path)
+        self.marks = sorted({t.content for t in self.plain.get_added_tokens_decoder().values()})
+        self.tokenizer = Tokenizer.from_file(path)  # for parts of texts without added tokens
         self.tokenizer.encode_special_tokens = True
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.drops_space = any(t.endswith("</w>") for t in vocab)
@@ -67,6 +71,8 @@ class Encoder:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 16, np.int64)
         self.known = self.used = 0
+        #: The bytes of all known parts in a row, and where each begins.
+        self.raw, self.raw_at = np.zeros(1 << 18, np.uint8), np.zeros(1 << 16, np.int64)
 
     def _size(self, part: str) -> int:
         """Bytes of all tokens of a part."""
@@ -103,6 +109,19 @@ class Encoder:
             self.start[self.known + 1 : self.known + len(n) + 1] = used + np.cumsum(n)
             self.known += len(n)
 
+    def _remember(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> None:
+        """The bytes of new parts, in the order of their numbers; the last ones known are the last numbers."""
+        size = e - s
+        first = self.known - len(s)
+        total = int(self.raw_at[first] + size.sum())
+        while len(self.raw) < total:
+            self.raw = np.concatenate([self.raw, np.zeros(len(self.raw), np.uint8)])
+        while len(self.raw_at) <= self.known:
+            self.raw_at = np.concatenate([self.raw_at, np.zeros(len(self.raw_at), np.int64)])
+        self.raw_at[first + 1 : self.known + 1] = self.raw_at[first] + np.cumsum(size)
+        pos = np.repeat(s - np.cumsum(size) + size, size) + np.arange(size.sum())
+        self.raw[self.raw_at[first] : total] = data[pos]
+
     @staticmethod
     def _groups(parts: list[str]) -> Iterator[list[str]]:
         """Runs of parts in order; those without a leading space, with which texts begin, stand apart."""
@@ -125,21 +144,21 @@ class Encoder:
         if not whole:
             return flat, np.concatenate([[0], np.cumsum(size)])
         pieces = np.split(flat, ends[edge[1:-1]])
-        apart = self.tokenizer.encode_batch_fast(list(whole.values()), add_special_tokens=False)
+        apart = self.plain.encode_batch_fast(list(whole.values()), add_special_tokens=False)
         for i, e in zip(whole, apart, strict=True):
             pieces[i] = np.array(e.ids, np.uint32)
         return np.concatenate(pieces), np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
 
     def _by_hash(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, dict[int, str]]:
-        """(numbers of all parts in a row, parts of each text, texts that are encoded whole): parts are known by 64-bit hashes."""
+        """(numbers of all parts in a row, parts of each text, texts that are encoded whole)."""
         data, offs = T.utf8(texts)
-        whole = {}
+        apart = [np.flatnonzero(pc.fill_null(pc.match_substring(texts, m, ignore_case=True), False)) for m in self.marks]
         if self.drops_space:
             data = T.LOWER[data]  # as the library's normalizer does; what is not ASCII is left to it
             s, e, first = T.words(data, offs, T.SOLID)
         else:
             s, e, first, runs = _spaced(data, offs)
-            whole = {int(i): texts[int(i)].as_py() for i in runs}
+            apart.append(runs)
         s, e, first = _without_tails(data, s, e, first)
         u, at, inverse = np.unique(T.word_hashes(data, s, e), return_index=True, return_inverse=True)
         # parts without a leading space stand together, so that the others can be encoded as one text
@@ -151,7 +170,16 @@ class Encoder:
         if len(fresh):
             raw = data.tobytes()
             self._add([raw[i:j].decode() for i, j in zip(s[fresh].tolist(), e[fresh].tolist(), strict=True)])
-        return codes[inverse.ravel()], np.diff(first), whole
+            self._remember(data, s[fresh], e[fresh])
+        found = codes[inverse.ravel()]
+        size = e - s
+        misled = size != self.raw_at[found + 1] - self.raw_at[found]
+        alike = np.flatnonzero(~misled)
+        misled[alike] = ~T.same(data, s[alike], self.raw, self.raw_at[found[alike]], size[alike])
+        if misled.any():
+            apart.append(np.searchsorted(first, np.flatnonzero(misled), "right") - 1)
+        whole = {int(i): texts[int(i)].as_py() for i in np.unique(np.concatenate(apart))} if apart else {}
+        return found, np.diff(first), whole
 
 
 def _spaced(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

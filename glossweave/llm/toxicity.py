@@ -34,10 +34,9 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """(starts, ends, first words, features): feature hashes of each word, one array for each kind."""
     low = T.LOWER[data]
     s, e, first = T.words(low, offs, T.ALNUM)
-    p = T.prefix_hash(low)
-    kinds = [T.mix(T.span_hash(p, s, e))]
+    kinds = [T.word_hashes(low, s, e)]
     for n in PREFIXES:
-        h = T.mix(T.span_hash(p, s, np.minimum(e, s + n)) + np.uint64(n))
+        h = T.mix(T.word_hashes(low, s, np.minimum(e, s + n)) + np.uint64(n))
         h[e - s < n] = 0
         kinds.append(h)
     return s, e, first, kinds

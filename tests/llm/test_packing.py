@@ -5,22 +5,33 @@ import numpy as np
 import pyarrow as pa
 
 from glossweave.functions.session import table
+from tokenizers import Tokenizer
+
 from glossweave.llm import packing as P
+from glossweave.llm import text as T
 from glossweave.llm import token_orc as O
-from glossweave.llm.tokenize import Encoder, encoder, vocabulary
+from glossweave.llm.tokenize import Encoder, vocabulary
 
 BYTE, WORD = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
+LIBRARY = {p: Tokenizer.from_file(p) for p in (BYTE, WORD)}
 
 
 def plain(path, text, end):
-    t = encoder(path).tokenizer
-    return [*t.encode(text or "", add_special_tokens=False).ids, end]
+    return [*LIBRARY[path].encode(text or "", add_special_tokens=False).ids, end]
 
 
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def twins(n):
+    """Two words of n letters on which polynomials modulo 2**64 agree from 1024 letters on."""
+    t = "a"
+    while len(t) < n:
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
 def check(docs, size=2048):
     rows = P.pack(docs, BYTE, size=size, with_ids=True).collect()
     texts = defaultdict(list)
@@ -57,6 +68,7 @@ def test_pack_against_brute_force(spark, sf):
 
 def test_odd_rows(odd, docs_of):
     check(odd.union(odd))
+    check(docs_of([(k, t) for k, t in enumerate([*twins(1024), *twins(2048), "a <|endoftext|> b"])]))
     assert P.pack(docs_of([]), BYTE).count() == 0
 
 
@@ -73,7 +85,7 @@ def test_patterns_keep_the_histogram():
 
 
 def test_encoder_gives_the_librarys_ids():
-    texts = ["a b", "", " lead", "x  y", "x \n y", "tab\t z", "<|endoftext|> Q", "É é ́x Σ ΟΔΟΣ İ", "\x01 \x02", "don't  I'll 12 345", "a b c", "\x1c x \x1d", "a\u00a0b \u3000c", "ΑΣ. ΑΣ", "dogs' it's. !!a!! b--c-- 4.0. é. x_ _y_ 's. z'll,. \x7f. q\x00 iPhone aB. McX,Y. Zz", " ", "  ", "a ", None] * 2
+    texts = ["a b", "", " lead", "x  y", "x \n y", "tab\t z", "<|endoftext|> Q", "É é ́x Σ ΟΔΟΣ İ", "\x01 \x02", "don't  I'll 12 345", "a b c", "\x1c x \x1d", "a\u00a0b \u3000c", "ΑΣ. ΑΣ", "dogs' it's. !!a!! b--c-- 4.0. é. x_ _y_ 's. z'll,. \x7f. q\x00 iPhone aB. McX,Y. Zz", " ", "  ", "a ", None, "a <|endoftext|> b", "x<|ENDOFTEXT|>y <|startoftext|>", *twins(1024), *twins(2048), " ".join(twins(64))] * 2
     for path in (BYTE, WORD):
         e = Encoder(path)
         for _ in range(2):
@@ -82,6 +94,16 @@ def test_encoder_gives_the_librarys_ids():
                 assert ids[at[i] : at[i + 1]].tolist() == plain(path, t, 0)[:-1], t
 
 
+def test_misleading_hashes_change_no_ids(monkeypatch):
+    texts = ["some words here", "other words there, and more", "", "x", None, "words some"]
+    real = T.word_hashes
+    monkeypatch.setattr(T, "word_hashes", lambda d, s, e: real(d, s, e) & np.uint64(1))
+    for path in (BYTE, WORD):
+        ids, at = Encoder(path).encode(pa.array(texts))
+        for i, t in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == plain(path, t, 0)[:-1], t
+
+
 def round_trip(docs):
     got = O.round_trip(docs, WORD).collect()
     want = sorted((r[0], plain(WORD, r[1], 2)) for r in docs.select("doc_id", "text").collect())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from glossweave.functions.session import table
 from glossweave.llm import decontaminate, jaccard, license_scan, lm_score, packing, quality, suffix_dedup, token_orc, topk, toxicity
@@ -18,7 +19,8 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(table(spark, sf_dir, "documents"))
+    found = lm_score.score(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

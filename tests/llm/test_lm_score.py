@@ -16,28 +16,35 @@ def words(t):
 
 def brute(rows):
     held = [zlib.crc32(str("" if i is None else i).encode()) % 7 == 2 for i, _ in rows]
-    uni, bi, after, ctx = Counter(), Counter(), defaultdict(set), Counter()
+    seen, after = [Counter() for _ in range(4)], defaultdict(set)
+    starts = 0
     for (_, t), h in zip(rows, held, strict=True):
         if not h:
-            w = words(t)
-            uni.update(w)
-            for a, b in zip(["<s>", *w], w, strict=False):
-                bi[a, b] += 1
-                after[a].add(b)
-                ctx[a] += 1
-    n, v = sum(uni.values()), len(uni)
+            starts += 1
+            w = ["<s>", *words(t)]
+            for k in range(len(w)):
+                for n in (1, 2, 3):
+                    if k >= n - 1 and (n > 1 or k):
+                        g = tuple(w[k - n + 1 : k + 1])
+                        seen[n][g] += 1
+                        after[g[:-1]].add(g[-1])
+    n, v = sum(seen[1].values()), len(seen[1])
+    count_of = lambda h: starts if h == ("<s>",) else seen[len(h)][h]
+    ds = {k: L.discount(sum(c == 1 for c in seen[k].values()), sum(c == 2 for c in seen[k].values())) for k in (2, 3)}
+
+    def p(context, word):
+        if not context:
+            return (seen[1][word,] + 1) / (n + v + 1)
+        lower, c = p(context[1:], word), count_of(context)
+        d = ds[len(context) + 1]
+        return lower if not c else max(seen[len(context) + 1][*context, word] - d, 0) / c + d * len(after[context]) / c * lower
+
     out = []
     for (i, t), h in zip(rows, held, strict=True):
-        w = words(t)
-        base = auto = 0.0
-        for a, b in zip(["<s>", *w], w, strict=False):
-            root = (uni[b] + 1) / (n + v + 1)
-            base += math.log10(root)
-            if ctx[a]:
-                root = max(bi[a, b] - L.DISCOUNT, 0) / ctx[a] + L.DISCOUNT * len(after[a]) / ctx[a] * root
-            auto += math.log10(root)
-        both = max(base, auto) + math.log10(1 + 10 ** -min(300, abs(base - auto))) - math.log10(2)
-        out.append((str(i), h, len(w), sum(uni[x] > 0 for x in w), n, base, both))
+        w = ["<s>", *words(t)]
+        base = sum(math.log10(p((), x)) for x in w[1:])
+        own = sum(math.log10(p(tuple(w[max(0, k - 2) : k]), w[k])) for k in range(1, len(w)))
+        out.append((str(i), h, len(w) - 1, sum(seen[1][x,] > 0 for x in w[1:]), n, base, own))
     return sorted(out)
 
 
@@ -51,22 +58,38 @@ def check(docs):
 
 def test_against_brute_force(spark, sf):
     got = check(table(spark, sf, "documents"))
-    held = [(x[6] - x[5]) / x[2] for x in got if x[1]]
-    assert np.mean(held) > 0 and min(x[6] - x[5] for x in got) >= -0.302
-
-
-def test_arcs_sum_to_one(spark, docs_of):
-    rows = brute([(k, "a b a c b a") for k in range(9)])
-    assert rows
-    w = np.unique(np.array([7, 8, 9], np.uint64) << np.uint64(33))
-    pairs = {(0, 1): 3, (0, 2): 1, (1, 0): 4, (2, 2): 2}
-    h = np.array([L.pair_hash(w[a : a + 1], w[b : b + 1])[0] for a, b in pairs])
-    order = np.argsort(h)
-    count = np.array([4, 4, 2])
-    auto = L.Automaton(w, count, np.array([2, 1, 1]), h[order], np.array(list(pairs.values()))[order], int(count.sum()), 3)
-    for a in range(3):
-        p, _, _ = auto.traverse(np.append(w, np.uint64(1)), np.repeat(w[a], 4))  # three words and the unknown one
-        assert np.isclose((10.0**p).sum(), 1)
+    assert np.mean([(x[6] - x[5]) / x[2] for x in got if x[1]]) > 0
+
+
+def test_frequent_words_stand_in_several_ranges(docs_of, monkeypatch):
+    monkeypatch.setattr(L, "HINT", 1)
+    docs = docs_of([(k, f"the w{k} of the w{k % 7} and the x{k % 3} of the END") for k in range(80)])
+    assert max(L.frequent(docs, 8).values()) > 1
+    check(docs)
+
+
+def test_every_state_sums_to_one():
+    rng = np.random.default_rng(3)
+    token = np.append(rng.integers(1, 6, 60), 9).astype(np.uint64) << np.uint64(50)
+    g = L.Grams(token, np.array([0, 61]), np.array([True]))
+    pair, pair_follow = g.pairs()
+    count, follow = np.bincount(g.first, weights=pair, minlength=len(g.words)), np.bincount(g.first, weights=pair > 0, minlength=len(g.words))
+    end = int(np.flatnonzero(g.words == token[-1])[0])
+    count[end] = 1
+    start = int(np.flatnonzero(g.words == L.BEGIN)[0])
+    auto = L.Automaton(count, follow, np.append(pair, 0), np.append(pair_follow, 0), np.append(g.count, 0), (0.7, 0.6), 61, len(g.words) - 1)
+    words = np.array([w for w in range(len(g.words)) if w != start])
+    at = {(a, b): k for k, (a, b) in enumerate(zip(g.first.tolist(), g.second.tolist(), strict=True))}
+    leaves = {(p, c): k for k, (p, c) in enumerate(zip(g.pair.tolist(), g.third.tolist(), strict=True))}
+    for a, b in [*at, (None, start)]:
+        if b == end:
+            continue
+        s = at.get((a, b), -1)
+        arcs = np.array([at.get((b, w), len(pair)) for w in words])
+        longer = np.array([leaves.get((s, w), len(g.count)) for w in words])
+        p = auto.step(words, np.full(len(words), b), arcs, np.full(len(words), s), longer).sum()
+        unknown = auto.fail_one[b] * (1 / (61 + len(words) + 1)) * (auto.fail_two[s] if s >= 0 else 1)
+        assert np.isclose(p + unknown, 1)
 
 
 @pytest.mark.parametrize("twice", [False, True])

@@ -59,14 +59,17 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """Counts in an order that the reader knows, a byte each, and the large ones apart."""
+    """Counts in an order that the reader knows, a byte each, compressed, and the large ones apart."""
     odd = np.flatnonzero(counts >= 255).astype("<u4")
-    return np.array([len(counts), len(odd)], "<u8").tobytes() + odd.tobytes() + counts[odd].astype("<u8").tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes()
+    usual = pa.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), codec="zstd", asbytes=True) if len(counts) else b""
+    return np.array([len(counts), len(odd)], "<u8").tobytes() + odd.tobytes() + counts[odd].astype("<u8").tobytes() + usual
 
 
 def unpack_counts(blob: bytes) -> np.ndarray:
     n, k = np.frombuffer(blob, "<u8", 2).tolist()
-    out = np.frombuffer(blob, np.uint8, n, 16 + 12 * k).astype(np.int64)
+    if not n:
+        return np.zeros(0, np.int64)
+    out = np.frombuffer(pa.decompress(blob[16 + 12 * k :], decompressed_size=n, codec="zstd", asbytes=True), np.uint8).astype(np.int64)
     out[np.frombuffer(blob, "<u4", k, 16)] = np.frombuffer(blob, "<u8", k, 16 + 4 * k)
     return out
 

@@ -33,6 +33,8 @@ BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 SECOND, THIRD = 6, 5
 #: Of how many slices of texts one is looked at when frequent words are sought; this only decides how work is dealt.
 HINT = 8
+#: Tokens that are scored at once.
+STEP = 1 << 18
 #: Discounts stay inside these.
 LEAST, MOST = 0.05, 0.95
 
@@ -60,9 +62,9 @@ def _sums(x: np.ndarray, heads: np.ndarray) -> np.ndarray:
 
 def _owner(heads: np.ndarray, n: int) -> np.ndarray:
     """The run of each of n rows."""
-    out = np.zeros(n, np.int64)
-    out[heads] = 1
-    return np.cumsum(out) - 1
+    out = np.zeros(n, bool)
+    out[heads] = True
+    return np.cumsum(out, dtype=np.int32 if n < 1 << 31 else np.int64) - 1
 
 
 def _sorted(major: np.ndarray, minor: np.ndarray, bits: int) -> np.ndarray:
@@ -86,22 +88,25 @@ class Grams:
         self.before, after = np.empty(n, np.int32), np.empty(n, np.int32)
         self.before[1:], after[:-1] = at[: max(0, n - 1)], at[1:n]
         self.before[first[:-1]], after[first[1:] - 1] = at[n], none
+        del at
         learned = np.repeat(train, np.diff(first))
         base = len(self.words) + 1
         if base**3 < 1 << 64:
             key = (self.before.astype(np.uint64) * np.uint64(base) + self.token.astype(np.uint64)) * np.uint64(base) + after.astype(np.uint64)
             order = np.argsort(key)
-            heads = _heads(key[order])
+            key = key[order]
+            heads = _heads(key)
+            del key
         else:
             order = np.lexsort((after, self.token, self.before))
             heads = _heads(self.before[order], self.token[order], after[order])
-        self.leaf = np.empty(n, np.int64)  # of each event
+        self.leaf = np.empty(n, np.int32)  # of each event
         self.leaf[order] = _owner(heads, n)
         self.count = _sums(learned[order].astype(np.int64), heads)
         rows = order[heads]
         a, b, self.third = self.before[rows], self.token[rows], after[rows]
         self.pair_heads = _heads(a, b)
-        self.pair = _owner(self.pair_heads, len(rows))  # of each leaf
+        self.pair = _owner(self.pair_heads, len(rows)).astype(np.int32)  # of each leaf
         self.first, self.second = a[self.pair_heads], b[self.pair_heads]
         self.none = none
 
@@ -357,11 +362,14 @@ def score(docs: DataFrame, mod: int = 7, out: int = 2) -> DataFrame:
         state, long_arc = np.empty_like(arc), np.empty_like(arc)
         state[1:], long_arc[1:] = arc[:-1], g.leaf[:-1]
         state[heads], long_arc[heads] = -1, 0
-        p = np.log10(auto.step(g.token, g.before, arc, state, long_arc))
+        p, base = np.empty(len(arc)), np.log10(auto.root)[g.token]
+        for i in range(0, len(arc), STEP):
+            k = slice(i, i + STEP)
+            p[k] = np.log10(auto.step(g.token[k], g.before[k], arc[k], state[k], long_arc[k]))
         add = lambda x: np.add.reduceat(x, heads)
         size = np.diff(first)
         X.trim()
-        return pa.table([own["doc_id"], own["held_out"], size, add((count[g.token] > 0).astype(np.int64)), np.full(len(size), n_tokens), add(np.log10(auto.root[g.token])), add(p)], schema=schema)
+        return pa.table([own["doc_id"], own["held_out"], size, add((count[g.token] > 0).astype(np.int64)), np.full(len(size), n_tokens), add(base), add(p)], schema=schema)
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return dealt.groupBy("__shard").cogroup(back.groupBy("shard")).applyInArrow(one, schema)

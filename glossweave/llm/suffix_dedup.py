@@ -8,9 +8,13 @@ merge sort whose comparisons find common extensions by binary search over prefix
 extensions, checked on the bytes themselves, and hashes of what stands left of the anchor tell which strings are equal,
 and so the smallest document of each. The answers return to the shards, where documents strike out what is covered.
 
-A seed of very many texts (more than ``HOT_TEXTS``) would bring as many contexts to one task. Of such seeds a shard sends,
-instead, the 64-bit hash of each string with its smallest document; these are dealt by their own value, so one string is
-one entry a shard, and no task has more than its range of them.
+A seed of very many texts (more than ``HOT_TEXTS``) would bring as many contexts to one task. Such a seed is split by the
+longest context there is, the strings themselves: a shard sends each distinct string once, with its smallest document, dealt
+by the string's own hash, so one string is one entry a shard and no task has more than its range of them. They go through
+the same sort.
+
+Hashes only bring things together: wherever contexts or strings count as equal, in a shard or in a range, their bytes have
+been compared. Contexts of one shard that share a hash but not their bytes, sent or not, are named anew by a keyed cryptographic hash.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from glossweave.functions.session import salt
 from glossweave.llm import exchange as X
 from glossweave.llm import text as T
 
@@ -79,17 +84,41 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray
     return T.mix(~h[a]), a, first, last, doc  # anchors have small hashes; mixed anew, these fall evenly into ranges
 
 
-def context_hash(p: np.ndarray, position: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+def context_hash(p: np.ndarray, position: np.ndarray, first: np.ndarray, end: np.ndarray, bits: int = 64) -> np.ndarray:
     """Of the bytes of a context and the place of its anchor in it."""
     with np.errstate(over="ignore"):
-        return T.mix(T.span_hash(p, first, end) + (position - first).astype(np.uint64) * np.uint64(T.BASE) + (end - first).astype(np.uint64))
+        return _top(T.mix(T.span_hash(p, first, end) + (position - first).astype(np.uint64) * np.uint64(T.BASE) + (end - first).astype(np.uint64)), bits)
+
+
+def _top(h: np.ndarray, bits: int) -> np.ndarray:
+    return h & np.uint64(((1 << 64) - 1) ^ ((1 << (64 - bits)) - 1))
+
+
+def other_names(data: np.ndarray, first: np.ndarray, size: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Names of contexts whose hash has misled."""
+    return np.array([int.from_bytes(hashlib.blake2b(bytes([l]) + data[i : i + n].tobytes(), digest_size=8, key=salt()).digest(), "little") for i, n, l in zip(first.tolist(), size.tolist(), left.tolist(), strict=True)], np.uint64)
 
 
-def strings_of(p: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def strings_of(p: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first byte, anchor's number) of every string that anchors stand for."""
     n = last - first + 1
     s = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-    return T.mix(T.span_hash(p, s, s + length)), s, np.repeat(np.arange(len(n)), n)
+    return _top(T.mix(T.span_hash(p, s, s + length)), bits), s, np.repeat(np.arange(len(n)), n)
+
+
+def distinct(v: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of each distinct string, which one each row is), in order of hashes and then of bytes; raw: a string a row."""
+    order = np.argsort(v, kind="stable")
+    new = np.ones(len(v), bool)
+    new[1:] = v[order][1:] != v[order][:-1]
+    lead = order[np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))] if len(v) else order
+    if np.array_equal(raw[order], raw[lead]):
+        which = np.empty(len(v), np.int64)
+        which[order] = np.cumsum(new) - 1
+        return order[new], which
+    rows = np.ascontiguousarray(np.concatenate([v.astype(">u8").view(np.uint8).reshape(-1, 8), raw], axis=1))
+    _, at, which = np.unique(rows.view(f"V{rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    return at, which.ravel()
 
 
 def _seeds(data: np.ndarray, offs: np.ndarray, length: int) -> np.ndarray:
@@ -102,12 +131,13 @@ def _seeds(data: np.ndarray, offs: np.ndarray, length: int) -> np.ndarray:
     return h[new]
 
 
-_KINDS = ("contexts", "strings", "seeds")
+#: What a shard's rows hold: contexts, contexts named anew, strings of hot seeds; which seeds are hot; which hashes misled.
+CONTEXTS, RENAMED, STRINGS, SEEDS, MISLED = range(5)
 
 
-def _contexts(dealt: DataFrame, back: DataFrame, length: int, parts: list[int], hot_texts: int) -> DataFrame:
+def _contexts(dealt: DataFrame, back: DataFrame, length: int, parts: list[int], hot_texts: int, bits: int) -> DataFrame:
     """(part, shard, kind, data, size, left, least, most): a shard's distinct contexts of shared seeds, with their documents'
-    range; of hot seeds the strings with their smallest document, and which these seeds are."""
+    range; of hot seeds the strings with their smallest document; and notes of the shard to itself."""
     ends, string_ends = X.bounds(len(parts)), X.bounds(len(parts), 64)
 
     def one(docs: pa.Table, blobs: pa.Table) -> pa.Table:
@@ -116,9 +146,10 @@ def _contexts(dealt: DataFrame, back: DataFrame, length: int, parts: list[int],
         ids = docs["doc_id"].cast(pa.int64())
         named = ~ids.is_null().to_numpy()
         ids = ids.fill_null(0).to_numpy()
-        got: list[list[np.ndarray]] = [[] for _ in range(6)]
-        raw: list[bytes] = []
-        strings: list[tuple[np.ndarray, np.ndarray]] = []
+        got: list[list[np.ndarray]] = [[] for _ in range(5)]
+        raw: list[np.ndarray] = []
+        spare: list[np.ndarray] = []  # hashes of contexts that are not sent
+        strings: list[tuple[np.ndarray, ...]] = []
         for i, _, data, offs in T.texts(docs["text"], SLICE):
             h, position, first, last, doc = anchors(data, offs, length)
             seed = X.upper(h)
@@ -127,13 +158,16 @@ def _contexts(dealt: DataFrame, back: DataFrame, length: int, parts: list[int],
                 hot = np.flatnonzero(keep & (X.lookup(seed, hot_seeds) >= 0))
                 keep[hot] = False
                 if len(hot):
-                    v, _, k = strings_of(T.prefix_hash(data), first[hot], last[hot], length)
-                    strings.append(_least(v, ids[i + doc[hot]][k]))
-            seed, position, first, end, doc = seed[keep], position[keep], first[keep], last[keep] + length, ids[i + doc[keep]]
+                    v, s, k = strings_of(T.prefix_hash(data), first[hot], last[hot], length, bits)
+                    strings.append(_least(v, data[s[:, None] + np.arange(length)], ids[i + doc[hot]][k]))
+            if not len(seed):
+                continue
+            hashes = context_hash(T.prefix_hash(data), position, first, last + length, bits)
+            spare.append(hashes[~keep & named[i + doc]])
+            seed, position, first, end, doc, hashes = seed[keep], position[keep], first[keep], last[keep] + length, ids[i + doc[keep]], hashes[keep]
             if not len(seed):
                 continue
-            hashes = context_hash(T.prefix_hash(data), position, first, end)
-            for g, x in zip(got, (seed, hashes, end - first, position - first, doc), strict=False):
+            for g, x in zip(got, (seed, hashes, end - first, position - first, doc), strict=True):
                 g.append(x)
             size = end - first
             pos = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
@@ -146,48 +180,68 @@ def _contexts(dealt: DataFrame, back: DataFrame, length: int, parts: list[int],
                 out[name].append(x)
 
         if len(hot_seeds):
-            put(0, 2, X.pack(hot_seeds), b"", b"", b"", b"")
+            put(0, SEEDS, X.pack(hot_seeds), b"", b"", b"", b"")
         if strings:
-            v, least = _least(*(np.concatenate(x) for x in zip(*strings, strict=True)))
+            v, text, least = _least(*(np.concatenate(x) for x in zip(*strings, strict=True)))
             cut = np.concatenate([[0], np.searchsorted(v, string_ends, "right")])
             for part in np.flatnonzero(np.diff(cut)).tolist():
                 k = slice(cut[part], cut[part + 1])
-                put(part, 1, X.pack(v[k]), b"", b"", least[k].tobytes(), b"")
+                put(part, STRINGS, text[k].tobytes(), v[k].tobytes(), b"", least[k].tobytes(), b"")
         if not raw:
             return pa.table(out, _SENT)
-        seed, hashes, size, left, doc = (np.concatenate(g) for g in got[:5])
+        seed, hashes, size, left, doc = (np.concatenate(g) for g in got)
         flat = np.concatenate(raw)
         raw.clear()
         begin = np.cumsum(size) - size
-        order = np.lexsort((hashes, seed))
-        new = np.ones(len(order), bool)
-        new[1:] = hashes[order][1:] != hashes[order][:-1]
-        head = np.flatnonzero(new)
+        order = np.argsort(hashes)
+        new = _news(hashes[order])
+        lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        alike = (size[order] == size[lead]) & (left[order] == left[lead])
+        alike[alike] = T.same(flat, begin[order][alike], flat, begin[lead][alike], size[order][alike])
+        sent = hashes[order][new]
+        misled = np.union1d(hashes[order][~alike], sent[X.lookup(sent, np.sort(np.concatenate(spare))) >= 0])
+        kind = np.full(len(hashes), CONTEXTS)
+        if len(misled):  # all contexts of these hashes get other names
+            rows = np.flatnonzero(X.lookup(hashes, misled) >= 0)
+            hashes[rows], kind[rows] = other_names(flat, begin[rows], size[rows], left[rows]), RENAMED
+            put(0, MISLED, X.pack(misled), b"", b"", b"", b"")
+        order = np.lexsort((hashes, kind, seed)) if len(misled) else np.lexsort((hashes, seed))
+        head = np.flatnonzero(_news(seed[order], kind[order], hashes[order]))
         least, most = np.minimum.reduceat(doc[order], head), np.maximum.reduceat(doc[order], head)
         rows = order[head]
         cut = np.concatenate([[0], np.searchsorted(seed[rows], ends)])
         for part in np.flatnonzero(np.diff(cut)).tolist():
-            k = slice(cut[part], cut[part + 1])
-            r = rows[k]
-            n = size[r]
-            pos = np.repeat(begin[r] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            put(part, 0, flat[pos].tobytes(), n.astype(np.uint8).tobytes(), left[r].astype(np.uint8).tobytes(), least[k].tobytes(), most[k].tobytes())
+            for kinds in (CONTEXTS, RENAMED):
+                k = np.arange(cut[part], cut[part + 1])
+                k = k[kind[rows[k]] == kinds]
+                if len(k):
+                    r = rows[k]
+                    n = size[r]
+                    pos = np.repeat(begin[r] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    put(part, kinds, flat[pos].tobytes(), n.astype(np.uint8).tobytes(), left[r].astype(np.uint8).tobytes(), least[k].tobytes(), most[k].tobytes())
         X.trim()
         return pa.table(out, _SENT)
 
     return dealt.groupBy("__shard").cogroup(back.groupBy("shard")).applyInArrow(one, "part int, shard int, kind int, data binary, size binary, left binary, least binary, most binary")
 
 
+def _news(*columns: np.ndarray) -> np.ndarray:
+    """Which rows differ from the one before them."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
 _SENT = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("data", "size", "left", "least", "most"))])
 _TOLD = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("part", pa.int32()), ("hash", pa.binary()), ("runs", pa.binary()), ("doc", pa.binary())])
 
 
-def _least(v: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct values, sorted; the smallest document of each)."""
-    order = np.argsort(v, kind="stable")
-    v, doc = v[order], doc[order]
-    head = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])[: len(v)])
-    return v[head], np.minimum.reduceat(doc, head) if len(v) else doc
+def _least(v: np.ndarray, raw: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, bytes, smallest document) of distinct strings, in the order of ``distinct``."""
+    at, which = distinct(v, raw)
+    least = np.full(len(at), NEVER)
+    np.minimum.at(least, which, doc)
+    return v[at], raw[at], least
 
 
 def common(p: np.ndarray, inv: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -305,52 +359,80 @@ def smallest(data: np.ndarray, begin: np.ndarray, size: np.ndarray, left: np.nda
     return out
 
 
-def _answers(contexts: DataFrame, length: int) -> DataFrame:
+def _answers(contexts: DataFrame, length: int, bits: int) -> DataFrame:
     """(shard, kind, part, hash, runs, doc): for contexts that have strings of smaller documents, runs of offsets and those
-    documents; for each string of a hot seed, in the shard's order, its smallest document; and which seeds are hot."""
+    documents; for each string of a hot seed, in the shard's order, its smallest document; and the shard's notes."""
 
     def one(rows: pa.Table) -> pa.Table:
         kind = rows["kind"].to_numpy()
-        told = [pa.table({"shard": rows["shard"], "kind": rows["kind"], "part": rows["part"], "hash": rows["data"], "runs": rows["size"], "doc": rows["least"]}, _TOLD).filter(pa.array(kind == 2))]
-        if (kind == 1).any():
-            told.append(_strings_told(rows.filter(pa.array(kind == 1))))
-        if (kind == 0).any():
-            told.append(_contexts_told(rows.filter(pa.array(kind == 0)), length))
+        told = [pa.table({"shard": rows["shard"], "kind": rows["kind"], "part": rows["part"], "hash": rows["data"], "runs": rows["size"], "doc": rows["least"]}, _TOLD).filter(pa.array(kind > STRINGS))]
+        if (kind == STRINGS).any():
+            told.append(_strings_told(rows.filter(pa.array(kind == STRINGS)), length))
+        if (kind < STRINGS).any():
+            told.append(_contexts_told(rows.filter(pa.array(kind < STRINGS)), length, bits))
         X.trim()
         return pa.concat_tables(told)
 
     return contexts.groupBy("part").applyInArrow(one, "shard int, kind int, part int, hash binary, runs binary, doc binary")
 
 
-def _strings_told(rows: pa.Table) -> pa.Table:
-    own = [X.unpack(b)[0] for b in rows["data"].to_pylist()]
-    v, least = _least(np.concatenate(own), np.concatenate([np.frombuffer(b, np.int64) for b in rows["least"].to_pylist()]))
-    none = pa.array([b""] * len(own), pa.binary())
-    return pa.table({"shard": rows["shard"], "kind": rows["kind"], "part": rows["part"], "hash": none, "runs": none, "doc": pa.array([least[np.searchsorted(v, x)].tobytes() for x in own], pa.binary())}, _TOLD)
+def _strings_told(rows: pa.Table, length: int) -> pa.Table:
+    """The strings of all shards, sorted as suffixes among those of one hash; equals get the smallest document of all."""
+    sizes = [len(b) // 8 for b in rows["least"].to_pylist()]
+    v = np.frombuffer(b"".join(rows["size"].to_pylist()), np.uint64)
+    doc = np.frombuffer(b"".join(rows["least"].to_pylist()), np.int64)
+    data = T.utf8(rows["data"])[0]
+    least = np.empty(len(v), np.int64)
+    order = np.argsort(v, kind="stable")
+    edges = np.append(np.flatnonzero(_news(v[order])), len(v))
+    a = 0
+    while a < len(v):  # hashes by hashes
+        z = edges[max(np.searchsorted(edges, a + AT_ONCE, "right") - 1, np.searchsorted(edges, a, "right"))]
+        own = order[a:z]
+        sort, share = suffix_sort(data, own * length, np.full(len(own), length), np.cumsum(_news(v[own])))
+        head = np.flatnonzero(share < length)
+        least[own[sort]] = np.repeat(np.minimum.reduceat(doc[own[sort]], head), np.diff(np.append(head, len(own))))
+        a = z
+    cut = np.cumsum([0, *sizes])
+    none = pa.array([b""] * len(sizes), pa.binary())
+    return pa.table({"shard": rows["shard"], "kind": rows["kind"], "part": rows["part"], "hash": none, "runs": none, "doc": pa.array([least[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())}, _TOLD)
 
 
-def _contexts_told(rows: pa.Table, length: int) -> pa.Table:
+def _contexts_told(rows: pa.Table, length: int, bits: int) -> pa.Table:
     size, left, least, most, hashes, seed = [], [], [], [], [], []
     flat = {c: T.utf8(rows[c]) for c in ("data", "size", "left", "least", "most")}
+    kinds = rows["kind"].to_pylist()
     for i in range(rows.num_rows):
         own, n, k, lo, hi = (x[at[i] : at[i + 1]] for x, at in flat.values())
         n, k = n.astype(np.int64), k.astype(np.int64)
         at, p = np.cumsum(n) - n, T.prefix_hash(own)
         size.append(n), left.append(k), least.append(lo.copy().view(np.int64)), most.append(hi.copy().view(np.int64))
-        hashes.append(context_hash(p, at + k, at, at + n)), seed.append(T.span_hash(p, at + k, at + k + SEED))
-    shard = np.repeat(rows["shard"].to_numpy(), [len(x) for x in size])
+        hashes.append(other_names(own, at, n, k) if kinds[i] == RENAMED else context_hash(p, at + k, at, at + n, bits))
+        seed.append(T.span_hash(p, at + k, at + k + SEED))
+    shard, renamed = (np.repeat(np.array(x), [len(y) for y in size]) for x in (rows["shard"].to_numpy(), np.array(kinds) == RENAMED))
     size, left, least, most, hashes, seed = (np.concatenate(x) for x in (size, left, least, most, hashes, seed))
     data = flat["data"][0]
     begin = np.cumsum(size) - size
     # equal contexts of several shards are one
-    order = np.lexsort((hashes, seed))
-    new = np.ones(len(order), bool)
-    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (seed[order][1:] != seed[order][:-1])
+    same_as = context_hash(T.prefix_hash(data), begin + left, begin, begin + size) if renamed.any() else hashes
+    order = np.lexsort((same_as, seed))
+    new = _news(same_as[order], seed[order])
+    lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    alike = (size[order] == size[lead]) & (left[order] == left[lead])
+    alike[alike] = T.same(data, begin[order][alike], data, begin[lead][alike], size[order][alike])
+    if not alike.all():  # a hash misled: by the bytes themselves
+        wide = np.zeros((len(size), 2 * length + 1), np.uint8)
+        wide[:, 0] = left
+        within = np.arange(size.sum()) - np.repeat(begin, size)
+        wide[np.repeat(np.arange(len(size)), size), 1 + within] = data
+        same_as = np.unique(np.column_stack([size.astype(np.uint8), wide]).view(f"V{2 * length + 2}").ravel(), return_inverse=True)[1].ravel()
+        order = np.lexsort((same_as, seed))
+        new = _news(same_as[order], seed[order])
     head = np.append(np.flatnonzero(new), len(order))
     r, one_doc = order[head[:-1]], np.minimum.reduceat(least[order], head[:-1])
     group = np.cumsum(np.diff(seed[r], prepend=seed[r[0]]) != 0)
     offsets = np.arange(length - SEED + 1)
-    found: list[list[np.ndarray]] = [[] for _ in range(5)]
+    found: list[list[np.ndarray]] = [[] for _ in range(6)]
     edges = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(r))
     a = 0
     while a < len(r):  # seeds by seeds, about AT_ONCE contexts at a time
@@ -376,55 +458,89 @@ def _contexts_told(rows: pa.Table, length: int) -> pa.Table:
         end[np.append(row[1:] != row[:-1], True)] = m.shape[1]
         value = m[row, col]
         use = value < most[member][row]
-        for x, y in zip(found, (shard[member[row]], hashes[member[row]], col, end, value), strict=True):
+        for x, y in zip(found, (shard[member[row]], hashes[member[row]], col, end, value, renamed[member[row]]), strict=True):
             x.append(y[use])
         a = z
-    s, h, col, end, value = (np.concatenate(x) for x in found)
-    by = np.argsort(s, kind="stable")
-    s, h, value, runs = s[by], h[by], value[by], np.column_stack([col[by], end[by]]).astype(np.uint8)
-    cut = np.append(np.flatnonzero(np.diff(s, prepend=-1)), len(s))
-    out_shard, out_hash, out_runs, out_doc = [], [], [], []
+    s, h, col, end, value, other = (np.concatenate(x) for x in found)
+    by = np.lexsort((other, s))
+    s, h, value, other, runs = s[by], h[by], value[by], other[by], np.column_stack([col[by], end[by]]).astype(np.uint8)
+    cut = np.append(np.flatnonzero(_news(s, other)) if len(s) else [], len(s)).astype(np.int64)
+    out_shard, out_kind, out_hash, out_runs, out_doc = [], [], [], [], []
     for a, z in zip(cut[:-1], cut[1:], strict=True):
         out_shard.append(int(s[a]))
+        out_kind.append(RENAMED if other[a] else CONTEXTS)
         out_hash.append(h[a:z].tobytes())
         out_runs.append(runs[a:z].tobytes())
         out_doc.append(value[a:z].tobytes())
     n = len(out_shard)
-    return pa.table({"shard": out_shard, "kind": [0] * n, "part": [0] * n, "hash": out_hash, "runs": out_runs, "doc": out_doc}, _TOLD)
-
-
-def _hot_strings(texts: pa.ChunkedArray, named: np.ndarray, told: pa.Table, parts: list[int], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hot seeds, hashes of a shard's strings of theirs, the smallest document of each), from what the ranges told."""
-    kind, part = told["kind"].to_numpy(), told["part"].to_pylist()
-    seeds = np.unique(np.concatenate([X.unpack(told["hash"][int(k)].as_py())[0] for k in np.flatnonzero(kind == 2)]))
-    found = []
-    for i, _, data, offs in T.texts(texts, SLICE):
-        h, _, first, last, doc = anchors(data, offs, length)
-        hot = np.flatnonzero((X.lookup(X.upper(h), seeds) >= 0) & named[i + doc]) if len(h) else np.zeros(0, np.int64)
-        if len(hot):
-            found.append(np.unique(strings_of(T.prefix_hash(data), first[hot], last[hot], length)[0]))
-    values = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-    least = np.full(len(values), NEVER)
-    cut = np.concatenate([[0], np.searchsorted(values, X.bounds(len(parts), 64), "right")])
-    number = {name: k for k, name in enumerate(parts)}
-    for k in np.flatnonzero(kind == 1).tolist():
-        r = number[part[k]]
-        least[cut[r] : cut[r + 1]] = np.frombuffer(told["doc"][k].as_py(), np.int64)
-    return seeds, values, least
-
-
-def dedup(docs: DataFrame, length: int = 50, cleaned: bool = False, hot_texts: int = HOT_TEXTS) -> DataFrame:
+    return pa.table({"shard": out_shard, "kind": out_kind, "part": [0] * n, "hash": out_hash, "runs": out_runs, "doc": out_doc}, _TOLD)
+
+
+class HotStrings:
+    """A shard's strings of hot seeds in the order in which it sent them, with the smallest document of each."""
+
+    def __init__(self, texts: pa.ChunkedArray, named: np.ndarray, told: pa.Table, parts: list[int], length: int, bits: int):
+        kind, part = told["kind"].to_numpy(), told["part"].to_pylist()
+        self.length, self.bits = length, bits
+        self.seeds = np.unique(np.concatenate([X.unpack(told["hash"][int(k)].as_py())[0] for k in np.flatnonzero(kind == SEEDS)]))
+        found = []
+        for i, _, data, offs in T.texts(texts, SLICE):
+            p, _, hot, s, _, v = self.here(data, offs, named[i:])
+            if len(v):
+                raw = data[s[:, None] + np.arange(length)]
+                found.append(_least(v, raw, np.zeros(len(v), np.int64))[:2])
+        empty = np.zeros(0, np.uint64), np.zeros((0, length), np.uint8)
+        v, raw = (np.concatenate(x) for x in zip(*found, strict=True)) if found else empty
+        self.values, raw, self.least = _least(v, raw, np.full(len(v), NEVER))
+        self.raw = raw.ravel()
+        cut = np.concatenate([[0], np.searchsorted(self.values, X.bounds(len(parts), 64), "right")])
+        number = {name: k for k, name in enumerate(parts)}
+        for k in np.flatnonzero(kind == STRINGS).tolist():
+            r = number[part[k]]
+            self.least[cut[r] : cut[r + 1]] = np.frombuffer(told["doc"][k].as_py(), np.int64)
+
+    def here(self, data: np.ndarray, offs: np.ndarray, named: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(prefix hashes, texts of anchors, hot anchors, first byte, hot anchor's number, hash of each string)."""
+        h, _, first, last, doc = anchors(data, offs, self.length)
+        hot = np.flatnonzero((X.lookup(X.upper(h), self.seeds) >= 0) & named[doc]) if len(h) else np.zeros(0, np.int64)
+        p = T.prefix_hash(data)
+        v, s, k = strings_of(p, first[hot], last[hot], self.length, self.bits)
+        return p, doc, hot, s, k, v
+
+    def struck(self, data: np.ndarray, offs: np.ndarray, ids: np.ndarray, named: np.ndarray) -> np.ndarray:
+        """First bytes of strings that a smaller document has."""
+        _, doc, hot, s, k, v = self.here(data, offs, named)
+        at = np.searchsorted(self.values, v)
+        size = np.full(len(at), self.length)
+        while len(wrong := np.flatnonzero(~T.same(data, s, self.raw, at * self.length, size))):  # strings of one hash stand beside each other
+            at[wrong] += 1
+        return s[self.least[at] < ids[doc[hot]][k]]
+
+
+def _by_name(found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name, run of offsets, smallest document) of answers, sorted by name."""
+    key = np.frombuffer(b"".join(found["hash"].to_pylist()), np.uint64)
+    runs = np.frombuffer(b"".join(found["runs"].to_pylist()), np.uint8).reshape(-1, 2).astype(np.int64)
+    least = np.frombuffer(b"".join(found["doc"].to_pylist()), np.int64)
+    order = np.argsort(key, kind="stable")
+    return key[order], runs[order], least[order]
+
+
+def dedup(docs: DataFrame, length: int = 50, cleaned: bool = False, hot_texts: int = HOT_TEXTS, bits: int = 64) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; with ``cleaned``, all columns of ``docs`` with what is kept as text.
 
     ``docs`` has doc_id (an integer) and text. Null counts as empty text (with ``cleaned`` it stays null); texts shorter than
     ``length`` bytes keep all; rows of one doc_id do not strike out each other; a null doc_id strikes out nothing and keeps
-    all; no rows give no rows. Of a character that is cut in two, ``cleaned`` drops the rest.
+    all; no rows give no rows. Of a character that is cut in two, ``cleaned`` drops the rest. ``bits`` of the hashes of
+    contexts and strings are used; fewer bring more work and the same rows.
     """
+    if not SEED <= length <= 64:
+        raise ValueError(f"strings of {SEED} to 64 bytes can be sought, not of {length}")
     others = [c for c in docs.columns if c not in ("doc_id", "text")] if cleaned else []
     parts = X.shard_labels(docs)
     dealt = X.sharded(docs, *others)
     back = X.shared(X.sent(dealt, lambda d, o: _seeds(d, o, length), parts, SLICE))
-    answers = _answers(_contexts(dealt, back, length, parts, hot_texts), length)
+    answers = _answers(_contexts(dealt, back, length, parts, hot_texts, bits), length, bits)
     fields = [docs.schema[c] for c in docs.columns] if cleaned else []
 
     def one(own: pa.Table, found: pa.Table) -> pa.Table:
@@ -432,30 +548,25 @@ def dedup(docs: DataFrame, length: int = 50, cleaned: bool = False, hot_texts: i
         named = ~ids.is_null().to_numpy()
         ids = ids.fill_null(0).to_numpy()
         kind = found["kind"].to_numpy() if found.num_rows else np.zeros(0, np.int64)
-        strings = _hot_strings(own["text"], named, found.filter(pa.array(kind > 0)), parts, length) if (kind == 2).any() else None
-        found = found.filter(pa.array(kind == 0))
-        key = np.frombuffer(b"".join(found["hash"].to_pylist()), np.uint64)
-        runs = np.frombuffer(b"".join(found["runs"].to_pylist()), np.uint8).reshape(-1, 2).astype(np.int64)
-        least = np.frombuffer(b"".join(found["doc"].to_pylist()), np.int64)
-        order = np.argsort(key, kind="stable")
-        key, runs, least = key[order], runs[order], least[order]
+        strings = HotStrings(own["text"], named, found.filter(pa.array((kind == STRINGS) | (kind == SEEDS))), parts, length, bits) if (kind == SEEDS).any() else None
+        misled = [X.unpack(found["hash"][int(k)].as_py())[0] for k in np.flatnonzero(kind == MISLED)]
+        misled = np.unique(np.concatenate(misled)) if misled else np.zeros(0, np.uint64)
+        answers_of = {k: _by_name(found.filter(pa.array(kind == k))) for k in (CONTEXTS, RENAMED)}
         n_bytes, n_removed, n_spans, sha, kept_text = [], [], [], [], []
         for i, j, data, offs in T.texts(own["text"], SLICE):
             cover = np.zeros(len(data) + 1, np.int64)
-            if (len(key) or strings) and len(data) >= length:
-                seed, position, first, last, doc = anchors(data, offs, length)
-                p = T.prefix_hash(data)
-                if strings:
-                    seeds, values, smallest_doc = strings
-                    hot = np.flatnonzero((X.lookup(X.upper(seed), seeds) >= 0) & named[i + doc])
-                    v, s, k = strings_of(p, first[hot], last[hot], length)
-                    s = s[smallest_doc[np.searchsorted(values, v)] < ids[i + doc[hot]][k]]
-                    np.add.at(cover, s, 1)
-                    np.add.at(cover, s + length, -1)
-                if len(position) and len(key):
-                    h = context_hash(p, position, first, last + length)
+            if strings and len(data) >= length:
+                s = strings.struck(data, offs, ids[i:], named[i:])
+                np.add.at(cover, s, 1)
+                np.add.at(cover, s + length, -1)
+            if any(len(x[0]) for x in answers_of.values()) and len(data) >= length:
+                _, position, first, last, doc = anchors(data, offs, length)
+                h = context_hash(T.prefix_hash(data), position, first, last + length, bits)
+                other = X.lookup(h, misled) >= 0
+                h[other] = other_names(data, first[other], last[other] + length - first[other], position[other] - first[other])
+                for kinds, (key, runs, least) in answers_of.items():
                     a, z = np.searchsorted(key, h), np.searchsorted(key, h, "right")
-                    n = z - a
+                    n = np.where(other == (kinds == RENAMED), z - a, 0)
                     k = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
                     row = np.repeat(np.arange(len(h)), n)
                     use = (least[k] < ids[i + doc[row]]) & named[i + doc[row]]

@@ -153,13 +153,13 @@ def same(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, size:
     """Whether a[at_a : at_a + size] equals b[at_b : at_b + size], for each of many places."""
     out = np.ones(len(size), bool)
     pad_a, pad_b = np.append(a, np.zeros(8, np.uint8)), np.append(b, np.zeros(8, np.uint8))
-    live = np.flatnonzero(size <= LONG)
-    for k in range(0, LONG, 8):
+    live = np.flatnonzero(size <= 2 * LONG)
+    for k in range(0, 2 * LONG, 8):
         live = live[size[live] > k]
         if not len(live):
             break
         out[live] &= _eight(pad_a, at_a[live] + k, size[live] - k) == _eight(pad_b, at_b[live] + k, size[live] - k)
-    for i in np.flatnonzero(size > LONG).tolist():
+    for i in np.flatnonzero(size > 2 * LONG).tolist():
         out[i] = np.array_equal(a[at_a[i] : at_a[i] + size[i]], b[at_b[i] : at_b[i] + size[i]])
     return out
 

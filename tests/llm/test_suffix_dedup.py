@@ -57,6 +57,20 @@ def test_against_brute_force(spark, sf):
     check(table(spark, sf, "documents"), hot_texts=3)
 
 
+def test_misleading_hashes_change_nothing(spark, sf, docs_of):
+    docs = table(spark, sf, "documents").limit(60)
+    for hot in (2, S.HOT_TEXTS):
+        for bits in (3, 12):
+            assert check(docs.union(docs.selectExpr("doc_id + 1000", "concat('x', text)", "lang", "source", "n_chars")), hot_texts=hot, bits=bits) > 1000
+
+
+def test_a_hot_seed_in_many_texts(docs_of):
+    same = "this sentence stands in all of these documents, whatever else they may hold, word by word. "
+    rng = random.Random(1)
+    rows = [(i, "".join(rng.choice("abcde ") for _ in range(rng.randrange(90))) + same * rng.randrange(1, 3) + "".join(rng.choice("vwxyz ") for _ in range(40))) for i in range(150)]
+    assert check(docs_of(rows), hot_texts=20) == check(docs_of(rows)) > 10_000
+
+
 def test_made_overlaps(docs_of):
     rng = random.Random(3)
     for letters in ("ab", "abcdefgh é"):

@@ -104,20 +104,20 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classif
     return Classifier(mean, scale, _logistic(((x - mean) / scale).clip(-8, 8), y, np.ones(len(y)), ridge=0.5), prior)
 
 
-def with_evidence(docs: DataFrame, model: Classifier, text: str = "text", name: str = "__evidence") -> DataFrame:
-    """``docs`` and the classifier's log-odds."""
-    at = docs.columns.index(text)
+def with_evidence(docs: DataFrame, model: Classifier) -> DataFrame:
+    """``docs`` (any columns, and last ``text``) without its text, and the classifier's log-odds as ``evidence``."""
+    kept = docs.columns[:-1]
 
     def rows(batches):
         X.trim()
         for b in batches:
             out = np.zeros(b.num_rows)
-            for i, j, data, offs in T.texts(b.column(at)):
+            for i, j, data, offs in T.texts(b.column(len(kept))):
                 out[i:j] = model.evidence(measures(data, offs))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*b.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out)], [*kept, "evidence"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(rows, f"{kinds}, `{name}` double")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
+    return docs.mapInArrow(rows, f"{kinds}, evidence double")
 
 
 def site(source: Column, lang: Column) -> tuple[Column, Column]:
@@ -162,29 +162,46 @@ def posteriors(evidence: DataFrame) -> tuple[DataFrame, float]:
     return both.select("host", "path", "host_posterior", ((F.col("p") + k * F.col("host_posterior")) / (F.col("n") + k)).alias("path_posterior"), "n", "p", F.lit(k).alias("strength")), mean
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, source: str = "source", lang: str = "lang") -> DataFrame:
-    """All columns of ``docs`` and __host, __path, __p, __host_posterior, __path_posterior, __score, __keep of every document.
+def _decided(rows: DataFrame, sites: DataFrame, mean: float, threshold: float) -> DataFrame:
+    """``rows`` (with host, path, evidence, salt) and classifier, host_posterior, path_posterior, score, keep."""
+    # a host may hold a third of all rows: its row stands under several salts
+    spread = sites.select("host", "path", "host_posterior", "path_posterior", "n", "strength", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    p = 1 / (1 + F.exp(-F.col("evidence")))
+    n = F.col("n") + F.col("strength")
+    rest = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), (F.col("path_posterior") * n - p) / F.greatest(F.lit(1e-9), n - 1)))
+    total = F.col("evidence") + SITE_WEIGHT * (_logit(rest) - F.lit(float(np.log(mean / (1 - mean)))))
+    found = rows.join(spread, ["host", "path", "salt"]).withColumn("classifier", p).withColumn("score", 1 / (1 + F.exp(-total)))
+    return found.withColumn("keep", F.col("score") >= threshold)
+
+
+def _evidence(docs: DataFrame, labels: DataFrame, source: str, lang: str) -> tuple[DataFrame, Classifier]:
+    model = train(docs, labels)
+    host, path = site(F.col(source), F.col(lang))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    slim = docs.select("doc_id", host.alias("host"), path.alias("path"), salt.alias("salt"), F.col("text").cast("string").alias("text"))
+    return stored(with_evidence(slim, model), "evidence"), model
+
+
+def scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, source: str = "source", lang: str = "lang") -> DataFrame:
+    """doc_id, host, path, classifier, host_posterior, path_posterior, score, keep of every document; texts are measured once.
 
     ``docs`` has doc_id, text, and the columns named for source and language. Null and empty texts are measured as empty
     texts, null sources and languages are sites named by the empty text, repeated rows count as often as they stand, and no
     rows give no rows. Without labels of both kinds the evidence is the labels' share (one half without any), and without
     documents the sites' means are one half. A document is kept if its score is at least ``threshold``.
     """
-    model = train(docs, labels)
+    found, _ = _evidence(docs, labels, source, lang)
+    sites, mean = posteriors(found.select("host", "path", "evidence"))
+    return _decided(found, sites, mean, threshold).select("doc_id", "host", "path", "classifier", "host_posterior", "path_posterior", "score", "keep")
+
+
+def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, source: str = "source", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs``, whatever their other columns are called, that ``scores`` keeps.
+
+    Texts are measured again here, as the alternative is to move them to their scores."""
+    found, model = _evidence(docs, labels, source, lang)
+    sites, mean = posteriors(found.select("host", "path", "evidence"))
     host, path = site(F.col(source), F.col(lang))
-    slim = with_evidence(docs.select("doc_id", F.col("text").cast("string").alias("text"), host.alias("host"), path.alias("path")), model, name="evidence")
-    sites, mean = posteriors(slim.select("host", "path", "evidence"))
-    full = with_evidence(docs, model).withColumn("__host", host).withColumn("__path", path).withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    # a host may hold a third of all rows: its row stands under several salts
-    spread = sites.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("host_posterior").alias("__host_posterior"), F.col("path_posterior").alias("__path_posterior"), F.col("n").alias("__n"), F.col("strength").alias("__strength"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-    p = 1 / (1 + F.exp(-F.col("__evidence")))
-    n = F.col("__n") + F.col("__strength")
-    rest = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), (F.col("__path_posterior") * n - p) / F.greatest(F.lit(1e-9), n - 1)))
-    total = F.col("__evidence") + SITE_WEIGHT * (_logit(rest) - F.lit(float(np.log(mean / (1 - mean)))))
-    return (
-        full.join(spread, ["__host", "__path", "__salt"])
-        .withColumn("__p", p)
-        .withColumn("__score", 1 / (1 + F.exp(-total)))
-        .withColumn("__keep", F.col("__score") >= threshold)
-        .select(*docs.columns, "__host", "__path", "__p", "__host_posterior", "__path_posterior", "__score", "__keep")
-    )
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), host.alias("host"), path.alias("path"), salt.alias("salt"), F.col("text").cast("string").alias("text"))
+    return _decided(with_evidence(whole, model), sites, mean, threshold).where("keep").select("row.*")

@@ -33,9 +33,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    found = quality.classify(docs, table(spark, sf_dir, "labels"))
-    return found.selectExpr("doc_id", "__host as host", "__path as path", "__p as classifier", "__host_posterior as host_posterior", "__path_posterior as path_posterior", "__score as score", "__keep as keep")
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,8 @@ def sets_of(text, n=3):
     return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
 
 
-def brute(rows, percent):
-    sets = [(i, sets_of(t)) for i, t in rows]
+def brute(rows, percent, words=3):
+    sets = [(i, sets_of(t, words)) for i, t in rows]
     root = {i: i for i, _ in sets}
 
     def find(x):
@@ -34,9 +34,9 @@ def brute(rows, percent):
     return sorted((i, len(s), find(i)) for i, s in sets)
 
 
-def check(docs, percent=90, **kw):
-    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.groups(docs, percent=percent, **kw).collect())
-    want = brute([(r[0], r[1]) for r in docs.select("doc_id", "text").collect()], percent)
+def check(docs, percent=90, words=3, **kw):
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.groups(docs, percent=percent, words=words, **kw).collect())
+    want = brute([(r[0], r[1]) for r in docs.select("doc_id", "text").collect()], percent, words)
     assert got == want
     return sum(a != c for a, _, c in got)
 
@@ -59,6 +59,15 @@ def near_copies(n, seed=7):
 
 def test_against_brute_force(spark, sf):
     assert check(table(spark, sf, "documents")) > 10
+    assert check(table(spark, sf, "documents"), 80, 5) > 10
+
+
+def test_words_on_which_plain_polynomials_agree(docs_of):
+    from test_packing import twins
+
+    rows = [(k, f"{a} {b} {a}") for k, (a, b) in enumerate((twins(1024), twins(1024)[::-1], twins(2048), twins(2048)[::-1]), 1)]
+    got = {r["doc_id"]: r["component_id"] for r in J.groups(docs_of(rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
 
 
 def test_near_copies_and_tiles(docs_of):
@@ -66,6 +75,7 @@ def test_near_copies_and_tiles(docs_of):
     assert check(docs) > 20
     check(docs, block=8)
     check(docs, percent=80, block=16)
+    check(docs, percent=80, words=5, block=16)
 
 
 def test_short_sets_link_with_larger_ones(docs_of):

@@ -26,7 +26,7 @@ def test_each_stage_on_its_own_input(spark, sf):
     # one of each group stays
     from test_jaccard import brute as groups
 
-    want = {i for i, _, c in groups([(i, r["text"]) for i, r in rows[1].items()], 90) if i == c}
+    want = {i for i, _, c in groups([(i, r["text"]) for i, r in rows[1].items()], 80, 5) if i == c}
     assert set(rows[2]) == want and all(rows[2][i] == rows[1][i] for i in want)
     # repeated strings are struck out
     from test_suffix_dedup import brute as kept

@@ -21,12 +21,12 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the threshold."""
-    return quality.classify(docs, table(spark, sf_dir, "labels")).where("__keep").select(*docs.columns)
+    return quality.kept(docs, table(spark, sf_dir, "labels"))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id; documents without a doc_id stay."""
-    found = jaccard.groups(docs)
+    """Of each group of near copies (five words, a similarity of 0.8) the one with the smallest doc_id; documents without a doc_id stay."""
+    found = jaccard.groups(docs, words=5, percent=80)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

@@ -4,8 +4,9 @@ A shard is some ``SHARD`` bytes of whole documents. Its words become symbols of
 and every document's end, is one separator, and runs too short for the shortest test phrase are left out, which loses no
 occurrence. The suffix array of these symbols is sorted by prefix doubling; its Burrows-Wheeler transform is kept as a
 wavelet matrix, all test phrases are searched backward through its ranks together, and occurrences are located by
-walking to sampled suffix positions. Hit words merge into removal spans. The benchmark goes to the executors in blocks
-of bounded size; nothing is gathered over shards.
+walking to sampled suffix positions. Hit words are compared with the phrase's on their bytes, and merge into removal spans.
+The benchmark goes to the executors in blocks of bounded size, one after the other: what a block hits is written before the
+next one is read, so the driver and a worker hold one block. Nothing is gathered over shards.
 """
 
 from __future__ import annotations
@@ -14,13 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
+from glossweave.functions.session import importable, stored
 from glossweave.llm import exchange as X
 from glossweave.llm import text as T
 from glossweave.llm.license_scan import find
 
-#: Characters of benchmark text that go to the executors at once.
-BLOCK_CHARS = 16 << 20
+#: Characters of benchmark text that go to the executors at once; windows take some 20 times as many bytes.
+BLOCK_CHARS = 4 << 20
 #: Bytes of a shard.
 SHARD = 6 << 20
 
@@ -117,29 +120,43 @@ class Phrases:
     """Test phrases of one block of items: distinct windows as symbols, and the items of each."""
 
     def __init__(self, items: list[tuple[object, str | None]], width: int):
-        data, offs = T.utf8(pa.array([t or "" for _, t in items], pa.string()))
+        data, offs = T.utf8(pa.array([t or "" for _, t in items], pa.large_string()))
         low = T.LOWER[data]
         s, e, first = T.words(low, offs, T.ALNUM)
-        h = T.word_hashes(low, s, e)
-        self.vocab, code = np.unique(h, return_inverse=True)
-        found: dict[bytes, tuple[np.ndarray, list[int]]] = {}
-        for i in range(len(items)):
-            w = code[first[i] : first[i + 1]] + 1
-            for k in range(max(1, len(w) - width + 1) if len(w) else 0):
-                x = w[k : k + width]
-                _, own = found.setdefault(x.tobytes(), (x, []))
-                if i not in own[-1:]:
-                    own.append(i)
-        self.ids = [str(k) for k, _ in items]
-        self.lengths = np.array([len(x) for x, _ in found.values()], np.int64)
-        self.rows = np.zeros((len(found), width), np.int64)
-        for r, (x, _) in enumerate(found.values()):
-            self.rows[r, width - len(x) :] = x
-        self.items = [own for _, own in found.values()]
+        self.vocab, at, code = np.unique(T.word_hashes(low, s, e), return_index=True, return_inverse=True)
+        code = code.ravel().astype(np.int32)
+        #: The bytes of each word of the vocabulary.
+        self.size = e[at] - s[at]
+        self.begin = np.cumsum(self.size) - self.size
+        self.raw = low[np.repeat(s[at] - self.begin, self.size) + np.arange(self.size.sum())]
+        if not self.spelled(low, s, e - s, code).all():
+            raise RuntimeError("two words of the benchmark share a hash under this session's key; run again")
+        n = np.diff(first)
+        many = np.where(n > 0, np.maximum(1, n - width + 1), 0)
+        item = np.repeat(np.arange(len(items)), many)
+        start = np.repeat(first[:-1] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        size = np.minimum(n[item], width)
+        rows = np.zeros((len(start), width), np.int32)  # symbols, padded on the left; 0 is no word
+        for k in range(width):
+            live = size > k
+            rows[live, width - 1 - k] = code[start[live] + size[live] - 1 - k] + 1
+        _, heads, which = np.unique(rows.view(f"V{4 * width}").ravel(), return_index=True, return_inverse=True) if len(rows) else (None, item, item)
+        self.ids = ["" if k is None else str(k) for k, _ in items]
+        self.rows, self.lengths = rows[heads].astype(np.int64), size[heads]
+        both = np.unique(which.ravel().astype(np.int64) * max(1, len(items)) + item)
+        window, self.items = np.divmod(both, max(1, len(items)))
+        self.first_item = np.searchsorted(window, np.arange(len(heads) + 1))
+
+    def spelled(self, low: np.ndarray, start: np.ndarray, size: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Whether words have the bytes of the vocabulary's words of these numbers."""
+        out = size == self.size[code]
+        live = np.flatnonzero(out)
+        out[live] = T.same(low, start[live], self.raw, self.begin[code[live]], size[live])
+        return out
 
 
-def occurrences(p: Phrases, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(window, first word) of every occurrence in a shard, from its words' hashes and documents."""
+def occurrences(p: Phrases, h: np.ndarray, doc: np.ndarray, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(window, first word) of every occurrence in a shard, from its words' hashes, documents and places in ``data``."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(p.lengths) or not len(h):
         return none
@@ -164,36 +181,58 @@ def occurrences(p: Phrases, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray,
     lo, hi = index.search(p.rows, p.lengths)
     n = hi - lo
     rows = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-    return np.repeat(np.arange(len(n)), n), word[index.locate(rows)]
+    which, at = np.repeat(np.arange(len(n)), n), word[index.locate(rows)]
+    # by the bytes: a word that only shares a hash makes no occurrence
+    size = p.lengths[which]
+    owner = np.repeat(np.arange(len(which)), size)
+    inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    code = p.rows[which[owner], p.rows.shape[1] - size[owner] + inner] - 1
+    pairs, pair = np.unique((at[owner] + inner) * len(p.vocab) + code, return_inverse=True)
+    w, code = np.divmod(pairs, len(p.vocab))
+    length = e[w] - s[w]
+    begin = np.cumsum(length) - length
+    good = p.spelled(T.LOWER[data[np.repeat(s[w] - begin, length) + np.arange(length.sum())]], begin, length, code)
+    bad = np.bincount(owner, weights=~good[pair.ravel()], minlength=len(which)) > 0
+    return which[~bad], at[~bad]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10, cleaned: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, n_words, spans, items[, text] of every document.
+    """doc_id, n_words, spans, items of every document; with ``cleaned``, all columns of ``docs``, n_words, spans and items.
 
     spans are the merged runs of hit words: (first word, words, start byte, end byte); items the ids, as strings, of
-    benchmark items with a window in the document, sorted as strings. With ``cleaned``, all columns of ``docs`` come
-    back (but those that the new ones' names replace) and text is without the bytes of the spans (null stays null). Null and empty texts have no words; null or empty
-    items have no windows; repeated rows give a row each; an empty table gives no rows or no hits. Other columns of
-    either table are not looked at.
+    benchmark items with a window in the document, sorted as strings. With ``cleaned``, text is without the bytes of the
+    spans (null stays null), and of columns that have the new ones' names the new ones come back. Null and empty texts have
+    no words; null or empty items have no windows; a null item_id is the empty string; repeated rows give a row each; an
+    empty table gives no rows or no hits. Other columns of either table are not looked at.
     """
+    importable(docs.sparkSession)
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = max(1, -(-int(total) // block_chars))
-    out = docs
-    if n_blocks > 1:  # each block of the benchmark is searched in all documents in turn, then hits are merged
-        out = docs.withColumn("__hits", F.array().cast("array<struct<first:long,n:long,start:long,end:long>>")).withColumn("__items", F.array().cast("array<string>"))
+    names = [c for c in docs.columns if c not in ("n_words", "spans", "items")] if cleaned else ["doc_id"]
+    row = F.struct(*(F.col(f"`{c}`") for c in names if c != "text")) if [c for c in names if c != "text"] else F.struct(F.lit(0).alias("none"))
+    out = docs.select(row.alias("row"), F.col("text").cast("string").alias("text"))
+    if n_blocks > 1:
+        out = out.withColumns({"hits": F.array().cast(_HITS), "found": F.array().cast("array<string>")})
     for k in range(n_blocks):
         block = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
         phrases = Phrases([(r["item_id"], r["text"]) for r in block.collect()], width)
-        out = _with_hits(out, phrases, last=k == n_blocks - 1, first=n_blocks == 1, cleaned=cleaned)
-    return out
+        last = k == n_blocks - 1
+        out = _with_hits(out, phrases, last=last, first=n_blocks == 1, cleaned=cleaned)
+        if not last:  # written, so that a block leaves the driver and the plan
+            out = stored(out, "hits")
+    return out.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in names), "n_words", "spans", "items")
+
+
+_HITS = "array<struct<first:long,n:long,start:long,end:long>>"
 
 
 def _with_hits(docs: DataFrame, p: Phrases, first: bool, last: bool, cleaned: bool) -> DataFrame:
+    """``docs``: row, text[, hits, found]. Gives the same again or, last, row[, text], n_words, spans, items."""
     names = docs.columns
-    kept = [c for c in names if not c.startswith("__") and not (last and c in ("n_words", "spans", "items"))] if cleaned or not last else ["doc_id"]
-    hit_type = pa.list_(pa.struct([(c, pa.int64()) for c in ("first", "n", "start", "end")]))
+    kept = ["row"] + ["text"] * (cleaned or not last)
     text_at = names.index("text")
+    hit_type = pa.list_(pa.struct([(c, pa.int64()) for c in ("first", "n", "start", "end")]))
 
     def rows(batches):
         X.trim()
@@ -209,12 +248,12 @@ def _with_hits(docs: DataFrame, p: Phrases, first: bool, last: bool, cleaned: bo
             n_words = n_words.astype(np.int64)
             doc = np.repeat(np.arange(n), n_words)
             word0 = np.concatenate([[0], np.cumsum(n_words)])
-            which, at = occurrences(p, h.astype(np.uint64), doc)
+            which, at = occurrences(p, h.astype(np.uint64), doc, data, s, e)
             change = np.zeros(len(h) + 1, np.int64)
             np.add.at(change, at, 1)
             np.add.at(change, at + p.lengths[which] if len(at) else at, -1)
             if not first:
-                for d, old in enumerate(batch.column(names.index("__hits")).to_pylist()):
+                for d, old in enumerate(batch.column(names.index("hits")).to_pylist()):
                     for x in old:
                         change[word0[d] + x["first"]] += 1
                         change[word0[d] + x["first"] + x["n"]] -= 1
@@ -232,9 +271,9 @@ def _with_hits(docs: DataFrame, p: Phrases, first: bool, last: bool, cleaned: bo
             pairs = np.unique(which + doc[at] * len(p.lengths)) if len(at) else at
             for x in pairs.tolist():
                 d, w = divmod(x, len(p.lengths))
-                own[d].update(p.ids[i] for i in p.items[w])
+                own[d].update(p.ids[i] for i in p.items[p.first_item[w] : p.first_item[w + 1]])
             if not first:
-                for d, old in enumerate(batch.column(names.index("__items")).to_pylist()):
+                for d, old in enumerate(batch.column(names.index("found")).to_pylist()):
                     own[d].update(old)
             found = pa.array([sorted(x) for x in own], pa.list_(pa.string()))
             cols = [batch.column(names.index(c)) for c in kept]
@@ -250,15 +289,10 @@ def _with_hits(docs: DataFrame, p: Phrases, first: bool, last: bool, cleaned: bo
             if last:
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(n_words), spans, found], [*kept, "n_words", "spans", "items"])
             else:
-                yield pa.RecordBatch.from_arrays([*cols, spans, found], [*kept, "__hits", "__items"])
+                yield pa.RecordBatch.from_arrays([*cols, spans, found], [*kept, "hits", "found"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    hits = "array<struct<first:long,n:long,start:long,end:long>>"
-    schema = f"{kinds}, n_words long, spans {hits}, items array<string>" if last else f"{kinds}, __hits {hits}, __items array<string>"
-    source = docs if cleaned or not last else docs.select(*[c for c in names if c in ("doc_id", "text") or c.startswith("__")])
-    names = source.columns
-    text_at = names.index("text")
-    return source.mapInArrow(rows, schema)
+    more = f"n_words long, spans {_HITS}, items array<string>" if last else f"hits {_HITS}, found array<string>"
+    return docs.mapInArrow(rows, StructType([docs.schema[c] for c in kept] + DataType.fromDDL(more).fields))
 
 
 def digest(found: DataFrame) -> DataFrame:

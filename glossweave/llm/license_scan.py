@@ -1,8 +1,8 @@
 """Operator 7: license notices, by an exact set-similarity join of text blocks with templates.
 
 A block is a line's words; longer lines give blocks of ``BLOCK`` words at every ``STEP``, so each run of ``STEP`` words
-lies in one. As notices are often wrapped, so does the document's whole word sequence, across its lines. A template's containment in a block is the share of its distinct words that the block has. Template words
-are ordered by their number in the whole corpus, rarest first. A block can reach the threshold only if it has one of a
+lies in one. As notices are often wrapped, so does the document's whole word sequence, across its lines. A template's
+containment in a block is the share of its distinct words that the block has. Template words are ordered by their number in the whole corpus, rarest first. A block can reach the threshold only if it has one of a
 template's first words (prefix filter), enough distinct words (length filter), and if the words from its first common one
 on suffice (positional filter); what is left is counted exactly. Only the templates (a fixed table) go to the executors.
 """
@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossweave.functions.session import importable
 from glossweave.llm import exchange as X
 from glossweave.llm import text as T
 
@@ -104,6 +105,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
     rows give a row each; no rows give no rows. matches lists (template, first word, end word, containment) of all blocks
     that reach the threshold; score is the largest containment among them, else 0.
     """
+    importable(docs.sparkSession)
     vocab = sorted({w for t in templates for w in t.split()})
     table = Templates(templates, word_counts(docs, vocab), threshold)
     runs = [(np.array([T.hash_of(w) for w in p.split()], np.uint64), label) for p, label in phrases.items()]

@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from glossweave.functions.session import stored
+from glossweave.functions.session import importable, stored
 from glossweave.llm import exchange as X
 from glossweave.llm import text as T
 from glossweave.llm.toxicity import _logistic
@@ -82,6 +83,7 @@ class Classifier:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Classifier:
     """Fitted on at most ``rows`` labelled documents; contrary labels count as bad quality."""
+    importable(docs.sparkSession)
     seen = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = seen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("quality", "text")
@@ -116,8 +118,7 @@ def with_evidence(docs: DataFrame, model: Classifier) -> DataFrame:
                 out[i:j] = model.evidence(measures(data, offs))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out)], [*kept, "evidence"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
-    return docs.mapInArrow(rows, f"{kinds}, evidence double")
+    return docs.mapInArrow(rows, StructType(docs.schema.fields[:-1]).add("evidence", "double"))
 
 
 def site(source: Column, lang: Column) -> tuple[Column, Column]:

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from glossweave.functions.session import table
 from glossweave.llm import decontaminate, jaccard, license_scan, lm_score, packing, quality, suffix_dedup, token_orc, topk, toxicity
+from glossweave.llm.oracles import ORACLES
 from glossweave.llm.tokenize import vocabulary
 
+__all__ = ["ORACLES", "QUERIES"]
+
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
@@ -53,4 +56,3 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_decontamination, op3_lm_score, op4_suffix_dedup, op5_toxicity, op6_quality, op7_license_scan, op8_exact_topk, op9_ngram_jaccard, op10_token_orc)}
-ORACLES: dict[str, str] = {}

@@ -24,6 +24,8 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from glossweave.functions.session import salt
 from glossweave.llm import exchange as X
@@ -538,10 +540,10 @@ def dedup(docs: DataFrame, length: int = 50, cleaned: bool = False, hot_texts: i
         raise ValueError(f"strings of {SEED} to 64 bytes can be sought, not of {length}")
     others = [c for c in docs.columns if c not in ("doc_id", "text")] if cleaned else []
     parts = X.shard_labels(docs)
-    dealt = X.sharded(docs, *others)
+    dealt = X.sharded(docs, *([F.struct(*(F.col(f"`{c}`") for c in others)).alias("row")] if others else []))
     back = X.shared(X.sent(dealt, lambda d, o: _seeds(d, o, length), parts, SLICE))
     answers = _answers(_contexts(dealt, back, length, parts, hot_texts, bits), length, bits)
-    fields = [docs.schema[c] for c in docs.columns] if cleaned else []
+    kept = [f for f in dealt.schema.fields if f.name != "__shard"] if cleaned else []
 
     def one(own: pa.Table, found: pa.Table) -> pa.Table:
         ids = own["doc_id"].cast(pa.int64())
@@ -595,10 +597,10 @@ def dedup(docs: DataFrame, length: int = 50, cleaned: bool = False, hot_texts: i
         X.trim()
         if cleaned:
             new = pa.array(kept_text, pa.string(), mask=own["text"].is_null().to_numpy())
-            return pa.table([new if f.name == "text" else own[f.name] for f in fields], names=[f.name for f in fields])
+            return pa.table([new if f.name == "text" else own[f.name] for f in kept], names=[f.name for f in kept])
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         return pa.table({"doc_id": own["doc_id"], "n_bytes": join(n_bytes), "n_removed": join(n_removed), "n_spans": join(n_spans), "kept_sha256": pa.array(sha, pa.string())})
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    schema = kinds if cleaned else f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return dealt.groupBy("__shard").cogroup(answers.groupBy("shard")).applyInArrow(one, schema)
+    schema = StructType(kept) if cleaned else f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    found = dealt.groupBy("__shard").cogroup(answers.groupBy("shard")).applyInArrow(one, schema)
+    return found.select(*(F.col(c) if c in ("doc_id", "text") else F.col(f"row.`{c}`") for c in docs.columns)) if cleaned else found

@@ -4,16 +4,21 @@ Inner product, squared norms and distance bound each other; here the bound is ke
 m components with means a, b and deviations s, t (Euclidean norms of what the means leave), the product is at most
 m*a*b + s*t. Levels halve the segments' length; at each, candidates whose bound stays under the query's k-th score found
 so far are dropped, and the survivors' products are computed exactly. Queries come in blocks of bounded size, each of
-which is held against all vectors; every task keeps at most k rows a query, so equal vectors do not add up anywhere.
+which is held against all vectors and let go once its rows are written; every task keeps at most k rows a query, so equal
+vectors do not add up anywhere.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossweave.functions.session import importable, shared_dir
+
 #: Queries that go to the executors at once.
 BLOCK = 4096
 #: Segments a vector at each level, where its length allows.
@@ -36,8 +41,6 @@ def integers(column: pa.ListArray, scale: float) -> tuple[np.ndarray, np.ndarray
     if not len(rows):
         return rows, np.zeros((0, 0))
     width = int(size[rows].max())
-    if (size[rows] != width).any():
-        raise ValueError("vectors differ in length")
     take = at[rows][:, None] + np.arange(width)[None, :]
     return rows, np.floor(scale * values[take]) if width else np.zeros((len(rows), 0))
 
@@ -96,24 +99,33 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0
 
     ``vectors`` has vec_id and embedding; other columns are left out. Rows with a null vec_id, a null vector, or a null
     or infinite component take no part. A candidate is every row with another vec_id; rows that repeat a vec_id are
-    candidates each (and, as queries, answer as one). Fewer candidates give fewer rows; an empty table gives none.
+    candidates each (and, as queries, answer as one, by the first in order of rows of their length). A vector of another
+    length than a query's is no candidate of it. Fewer candidates give fewer rows; an empty table gives none.
     """
+    spark = vectors.sparkSession
+    importable(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    n = asked.count()
+    sizes = {r["size"]: r["n"] for r in asked.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n")).collect()}  # one a length
+    blocks = [(size, n, max(1, -(-n // (block // 2 or 1)) if n > block else 1)) for size, n in sorted(sizes.items())]
+    schema = "query_id long, vec_id long, score long"
+    out = f"{shared_dir(spark)}/best-{uuid.uuid4().hex}" if sum(b for _, _, b in blocks) > 1 else None
     found = None
-    for b in range(max(1, -(-n // (block // 2 or 1)) if n > block else 1)):
-        n_blocks = max(1, -(-n // (block // 2 or 1)) if n > block else 1)
-        part = asked if n_blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b)
-        here = part.toArrow()
-        use, x = integers(here["embedding"], scale)
-        ids, at = np.unique(here["vec_id"].to_numpy()[use], return_index=True)
-        if not len(ids):
-            continue
-        one = _against(rows, Queries(ids, x[at], k), scale)
-        found = one if found is None else found.union(one)
+    for size, _, n_blocks in blocks:
+        for b in range(n_blocks):
+            part = asked.where(F.size("embedding") == size)
+            here = (part if n_blocks == 1 else part.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b)).toArrow()
+            use, x = integers(here["embedding"], scale)
+            ids, at = np.unique(here["vec_id"].to_numpy()[use], return_index=True)
+            if not len(ids):
+                continue
+            found = _against(rows.where(F.size("embedding") == size), Queries(ids, x[at], k), scale)
+            if out:  # written, so that a block's vectors leave the driver and the plan
+                found.write.mode("append").parquet(out)
     if found is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if out:
+        found = spark.read.schema(schema).parquet(out)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

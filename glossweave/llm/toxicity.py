@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossweave.functions.session import importable
 from glossweave.llm import exchange as X
 from glossweave.llm import text as T
 from glossweave.llm.license_scan import find
@@ -264,6 +265,7 @@ def fold(mod: int):
 
 def train(docs: DataFrame, labels: DataFrame, mod: int = 4, out: int = 2, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Field:
     """Fit on labelled rows outside the fold; a document with contrary labels counts as toxic."""
+    importable(docs.sparkSession)
     seen = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(mod) != out)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in seen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = counts.get(1, 0), counts.get(0, 0)
@@ -286,6 +288,7 @@ def score(docs: DataFrame, field: Field, mod: int = 4, out: int = 2, threshold:
     marginal is at least one half. Null and empty texts score as texts without known words; repeated rows give a row
     each; no rows give no rows. A field without labels of both kinds gives the share of toxic labels (0 without any).
     """
+    importable(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
 

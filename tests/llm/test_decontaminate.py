@@ -62,6 +62,32 @@ def test_against_brute_force(spark, sf):
     check(spark, table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def test_words_that_only_share_a_hash(spark, docs_of, monkeypatch):
+    import pyarrow as pa
+
+    from glossweave.llm import text as T
+
+    p = D.Phrases([(1, "red green blue"), (2, "green")], 10)
+    data, offs = T.utf8(pa.array(["red green blue", "red GREEN grey", "green"]))
+    s, e, first = T.words(T.LOWER[data], offs, T.ALNUM)
+    h = T.word_hashes(T.LOWER[data], s, e)
+    h[5] = T.hash_of("blue")  # as if grey had the hash of blue
+    which, at = D.occurrences(p, h, np.repeat(np.arange(3), np.diff(first)), data, s, e)
+    assert sorted((int(p.lengths[w]), int(a)) for w, a in zip(which, at, strict=True)) == [(1, 1), (1, 4), (1, 6), (3, 0)]
+    from test_packing import twins
+
+    a, b = twins(1024)
+    check(spark, docs_of([(1, a), (2, f"x {b} {a}")]), spark.createDataFrame([(1, b)], "item_id long, text string"))
+
+
+def test_names_of_other_columns_do_not_matter(spark, docs_of):
+    docs = docs_of([(1, "a b c"), (2, None)]).selectExpr("*", "7 as __hits", "8 as row", "9 as found", "10 as `odd.name`")
+    bench = spark.createDataFrame([(None, "b"), (2, "z")], "item_id string, text string")
+    for kw in ({}, {"block_chars": 1}):
+        got = {r["doc_id"]: r for r in D.scan(docs, bench, cleaned=True, **kw).collect()}
+        assert got[1]["text"] == "a  c" and got[1]["items"] == [""] and (got[2]["__hits"], got[2]["row"], got[2]["found"], got[2]["odd.name"]) == (7, 8, 9, 10)
+
+
 def test_odd_rows_and_blocks(spark, odd, docs_of):
     bench = spark.createDataFrame([(1, "Same text HERE"), (2, None), (3, ""), (4, "word " * 12), (4, "word " * 12), (5, "one")], "item_id long, text string")
     docs = odd.union(odd)

@@ -93,7 +93,7 @@ def test_scores_against_plain_python(spark, sf):
 
 def test_names_of_other_columns_do_not_matter(spark, sf):
     docs = table(spark, sf, "documents").limit(50)
-    more = docs.selectExpr("*", "1 as host", "2 as evidence", "3 as salt", "4 as keep", "5 as __salt", "6 as row", "7 as n")
+    more = docs.selectExpr("*", "1 as host", "2 as evidence", "3 as salt", "4 as keep", "5 as __salt", "6 as row", "7 as `n.1`")
     got = Q.kept(more, table(spark, sf, "labels"))
     assert got.columns == more.columns and {tuple(r)[5:] for r in got.collect()} == {(1, 2, 3, 4, 5, 6, 7)}
 

@@ -99,6 +99,10 @@ def test_odd_rows(odd, docs_of):
 
 def test_cleaned_keeps_columns(docs_of):
     t = "".join(chr(200 + k % 90) for k in range(80))
-    got = {r["doc_id"]: r for r in S.dedup(docs_of([(1, "x" + t), (2, "yy" + t + "z"), (3, None)]), cleaned=True).collect()}
+    docs = docs_of([(1, "x" + t), (2, "yy" + t + "z"), (3, None)]).selectExpr("*", "4 as __shard", "5 as row", "6 as `odd.name`")
+    found = S.dedup(docs, cleaned=True)
+    assert found.columns == docs.columns
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert all((r["__shard"], r["row"], r["odd.name"]) == (4, 5, 6) for r in got.values())
     assert got[1]["text"] == "x" + t and got[2]["text"] == "yyz" and got[3]["text"] is None
     assert got[2]["rank"] == 2 and got[2]["task"] == "k"

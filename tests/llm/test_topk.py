@@ -34,3 +34,13 @@ def test_odd_rows(spark):
     assert topk.search(df.limit(0)).count() == 0
     same = spark.createDataFrame([(i, [0.25] * 8) for i in range(300)], "vec_id long, embedding array<double>")
     check(same)
+
+
+def test_vectors_of_several_lengths(spark):
+    rows = [(i, [float(i % 5)] * (2 + i % 3)) for i in range(90)]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4, block=2).collect()
+    size = {i: len(v) for i, v in rows}
+    assert all(size[r["query_id"]] == size[r["vec_id"]] for r in got) and len(got) == 5 * 4
+    for n in (2, 3, 4):
+        same = [r for r in rows if size[r[0]] == n]
+        assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got if size[r["query_id"]] == n} == brute(same, 4)[0]

@@ -346,9 +346,9 @@ def folded(df: DataFrame, keep: list[str], fold_limit: int) -> DataFrame:
 
 
 def random_costs(model: DataFrame, repeats: int = 10, fold_limit: int = FOLD_LIMIT) -> DataFrame:
-    """(root, seed, nodes, cost): greedy merging in pseudo-random orders that follow from seed and edge alone."""
+    """(root, seed, nodes, cost): greedy merging in pseudo-random orders, by the MD5 of seed and edge, so any engine has the same."""
     seeds = model.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("seed"))
-    keyed = F.array_sort(F.transform("links", lambda e: F.struct(F.xxhash64(F.col("seed"), e["a"], e["b"]).alias("h"), e["a"].alias("a"), e["b"].alias("b"), e["w"].alias("w"))))
+    keyed = F.array_sort(F.transform("links", lambda e: F.struct(F.md5(F.concat_ws("|", F.col("seed").cast("string"), e["a"], e["b"])).alias("h"), e["a"].alias("a"), e["b"].alias("b"), e["w"].alias("w"))))
     return folded(seeds.withColumn("keyed", keyed), ["root", "seed"], fold_limit)
 
 
@@ -364,12 +364,25 @@ def spatial(model: DataFrame, positions: DataFrame, member: DataFrame, fold_limi
     return folded(model.join(at, "root").withColumn("keyed", keyed), ["root"], fold_limit)
 
 
+def named(found: DataFrame) -> DataFrame:
+    """(root, key, cluster, cost) from (root, nodes, cost); a cluster is named by its smallest page key."""
+    rows = found.select("root", "cost", F.explode("nodes").alias("x")).select("root", "cost", F.col("x.k").alias("key"), F.col("x.c").alias("c"))
+    return rows.join(rows.groupBy("root", "c").agg(F.min("key").alias("cluster")), ["root", "c"]).select("root", "key", "cluster", "cost")
+
+
 def validity(found: DataFrame, pages: DataFrame, edges: DataFrame, member: DataFrame) -> DataFrame:
-    """(root, n_pages, conflicts, cost_gap) of clusters (root, key, cluster, cost): languages that clusters have twice, and the reported less the counted weight of edges between clusters."""
+    """(root, n_pages, conflicts, cost_gap, mergeable) of clusters (root, key, cluster, cost): languages that clusters have twice,
+    the reported less the counted weight of edges between clusters, and linked clusters that share no language and so could be one."""
     langs = found.join(pages.select("key", "lang"), "key").groupBy("root", "cluster", "lang").agg(F.count("*").alias("n"))
     clash = langs.groupBy("root").agg(F.sum("n").alias("n_pages"), F.sum(F.col("n") - 1).alias("conflicts"))
     of = found.select("key", "cluster")
     cut = edges.join(of.withColumnRenamed("key", "a").withColumnRenamed("cluster", "ca"), "a").join(of.withColumnRenamed("key", "b").withColumnRenamed("cluster", "cb"), "b")
-    cost = cut.join(member.withColumnRenamed("key", "a"), "a").groupBy("root").agg(F.sum(F.when(F.col("ca") != F.col("cb"), F.col("weight")).otherwise(0.0)).alias("counted"))
+    cut = cut.join(member.withColumnRenamed("key", "a"), "a").where("ca <> cb")
+    cost = cut.groupBy("root").agg(F.sum("weight").alias("counted"))
+    own = langs.select("root", "cluster", "lang")
+    pairs = cut.select("root", "ca", "cb").distinct()
+    shared = pairs.join(own.withColumnRenamed("cluster", "ca"), ["root", "ca"]).join(own.withColumnRenamed("cluster", "cb"), ["root", "cb", "lang"]).select("root", "ca", "cb").distinct()
+    free = pairs.join(shared, ["root", "ca", "cb"], "left_anti").groupBy("root").agg(F.count("*").alias("mergeable"))
     told = found.groupBy("root").agg(F.max("cost").alias("cost"))
-    return clash.join(told, "root").join(cost, "root", "left").select("root", "n_pages", "conflicts", F.round(F.abs(F.col("cost") - F.coalesce("counted", F.lit(0.0))), 6).alias("cost_gap"))
+    out = clash.join(told, "root").join(cost, "root", "left").join(free, "root", "left")
+    return out.select("root", "n_pages", "conflicts", F.round(F.abs(F.col("cost") - F.coalesce("counted", F.lit(0.0))), 6).alias("cost_gap"), F.coalesce("mergeable", F.lit(0).cast("long")).alias("mergeable"))

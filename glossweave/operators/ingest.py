@@ -5,6 +5,8 @@ Each step returns (accepted, rejected); rejected rows carry ``reason``, or are l
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,13 +121,14 @@ def rejects(*rejected: DataFrame) -> DataFrame:
     return out.select("step", "reason", "n")
 
 
-def import_graph(records: dict[str, DataFrame], policy: str = "middle", with_pagelinks: bool = False) -> dict[str, DataFrame]:
+def import_graph(records: dict[str, DataFrame], policy: str = "middle", with_pagelinks: bool = False, keep: Callable[[DataFrame], DataFrame] = lambda pages: pages) -> dict[str, DataFrame]:
     """pages, langlinks, categorylinks (and pagelinks) of all languages in one plan, and the rejected rows of each step.
 
-    One policy for chains of redirects holds for the pages and for what counts as a link's source."""
+    One policy for chains of redirects holds for the pages and for what counts as a link's source. ``keep`` may store the
+    pages, which all later steps read."""
     p = pages(records["page"])
     moved, bad_redirects = redirects(p, records["redirect"])
-    p = remove_double_redirects(with_redirects(p, moved), policy)
+    p = keep(remove_double_redirects(with_redirects(p, moved), policy))
     links, bad_links = langlinks(p, records["langlinks"])
     cats, bad_cats = categorylinks(p, records["categorylinks"])
     out = {"pages": p, "langlinks": links, "categorylinks": cats, "rejected_redirects": bad_redirects, "rejected_langlinks": bad_links, "rejected_categorylinks": bad_cats}

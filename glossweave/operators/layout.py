@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossweave.operators.clustering import LIMIT, Component, _rng, per_component
+from glossweave.operators.clustering import LIMIT, Component, _rng, build, per_component
 
 # Rest lengths of edges, strengths and reach of repulsion, and the span of random starts.
 PAGE_REST, SKELETON_REST, REPULSION, ALT_REACH, SPAN = 1.0, 2.0, 40.0, 10.0, 100.0
@@ -108,6 +108,24 @@ def page_positions(pages: DataFrame, edges: DataFrame, member: DataFrame, seed:
     return per_component(pages, edges, member, step, "root string, page_id string, x double, y double, z double, before double, after double", limit)
 
 
+def energy_at(pages: DataFrame, edges: DataFrame, positions: DataFrame, alternative: bool = False, limit: int = LIMIT) -> DataFrame:
+    """(root, page_id, energy, gx, gy): the energy of each component at given positions (page_id, root, x, y), and its gradient at each page."""
+    at = positions.join(pages.select(F.col("key").alias("page_id"), "lang"), "page_id").select("root", "page_id", "lang", "x", "y")
+    of = positions.select(F.col("page_id").alias("a"), "root")
+    e = edges.join(of, "a").select(F.col("root").alias("root"), "a", "b", "weight")  # a column of its own, as both sides come from positions
+
+    def one(own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        if len(own) > limit:
+            raise ValueError(f"component {own['root'].iloc[0]} has {len(own)} pages, more than {limit}")
+        own = own.sort_values("page_id")
+        comp = build(own["root"].iloc[0] if len(own) else "", own.rename(columns={"page_id": "key"}), links)
+        value, g = page_energy(comp, alternative)(own[["x", "y"]].to_numpy(float).ravel())
+        g = g.reshape(-1, 2)
+        return pd.DataFrame({"root": comp.key, "page_id": comp.pages, "energy": value, "gx": g[:, 0], "gy": g[:, 1]})
+
+    return at.groupBy("root").cogroup(e.groupBy("root")).applyInPandas(one, "root string, page_id string, energy double, gx double, gy double")
+
+
 def timings(comp: Component, repeats: int = 50) -> float:
     """Milliseconds of one call of function and gradient, as a mean."""
     import time
@@ -133,10 +151,18 @@ def meaning_graph(pages: DataFrame, meanings: DataFrame, edges: DataFrame) -> tu
     return nodes, links
 
 
-def skeleton_positions(nodes: DataFrame, links: DataFrame, seed: int = 0, rounds: int = 120) -> DataFrame:
-    """(root, meaning, x, y, before, after): meanings placed by springs along their links and repulsion between all pairs."""
+def meaning_inside(meanings: DataFrame, edges: DataFrame) -> DataFrame:
+    """(root, meaning, n): edges inside each meaning."""
+    a, b = (meanings.select(F.col("page_id").alias(c), F.col("meaning").alias(f"m{c}"), F.col("root").alias(f"r{c}")) for c in "ab")
+    return edges.join(a, "a").join(b, "b").where("ma = mb").groupBy(F.col("ra").alias("root"), F.col("ma").alias("meaning")).agg(F.count("*").alias("n"))
+
+
+def skeleton_positions(nodes: DataFrame, links: DataFrame, seed: int = 0, rounds: int = 120, limit: int = LIMIT) -> DataFrame:
+    """(root, meaning, x, y, before, after): meanings placed by springs along their links and repulsion between all pairs, at most ``limit`` meanings a component."""
 
     def one(own: pd.DataFrame, edge: pd.DataFrame) -> pd.DataFrame:
+        if len(own) > limit:
+            raise ValueError(f"component {own['root'].iloc[0]} has {len(own)} meanings, more than {limit}")
         names = sorted(own["meaning"])
         at = {m: i for i, m in enumerate(names)}
         edges = sorted((at[a], at[b], float(n)) for a, b, n in zip(edge["m1"], edge["m2"], edge["n"], strict=True))

@@ -2,8 +2,9 @@
 
     python -m glossweave.plans.cli -d STORE -u USER -i DUMPS -o OUT -s common-cats,medium-only -r import,find-comps,genetic,serialize
 
-Commands run in the order given; unknown ones are passed over. ``-H``, ``-P`` and ``-p`` name a database's host, port and
-password; with a JDBC URL as ``-d``, pages and links are read from it.
+Commands run in the order given; unknown ones are passed over. With ``-H`` (and ``-P``, ``-p``) pages and links are read
+from the database ``-d`` of that host (and port, with that password); with a JDBC URL as ``-d``, from there. ``reconcile``
+compares the partitions under ``-f`` with live links (see ``Session.reconcile``); ``-n`` only tells what would change.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossweave.functions.session import stored
 from glossweave.operators import clustering as C
 from glossweave.operators import graph as G
 from glossweave.operators import ingest as I
 from glossweave.operators import layout as L
+from glossweave.operators import reconcile as B
 from glossweave.operators import render as V
 from glossweave.sources import dumps, store
 
@@ -29,6 +32,9 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="glossweave", description=__doc__.splitlines()[0])
     for short, name in (("-H", "host"), ("-P", "port"), ("-p", "password"), ("-i", "input"), ("-o", "output")):
         p.add_argument(short, dest=name)
+    p.add_argument("-f", "--file", dest="file", help="partitions for reconcile")
+    p.add_argument("-n", "--dry-run", dest="dry", action="store_true", help="reconcile: write nothing")
+    p.add_argument("-v", "--verbose", dest="verbose", action="store_true", help="reconcile: log the clusters too")
     p.add_argument("-d", dest="database", required=True)
     p.add_argument("-u", dest="user", required=True)
     many = lambda s: [x for x in s.split(",") if x]
@@ -46,9 +52,15 @@ class Session:
         self.switches = set(options.switches)
         self._model: tuple[DataFrame, DataFrame, DataFrame] | None = None
 
-    def read(self, name: str) -> DataFrame:
+    def url(self) -> str | None:
+        """Where tables are read from, if it is a database."""
         if self.o.database.startswith("jdbc:"):
-            return store.read_jdbc(self.spark, self.o.database, name, self.o.user, self.o.password)
+            return self.o.database
+        return f"jdbc:postgresql://{self.o.host}{f':{self.o.port}' if self.o.port else ''}/{self.o.database}" if self.o.host else None
+
+    def read(self, name: str) -> DataFrame:
+        if url := self.url():
+            return store.read_jdbc(self.spark, url, name, self.o.user, self.o.password)
         return self.spark.read.parquet(f"{self.o.database}/{name}")
 
     def write(self, df: DataFrame, name: str, by: list[str]) -> None:
@@ -94,11 +106,18 @@ class Session:
     # ---- commands ----
 
     def do_import(self) -> None:
-        lines = dumps.read_lines(self.spark, self.o.input)
+        """All languages' dumps; page links too where there are any. Records are tokenized once. What is rejected is stored by reason."""
+        there = dumps.files(self.spark, self.o.input)
         kinds = ("page", "redirect", "langlinks", "categorylinks")
-        g = I.import_graph({k: dumps.read_table(lines, k) for k in kinds})
-        for name in ("pages", "langlinks", "categorylinks"):
+        dumps.require(there, kinds)
+        more = bool(there.where("table = 'pagelinks'").take(1))
+        lines = dumps.read_lines(self.spark, self.o.input)
+        records = {k: stored(dumps.read_table(lines, k), k) for k in kinds + ("pagelinks",) * more}
+        g = I.import_graph(records, with_pagelinks=more, keep=lambda pages: stored(pages, "pages"))
+        steps = [k for k in g if k.startswith("rejected_")]
+        for name in ("pages", "langlinks", "categorylinks") + ("pagelinks",) * more:
             store.write_table(g[name], f"{self.o.database}/{name}")
+        store.write_table(I.rejects(*(g[k] for k in steps)), f"{self.o.database}/rejected")
 
     def find_comps(self) -> None:
         pages, links = self.read("pages"), self.read("langlinks")
@@ -111,7 +130,7 @@ class Session:
         found = L.page_positions(pages, edges, member, alternative="alt-potential" in self.switches, fast="fast-pos" in self.switches)
         self.write(found.select("page_id", "x", "y", "z", F.col("root").alias("comp_id")), "positions", ["comp_id"])
         if "timing" in self.switches:
-            self.log.append(("timing", [tuple(r) for r in C.per_component(pages, edges, member, _timing, "root string, ms double").collect()]))
+            self.tell("timing", C.per_component(pages, edges, member, _timing, "root string, ms double"))
 
     def engine(self, auth: str) -> None:
         self.store_clusters(auth, C.clusters(*self.model(), auth))
@@ -120,17 +139,16 @@ class Session:
         pages, edges, member = self.model()
         at = self.read("positions").select("page_id", "x", "y", "z")
         found = C.spatial(C.models(pages, edges, member, C.LIMIT), at, member)
-        nodes = found.select("root", F.explode("nodes").alias("x")).select("root", F.col("x.k").alias("key"), F.col("x.c").cast("string").alias("cluster"))
-        self.store_clusters("analysis.spatial", nodes)
+        self.store_clusters("analysis.spatial", C.named(found))
 
     def random(self) -> None:
-        """Stores nothing; logs the least, mean and largest cost of each component."""
-        costs = C.random_costs(C.models(*self.model(), C.LIMIT), 10).groupBy("root").agg(F.min("cost"), F.avg("cost"), F.max("cost"))
-        self.log.append(("random", [tuple(r) for r in costs.collect()]))
+        """Stores no clusters; logs the least, mean and largest cost of each component."""
+        costs = C.random_costs(C.models(*self.model(), C.LIMIT), 10).groupBy("root").agg(F.min("cost").alias("least"), F.avg("cost").alias("mean"), F.max("cost").alias("most"))
+        self.tell("random", costs)
 
     def stats(self) -> None:
         pages, edges, member = self.model()
-        self.log.append(("stats", [tuple(r) for r in G.stats(pages, member, edges).collect()]))
+        self.tell("stats", G.stats(pages, member, edges))
 
     def _at(self) -> DataFrame:
         return self.read("positions").select("page_id", F.col("comp_id").alias("root"), "x", "y", "z").join(self.chosen().select("root"), "root", "left_semi")
@@ -150,6 +168,28 @@ class Session:
         ids = self.chosen().select("root", F.col("root").alias("comp_id"), "namespace")
         V.write_sharded(V.partition_xml(pages, links, edges, self.meanings(), ids, "common-cats" in self.switches), f"{self.o.output}/xml", "root", "xml", ".xml")
 
+    def reconcile(self) -> None:
+        """Changes that live links need to agree with the partitions under ``-f``: stored as ``changes`` and ``summaries`` under ``-o``, unless ``-n``.
+
+        Live pages (lang, title, is_redirect) and links (lang, title, to_lang, to_title) are the stored tables live_pages
+        and live_links; editions without a live page are not active."""
+        parsed = V.read_partition_files(self.spark, self.o.file)
+        members = V.cluster_pages(parsed).select(F.concat_ws(" ", "comp_id", "cluster_no").alias("cluster"), "lang", "title")
+        live = self.read("live_pages")
+        kept = B.guarded(members, live, live.select("lang").distinct())
+        found = B.changes(kept, self.read("live_links"))
+        self.log.append(("changes", found.count()))
+        if self.o.verbose:
+            self.log.append(("clusters", (members.select("cluster").distinct().count(), kept.select("cluster").distinct().count())))
+        if not self.o.dry:
+            store.write_table(found, f"{self.o.output}/changes")
+            store.write_table(B.summaries(found), f"{self.o.output}/summaries")
+
+    def tell(self, name: str, rows: DataFrame) -> None:
+        """Rows of a component each go to a table of the log folder; the log has their number."""
+        store.write_table(rows, f"{self.o.database}/log/{name}")
+        self.log.append((name, self.spark.read.parquet(f"{self.o.database}/log/{name}").count()))
+
     def run(self) -> list:
         for name in self.o.run:
             if command := COMMANDS.get(name):
@@ -183,6 +223,7 @@ COMMANDS: dict[str, Callable[[Session], None]] = {
     "visualize": Session.visualize,
     "skel-vis": Session.skeleton,
     "serialize": Session.serialize,
+    "reconcile": Session.reconcile,
 }
 
 

@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossweave.functions.keys import DNS, OID, URL, uuid5_sql
-from glossweave.functions.session import checkpoint
+from glossweave.functions.session import stored
 from glossweave.operators import graph as G
 from glossweave.sources import projection
 
 
+#: Where a session keeps what it made of a graph: the tables' files are the key, so a graph that has changed is made anew.
+_STORED: dict[tuple, DataFrame] = {}
+
+
 class World:
-    """The projected graph's tables, each made at its first use."""
+    """The projected graph's tables, each made and stored at its first use, once a session for all queries on the same files."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    @cached_property
+    def _files(self) -> tuple:
+        return (self.spark.sparkContext.applicationId, *projection.files(self.spark, self.sf_dir))
+
+    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        key = (*self._files, name)
+        if key not in _STORED:
+            _STORED[key] = stored(make(), name)
+        return self.spark.read.schema(_STORED[key].schema).parquet(*_STORED[key].inputFiles())
+
     def _table(self, name: str) -> DataFrame:
-        return projection.graph(self.spark, self.sf_dir, name)
+        return self._once(name, lambda: projection.graph(self.spark, self.sf_dir, name))
 
     @cached_property
     def pages(self) -> DataFrame:
@@ -40,20 +55,20 @@ class World:
 
     @cached_property
     def member(self) -> DataFrame:
-        return checkpoint(G.membership(self.pages, self.links))
+        return self._once("member", lambda: G.membership(self.pages, self.links))
 
     @cached_property
     def comps(self) -> DataFrame:
-        return G.components(self.pages, self.member)
+        return self._once("comps", lambda: G.components(self.pages, self.member))
 
     @cached_property
     def edges(self) -> DataFrame:
-        return G.edges(self.pages, self.links)
+        return self._once("edges", lambda: G.edges(self.pages, self.links))
 
     @cached_property
     def mixed(self) -> DataFrame:
         """(key, root) of incoherent components: what clusters are sought in."""
-        return checkpoint(self.member.join(G.incoherent(self.comps).select("root"), "root", "left_semi"))
+        return self._once("mixed", lambda: self.member.join(G.incoherent(self.comps).select("root"), "root", "left_semi"))
 
     @cached_property
     def mixed_edges(self) -> DataFrame:

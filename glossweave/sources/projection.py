@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from glossweave.functions.session import table
@@ -44,13 +47,24 @@ def ctes(*names: str) -> str:
     return ",\n".join(f"{k} AS ({PARTS[k]})" for k in keys[: last + 1])
 
 
+def files(spark: SparkSession, sf_dir: str) -> list[tuple]:
+    """(path, time, length) of the files of the tables that the graph is made from."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{sf_dir}/{t}.parquet" for t in _BASE])
+    return sorted(tuple(r) for r in found.select("path", "modificationTime", "length").collect())
+
+
+def over_views(spark: SparkSession, text: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """A query whose tables are named plainly, over these DataFrames: each stands as a temporary view while the query is resolved."""
+    tag = uuid.uuid4().hex
+    for name, df in tables.items():
+        df.createOrReplaceTempView(f"{name}_{tag}")
+    try:
+        return spark.sql(re.sub(r"\b(FROM|JOIN) (" + "|".join(tables) + r")\b", rf"\1 \2_{tag}", text)) if tables else spark.sql(text)
+    finally:
+        for name in tables:
+            spark.catalog.dropTempView(f"{name}_{tag}")
+
+
 def graph(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the projected graph; only what it names is read."""
-    text = f"WITH {ctes(name)} SELECT * FROM {name}"
-    words = text.replace(")", " ) ").replace("\n", " \n ").split(" ")
-    args = {}
-    for k, w in enumerate(words):
-        if w in _BASE and words[k - 1] in ("FROM", "JOIN"):
-            words[k] = f"{{{w}}}"
-            args[w] = table(spark, sf_dir, w)
-    return spark.sql(" ".join(words), **args)
+    return over_views(spark, f"WITH {ctes(name)} SELECT * FROM {name}", {t: table(spark, sf_dir, t) for t in _BASE})

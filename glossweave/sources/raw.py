@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from glossweave.functions.session import table
+from glossweave.sources.projection import over_views
 
 _FAR = 1000000000
 
@@ -55,11 +56,4 @@ def ctes(*names: str) -> str:
 
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Records of one kind."""
-    text = f"WITH {ctes(name)} SELECT * FROM {name}"
-    words = text.replace(")", " ) ").replace("\n", " \n ").split(" ")
-    args = {}
-    for k, w in enumerate(words):
-        if w in _BASE and words[k - 1] in ("FROM", "JOIN"):
-            words[k] = f"{{{w}}}"
-            args[w] = table(spark, sf_dir, w)
-    return spark.sql(" ".join(words), **args)
+    return over_views(spark, f"WITH {ctes(name)} SELECT * FROM {name}", {t: table(spark, sf_dir, t) for t in _BASE})

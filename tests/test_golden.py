@@ -121,12 +121,13 @@ def test_g7_cycle():
 
 
 def test_g8_incoherent_partition(spark):
-    page = '<page lang="{}" title="{}"/>'
-    xml = '<component id="x" namespace="0"><cluster>' + page.format("en", "A &amp; B") + page.format("de", "C") + "</cluster>{}<incoherent/></component>"
+    page = '<page id="k" lang="{}" title="{}"/>'
+    xml = '<?xml version="1.0" encoding="UTF-8"?>\n<component id="x" namespace="0"><cluster id="m">' + page.format("en", "A &amp; B") + page.format("de", "C") + "</cluster>{}<incoherent/></component>"
     bad = xml.format("<cluster>" + page.format("en", "D") + page.format("en", "E") + "</cluster>")
-    good = xml.format('<cluster><page lang="fr" title="F"/><page lang="fr" title="G" redirect="true"/></cluster>')
+    good = xml.format('<cluster><page lang="fr" title="F"/><page lang="fr" title="G" redirect="fr:1"/></cluster>')
     got = V.parse_partition(spark.createDataFrame([(bad,), (good,)], "xml string")).collect()
-    assert got[0]["clusters"] == [] and got[0]["langs"] == ["de", "en"]
+    assert got[0]["clusters"] == [] and got[0]["langs"] == []
+    assert got[1]["langs"] == ["de", "en", "fr"]
     assert [[(p["lang"], p["title"]) for p in c] for c in got[1]["clusters"]] == [[("en", "A & B"), ("de", "C")], [("fr", "F")]]
 
 
@@ -154,6 +155,31 @@ def test_dump_lines(spark):
     assert got == [["1", "0", "It's a", "x"], ["2", "14", "a\\", "NULL"], ["-3", "0", "dou,ble)", ""], ["4", "0", "n\\n", "("]]
 
 
+def test_bare_fields_and_malformed_records(spark):
+    df = spark.createDataFrame([("INSERT INTO `x` VALUES (1,ab'c,2),(3,'ok'),(,);",), ("INSERT INTO `x` VALUES (1,'a'),(2,'a'b),(3,'c');",), ("INSERT INTO `x` VALUES (1,'a'),(2,'open",)], "value string")
+    got = [r["fields"] for r in dumps.records(df).collect()]
+    assert got == [["1", "ab'c", "2"], ["3", "ok"], ["", ""], ["1", "a"], ["3", "c"], ["1", "a"]]
+    assert [r["rest"] for r in dumps.malformed(df).collect()] == ["INSERT INTO `x` VALUES ,(2,'a'b),;", "INSERT INTO `x` VALUES ,(2,'open"]
+    assert dumps.records(df.limit(1), strict=True).count() == 3
+    with pytest.raises(Exception, match="malformed record"):
+        dumps.records(df, strict=True).collect()
+
+
+def test_undivided_dumps_are_split_and_read_back(spark, tmp_path):
+    text = "INSERT INTO `lost` VALUES (0);\n" + "".join(f"-- Table structure for table `{t}`\nCREATE\nINSERT INTO `{t}` VALUES ({k},0,'{t}_{k}');\nINSERT INTO `{t}` VALUES (9,0,'z');\n" for k, t in enumerate(("page", "page_props", "redirect")))
+    for lang in ("pt_br", "de"):
+        (tmp_path / f"{lang}toys.sql").write_text(text)
+    split = dumps.split_by_table(dumps.read_whole(spark, str(tmp_path), "toys"))
+    dumps.write_split(split, str(tmp_path / "out"))
+    lines = dumps.read_lines(spark, str(tmp_path / "out"))
+    assert {(r["lang"], r["table"]) for r in lines.collect()} == {(g, t) for g in ("de", "pt-br") for t in ("page", "redirect")}
+    assert sorted(r["title"] for r in dumps.read_table(lines, "page").where("lang = 'de'").collect()) == ["page 0", "page props 1", "z", "z"]
+    found = dumps.files(spark, str(tmp_path / "out"))
+    dumps.require(found, ("page", "redirect"))
+    with pytest.raises(FileNotFoundError, match="de: langlinks, pt-br: langlinks"):
+        dumps.require(found, ("page", "langlinks"))
+
+
 def test_dump_files(spark, tmp_path):
     import gzip
 
@@ -239,7 +265,7 @@ def test_native_fold_equals_python(spark):
     member = pages.select("key", F.lit("r").alias("root"))
     got = C.random_costs(C.models(pages, edges, member), 3).collect()
     c = C.build("r", pages.select("key", "lang").toPandas(), edges.toPandas())
-    h = {(r["seed"], r["a"], r["b"]): r["h"] for r in edges.crossJoin(spark.range(3).select(F.col("id").cast("int").alias("seed"))).select("seed", "a", "b", F.xxhash64("seed", "a", "b").alias("h")).collect()}
+    h = {(r["seed"], r["a"], r["b"]): r["h"] for r in edges.crossJoin(spark.range(3).select(F.col("id").cast("int").alias("seed"))).select("seed", "a", "b", F.md5(F.concat_ws("|", F.col("seed").cast("string"), "a", "b")).alias("h")).collect()}
     for r in got:
         order = sorted(range(len(c.edges)), key=lambda k: h[r["seed"], c.pages[c.edges[k][0]], c.pages[c.edges[k][1]]])
         own, cost = C.greedy(c, order)
@@ -287,7 +313,7 @@ def test_edge_betweenness_of_every_component(spark, sf):
 
     brute = {}
     arcs = {}
-    got = {(r["a"], r["b"]): r["eb"] for r in registry.QUERIES["edge_betweenness_all"](spark, sf).collect()}
+    got = {(r["a"], r["b"]): r["eb"] for r in registry.QUERIES["edge_betweenness"](spark, sf).collect()}
     for a, b in got:
         arcs.setdefault(a, set()).add(b)
         arcs.setdefault(b, set()).add(a)
@@ -310,3 +336,14 @@ def test_edge_betweenness_of_every_component(spark, sf):
                     brute[tuple(sorted(e))] = brute.get(tuple(sorted(e)), 0) + 1 / len(ways)
     assert max(sizes) > 8
     assert all(abs(got[e] - x) < 1e-5 for e, x in brute.items()) and brute.keys() == got.keys()
+
+
+def test_single_pages_are_no_valid_clusters(spark):
+    links = [("en:1", "de:1"), ("de:1", "en:2"), ("en:2", "fr:1")]
+    pages = pages_of(spark, [(k, None) for k in ("en:1", "de:1", "en:2", "fr:1")])
+    edges = G.edges(pages, links_of(spark, links))
+    member = pages.select("key", F.lit("r").alias("root"))
+    alone = pages.select(F.lit("r").alias("root"), "key", F.col("key").alias("cluster"), F.lit(3.0).alias("cost"))
+    assert [tuple(r) for r in C.validity(alone, pages, edges, member).collect()] == [("r", 4, 0, 0.0, 3)]
+    found = C.clusters(pages, edges, member, "analysis.cliques")
+    assert [tuple(r) for r in C.validity(found, pages, edges, member).collect()] == [("r", 4, 0, 0.0, 0)]

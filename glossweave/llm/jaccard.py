@@ -4,9 +4,9 @@ Of two linked sets, each holds at least threshold * size of the other's members,
 their first ``size - ceil(threshold * size) + 1`` in any order that holds for all. The order is by the number of documents that
 have the n-gram, counted over all documents; a set whose first n-grams are all its own links with nothing, and most sets end
 there. Equal sets are one from there on. Sets that share a first n-gram form families (found without listing pairs), and
-inside a family links are sought in tiles: bands of sizes that can link, cut into blocks of bounded size. In a tile,
-set sizes and hashed bitmaps bound the overlap from above, and what passes is counted exactly on sorted arrays. A tile
-returns a forest of links, which keeps every connection but not every pair.
+inside a family links are sought in blocks of bounded size, then between parts that no link joins yet, in tiles: bands of
+sizes that can link, cut into blocks. In a tile, set sizes and hashed bitmaps bound the overlap from above, and what
+passes is counted exactly on sorted arrays. A tile returns a forest of links, which keeps every connection but not every pair.
 """
 
 from __future__ import annotations
@@ -146,37 +146,89 @@ def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], total: in
     return rows.join(hot, keys).unionByName(rest)
 
 
-def _tiles(members: DataFrame, percent: int, block: int) -> DataFrame:
-    """(a, b): links between the sets of each family. ``members``: family, id, n, members."""
-    kind = members.schema["id"].dataType.simpleString()
-    ratio = math.log(100 / percent) * 1.01  # a little more than the threshold, so rounding parts no linked sizes
-    size = checkpoint(members.groupBy("family").agg(F.count("*").alias("copies")))
-    total = size.agg(F.sum("copies")).first()[0] or 0
-    sized = join_counted(members, size, ["family"], total).withColumnRenamed("copies", "all").withColumn("band", F.when(F.col("all") > block, F.floor(F.log("n") / ratio)).otherwise(0).cast("int"))
-    cells = checkpoint(sized.groupBy("family", "band").agg(F.count("*").alias("copies"))).withColumn("k", F.ceil(F.col("copies") / F.lit(block)).cast("int"))
-    up = cells.select("family", (F.col("band") - 1).alias("band"), F.col("k").alias("k_up"))
-    down = cells.select("family", (F.col("band") + 1).alias("band"), F.col("k").alias("k_down"))
-    cells = cells.join(up, ["family", "band"], "left").join(down, ["family", "band"], "left")
-    row = join_counted(sized, cells, ["family", "band"], total).withColumn("i", F.pmod(F.xxhash64("id", "f1"), F.col("k")).cast("int"))
+def _compared(dealt: DataFrame, percent: int) -> DataFrame:
+    """(a, b, large): links inside each tile. ``dealt``: family, large, kind, band, i, j, side, id, members.
 
-    def tile(other_band: str, i: str, j: str, side: int) -> str:
-        return f"named_struct('band', {other_band}, 'i', {i}, 'j', {j}, 'side', {side})"
-
-    # a block meets itself and the others of its band, and all blocks of the bands beside it
-    own = f"transform(sequence(0, k - 1), x -> {tile('2 * band', 'least(i, x)', 'greatest(i, x)', 'int(i > x)')})"
-    above = f"if(k_up is null, array(), transform(sequence(0, coalesce(k_up, 1) - 1), x -> {tile('2 * band + 1', 'i', 'x', '0')}))"
-    below = f"if(k_down is null, array(), transform(sequence(0, coalesce(k_down, 1) - 1), x -> {tile('2 * band - 1', 'x', 'i', '1')}))"
-    dealt = row.select("family", "id", "members", F.explode(F.expr(f"concat({own}, {above}, {below})")).alias("t")).select("family", "t.*", "id", "members")
+    Rows of a tile without sides are compared with all others of it, else only with those of the other side."""
+    id_type = dealt.schema["id"].dataType.simpleString()
 
     def links(group: pa.Table) -> pa.Table:
         ids = group["id"]
         sets = [np.frombuffer(b, np.uint64) for b in group["members"].to_pylist()]
-        side = group["side"].to_numpy()
-        whole = group["band"][0].as_py() % 2 == 0 and group["i"][0].as_py() == group["j"][0].as_py()
-        found = forest(sets, None if whole else side, percent)
-        return pa.table({"a": ids.take(pa.array([x for x, _ in found], pa.int64())), "b": ids.take(pa.array([y for _, y in found], pa.int64()))})
+        found = forest(sets, None if group["side"].null_count else group["side"].to_numpy(), percent)
+        ends = [ids.take(pa.array([pair[k] for pair in found], pa.int64())) for k in (0, 1)]
+        return pa.table({"a": ends[0], "b": ends[1], "large": pa.array([group["large"][0].as_py()] * len(found), pa.bool_())})
+
+    return dealt.groupBy("family", "kind", "band", "i", "j").applyInArrow(links, f"a {id_type}, b {id_type}, large boolean")
+
+
+def _blocks(rows: DataFrame, block: int, turn: int) -> DataFrame:
+    """Tiles of one block each, by a hash. ``rows``: family, copies (rows of its family), large, id, f1, members."""
+    at = F.pmod(F.xxhash64("id", "f1", F.lit(turn)), F.ceil(F.col("copies") / F.lit(block))).cast("int")
+    zero = F.lit(0)
+    return rows.select("family", "large", zero.alias("kind"), zero.alias("band"), at.alias("i"), zero.alias("j"), F.lit(None).cast("int").alias("side"), "id", "members")
+
+
+def _between(large: DataFrame, named: DataFrame, parts: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links between different parts of a family: all rows outside its largest part against each other and against that part.
 
-    return dealt.groupBy("family", "band", "i", "j").applyInArrow(links, f"a {kind}, b {kind}")
+    ``named``: family, id, root of every row; ``parts``: family, root, copies. Tiles are bands of sizes that can link, cut into blocks."""
+    ratio = math.log(100 / percent) * 1.01  # a little more than the threshold, so rounding parts no linked sizes
+    core = parts.groupBy("family").agg(F.max_by("root", F.struct("copies", "root")).alias("core"), F.sum("copies").alias("copies"), F.count("*").alias("parts"))
+    core = checkpoint(core.where("parts > 1"))
+    total = core.agg(F.sum("copies")).first()[0] or 0
+    side = join_counted(named, core, ["family"], total).select("family", "id", (F.col("root") == F.col("core")).cast("int").alias("c")).distinct()
+    rows = large.join(side, ["family", "id"]).withColumn("band", F.floor(F.log("n") / ratio).cast("int"))
+    cells = checkpoint(rows.groupBy("family", "band").agg(F.count("*").alias("copies"), F.sum("c").alias("cores")))
+    cells = cells.select("family", "band", "copies", F.ceil((F.col("copies") - F.col("cores")) / F.lit(block)).cast("int").alias("rest"), F.ceil(F.col("cores") / F.lit(block)).cast("int").alias("core"))
+    up = cells.select("family", (F.col("band") - 1).alias("band"), F.col("rest").alias("rest_up"), F.col("core").alias("core_up"))
+    down = cells.select("family", (F.col("band") + 1).alias("band"), F.col("rest").alias("rest_down"), F.col("core").alias("core_down"))
+    cells = cells.join(up, ["family", "band"], "left").join(down, ["family", "band"], "left")
+    row = join_counted(rows, cells, ["family", "band"], total).withColumn("at", F.expr("cast(pmod(xxhash64(id, f1), if(c = 1, core, rest)) as int)"))
+
+    def meet(blocks: str, kind: int, band: str, i: str, j: str, side: str) -> str:
+        tile = f"named_struct('kind', {kind}, 'band', {band}, 'i', {i}, 'j', {j}, 'side', {side})"
+        return f"transform(if(coalesce({blocks}, 0) = 0, array(), sequence(0, {blocks} - 1)), x -> {tile})"
+
+    # kinds: 0 rest and rest of a band, 1 rest and rest of the next, 2 rest and core of a band, 3 rest and core of the next, 4 core and rest of the next
+    rest = [
+        meet("rest", 0, "band", "least(at, x)", "greatest(at, x)", "if(at = x, null, int(at > x))"),
+        meet("rest_up", 1, "band", "at", "x", "0"), meet("rest_down", 1, "band - 1", "x", "at", "1"),
+        meet("core", 2, "band", "at", "x", "0"), meet("core_up", 3, "band", "at", "x", "0"), meet("core_down", 4, "band - 1", "x", "at", "1"),
+    ]
+    cores = [meet("rest", 2, "band", "x", "at", "1"), meet("rest_down", 3, "band - 1", "x", "at", "1"), meet("rest_up", 4, "band", "at", "x", "0")]
+    tiles = F.explode(F.expr(f"if(c = 1, concat({', '.join(cores)}), concat({', '.join(rest)}))"))
+    return _compared(row.select("family", "large", "id", "members", tiles.alias("t")).select("family", "large", "t.*", "id", "members"), percent)
+
+
+def _links(members: DataFrame, percent: int, block: int) -> DataFrame:
+    """(a, b): links that join all linked sets of each family. ``members``: family, id, f1, n, members.
+
+    Every family is cut into blocks, in which sets meet all others. Families of more than one block go on: one set of each
+    part that links have joined meets those of other parts, as long as that halves the parts; then tiles compare what
+    is left outside the largest part. Rows of one part are not compared again, so a family of near copies costs in proportion to it."""
+    size = checkpoint(members.groupBy("family").agg(F.count("*").alias("copies")))
+    seen = size.agg(F.sum("copies").alias("rows"), F.max("copies").alias("most")).first()
+    sized = join_counted(members, size, ["family"], seen["rows"] or 0).withColumn("large", F.col("copies") > block)
+    found = _compared(_blocks(sized, block, 0), percent)
+    if (seen["most"] or 0) <= block:
+        return found.select("a", "b")
+    found, large, before, turn = checkpoint(found), sized.where("large").drop("copies"), None, 0
+    families = size.where(F.col("copies") > block).count()
+    while True:
+        root = connected_components(found.where("large"))
+        named = checkpoint(large.select("family", "id").distinct().join(root, "id", "left").select("family", "id", F.coalesce("root", "id").alias("root")))
+        parts = checkpoint(named.groupBy("family", "root").agg(F.count("*").alias("copies")))
+        left = parts.count()
+        if left == families:
+            return found.select("a", "b")
+        if before is not None and 2 * left > before:
+            return found.union(_between(large, named, parts, percent, block)).select("a", "b")
+        before, turn = left, turn + 1
+        one = named.where("id = root").select("family", "id")
+        many = checkpoint(one.groupBy("family").agg(F.count("*").alias("copies")))
+        some = join_counted(large.join(one, ["family", "id"], "left_semi"), many, ["family"], left)
+        found = found.union(checkpoint(_compared(_blocks(some, block, turn), percent)))
 
 
 def groups(docs: DataFrame, words: int = 3, percent: int = 90, block: int = BLOCK) -> DataFrame:
@@ -207,7 +259,7 @@ def groups(docs: DataFrame, words: int = 3, percent: int = 90, block: int = BLOC
     twice = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
     twice = checkpoint(twice)
     same = may.join(twice, "doc_id", "left_semi").select("doc_id", *key).join(equal, key).select("doc_id", "id")
-    root = connected_components(_tiles(members, percent, block).union(same))
+    root = connected_components(_links(members, percent, block).union(same))
     known = equal.join(root, "id", "left").select(*key, F.coalesce("root", "id").alias("component_id"), "copies")
     rest = found.where("f1 is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = join_counted(may.select("doc_id", *key), known, key, total).select("doc_id", "n_shingles", "component_id").union(rest)

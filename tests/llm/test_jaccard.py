@@ -78,6 +78,30 @@ def test_near_copies_and_tiles(docs_of):
     check(docs, percent=80, words=5, block=16)
 
 
+def test_large_families_in_several_parts(docs_of, monkeypatch):
+    rng = random.Random(3)
+    base = [f"b{k}" for k in range(200)]
+    rows = []
+    for c in range(3):  # parts that share most words, but too few n-grams to link
+        own = [f"c{c}x{k}" if k % 9 == 0 else w for k, w in enumerate(base)]
+        for _ in range(40):
+            w = list(own)
+            w[rng.randrange(200)] = f"d{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    w = list(base)
+    for k in range(0, 120, 2):  # a chain whose ends are far apart
+        w[k] = f"e{k}"
+        rows.append((len(rows), " ".join(w)))
+    rows += [(len(rows) + k, " ".join(base[: 60 + 7 * k])) for k in range(20)]  # sizes of many bands
+    docs = docs_of(rows)
+    for block in (4, 16, 64):
+        assert check(docs, block=block) > 100
+    # near copies of one text are all joined by blocks and by one set of each: nothing is left to compare
+    near = [(k, " ".join([*base[:-1], f"f{k}"])) for k in range(100)]
+    monkeypatch.setattr(J, "_between", lambda *_: 1 / 0)
+    assert check(docs_of(near), block=8) == 99
+
+
 def test_short_sets_link_with_larger_ones(docs_of):
     words = [f"s{k}" for k in range(14)]
     rows = [(1, words[:11]), (2, words[:12]), (3, words[:13])]  # a chain of 9, 10 and 11 n-grams

@@ -20,6 +20,7 @@ been compared. Contexts of one shard that share a hash but not their bytes, sent
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray
         return none.astype(np.uint64), none, none, none, none
     p = T.prefix_hash(data)
     with np.errstate(over="ignore"):
-        h = T.mix((p[SEED:] - p[:-SEED]) * T.powers(n, True)[: n - SEED + 1])
+        h = (p[SEED:] - p[:-SEED]) * T.powers(n, True)[: n - SEED + 1]
     at = None
     if n < 1 << 20:  # the place in the low bits, so one minimum finds the least hash and the leftmost of equals
         least = (h & ORDER) | np.arange(len(h), dtype=np.uint64)
@@ -83,13 +84,13 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray
     doc = np.searchsorted(offs, first, "right") - 1
     last = np.minimum(np.append(first[1:], n), offs[doc] + many[doc]) - 1
     a = at[first]
-    return T.mix(~h[a]), a, first, last, doc  # anchors have small hashes; mixed anew, these fall evenly into ranges
+    return T.mix(~h[a]), a, first, last, doc  # anchors have small hashes; mixed, these fall evenly into ranges
 
 
 def context_hash(p: np.ndarray, position: np.ndarray, first: np.ndarray, end: np.ndarray, bits: int = 64) -> np.ndarray:
     """Of the bytes of a context and the place of its anchor in it."""
     with np.errstate(over="ignore"):
-        return _top(T.mix(T.span_hash(p, first, end) + (position - first).astype(np.uint64) * np.uint64(T.BASE) + (end - first).astype(np.uint64)), bits)
+        return _top(T.mix(T.mix(T.span_hash(p, first, end)) + ((position - first) * 256 + (end - first)).astype(np.uint64)), bits)
 
 
 def _top(h: np.ndarray, bits: int) -> np.ndarray:
@@ -108,19 +109,24 @@ def strings_of(p: np.ndarray, first: np.ndarray, last: np.ndarray, length: int,
     return _top(T.mix(T.span_hash(p, s, s + length)), bits), s, np.repeat(np.arange(len(n)), n)
 
 
-def distinct(v: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a row of each distinct string, which one each row is), in order of hashes and then of bytes; raw: a string a row."""
+def distinct(v: np.ndarray, data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of each distinct string, which one each row is), in order of hashes and then of bytes; a row's string starts at ``at``."""
     order = np.argsort(v, kind="stable")
-    new = np.ones(len(v), bool)
-    new[1:] = v[order][1:] != v[order][:-1]
-    lead = order[np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))] if len(v) else order
-    if np.array_equal(raw[order], raw[lead]):
+    new = _news(v[order])
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))
+    k = np.flatnonzero(~new)
+    if T.same(data, at[order[k]], data, at[order[lead[k]]], np.full(len(k), length)).all():
         which = np.empty(len(v), np.int64)
         which[order] = np.cumsum(new) - 1
         return order[new], which
-    rows = np.ascontiguousarray(np.concatenate([v.astype(">u8").view(np.uint8).reshape(-1, 8), raw], axis=1))
-    _, at, which = np.unique(rows.view(f"V{rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
-    return at, which.ravel()
+    rows = np.ascontiguousarray(np.concatenate([v.astype(">u8").view(np.uint8).reshape(-1, 8), _rows(data, at, length)], axis=1))
+    _, first, which = np.unique(rows.view(f"V{rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    return first, which.ravel()
+
+
+def _rows(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The strings that start at these places, one a row."""
+    return data[at[:, None] + np.arange(length)]
 
 
 def _seeds(data: np.ndarray, offs: np.ndarray, length: int) -> np.ndarray:
@@ -148,32 +154,28 @@ def _contexts(dealt: DataFrame, back: DataFrame, length: int, parts: list[int],
         ids = docs["doc_id"].cast(pa.int64())
         named = ~ids.is_null().to_numpy()
         ids = ids.fill_null(0).to_numpy()
-        got: list[list[np.ndarray]] = [[] for _ in range(5)]
-        raw: list[np.ndarray] = []
+        got: list[list[np.ndarray]] = [[] for _ in range(6)]
+        flat, starts = T.utf8(docs["text"])
         spare: list[np.ndarray] = []  # hashes of contexts that are not sent
         strings: list[tuple[np.ndarray, ...]] = []
-        for i, _, data, offs in T.texts(docs["text"], SLICE):
+        for i, j in T.slices(starts, SLICE):
+            data, offs = flat[starts[i] : starts[j]], starts[i : j + 1] - starts[i]
             h, position, first, last, doc = anchors(data, offs, length)
-            seed = X.upper(h)
-            keep = (X.lookup(seed, known) >= 0) & named[i + doc] if len(h) else np.zeros(0, bool)
+            if not len(h):
+                continue
+            p, seed = T.prefix_hash(data), X.upper(h)
+            keep = (X.lookup(seed, known) >= 0) & named[i + doc]
             if len(hot_seeds) and keep.any():
                 hot = np.flatnonzero(keep & (X.lookup(seed, hot_seeds) >= 0))
                 keep[hot] = False
                 if len(hot):
-                    v, s, k = strings_of(T.prefix_hash(data), first[hot], last[hot], length, bits)
-                    strings.append(_least(v, data[s[:, None] + np.arange(length)], ids[i + doc[hot]][k]))
-            if not len(seed):
-                continue
-            hashes = context_hash(T.prefix_hash(data), position, first, last + length, bits)
+                    v, s, k = strings_of(p, first[hot], last[hot], length, bits)
+                    strings.append(_least(v, data, s, length, ids[i + doc[hot]][k]))
+            hashes = context_hash(p, position, first, last + length, bits)
             spare.append(hashes[~keep & named[i + doc]])
-            seed, position, first, end, doc, hashes = seed[keep], position[keep], first[keep], last[keep] + length, ids[i + doc[keep]], hashes[keep]
-            if not len(seed):
-                continue
-            for g, x in zip(got, (seed, hashes, end - first, position - first, doc), strict=True):
+            k = np.flatnonzero(keep)
+            for g, x in zip(got, (seed[k], hashes[k], last[k] + length - first[k], position[k] - first[k], ids[i + doc[k]], starts[i] + first[k]), strict=True):
                 g.append(x)
-            size = end - first
-            pos = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-            raw.append(data[pos])
         shard = docs["__shard"][0].as_py()
         out: dict[str, list] = {f.name: [] for f in _SENT}
 
@@ -184,22 +186,19 @@ def _contexts(dealt: DataFrame, back: DataFrame, length: int, parts: list[int],
         if len(hot_seeds):
             put(0, SEEDS, X.pack(hot_seeds), b"", b"", b"", b"")
         if strings:
-            v, text, least = _least(*(np.concatenate(x) for x in zip(*strings, strict=True)))
+            v, text, least = (np.concatenate(x) for x in zip(*strings, strict=True))
+            v, text, least = _least(v, text.ravel(), np.arange(len(v)) * length, length, least)
             cut = np.concatenate([[0], np.searchsorted(v, string_ends, "right")])
             for part in np.flatnonzero(np.diff(cut)).tolist():
                 k = slice(cut[part], cut[part + 1])
-                put(part, STRINGS, text[k].tobytes(), v[k].tobytes(), b"", least[k].tobytes(), b"")
-        if not raw:
+                put(part, STRINGS, squeezed(text[k]), v[k].tobytes(), b"", squeezed(least[k]), b"")
+        if not sum(map(len, got[0])):
             return pa.table(out, _SENT)
-        seed, hashes, size, left, doc = (np.concatenate(g) for g in got)
-        flat = np.concatenate(raw)
-        raw.clear()
-        begin = np.cumsum(size) - size
+        seed, hashes, size, left, doc, begin = (np.concatenate(g) for g in got)
         order = np.argsort(hashes)
         new = _news(hashes[order])
         lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        alike = (size[order] == size[lead]) & (left[order] == left[lead])
-        alike[alike] = T.same(flat, begin[order][alike], flat, begin[lead][alike], size[order][alike])
+        alike = _alike(flat, begin, size, left, order, lead)
         sent = hashes[order][new]
         misled = np.union1d(hashes[order][~alike], sent[X.lookup(sent, np.sort(np.concatenate(spare))) >= 0])
         kind = np.full(len(hashes), CONTEXTS)
@@ -220,7 +219,7 @@ def _contexts(dealt: DataFrame, back: DataFrame, length: int, parts: list[int],
                     r = rows[k]
                     n = size[r]
                     pos = np.repeat(begin[r] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    put(part, kinds, flat[pos].tobytes(), n.astype(np.uint8).tobytes(), left[r].astype(np.uint8).tobytes(), least[k].tobytes(), most[k].tobytes())
+                    put(part, kinds, squeezed(flat[pos]), n.astype(np.uint8).tobytes(), left[r].astype(np.uint8).tobytes(), squeezed(least[k]), squeezed(most[k]))
         X.trim()
         return pa.table(out, _SENT)
 
@@ -234,16 +233,36 @@ def _news(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Bytes of an array, compressed: a shuffle's own codec leaves texts a half larger."""
+    raw = values.tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+
+
+def opened(blobs: pa.ChunkedArray) -> list[bytes]:
+    """What ``squeezed`` was given, for each row."""
+    sizes = [(b, int.from_bytes(b[:8], "little")) for b in blobs.to_pylist()]
+    return [pa.decompress(b[8:], decompressed_size=n, codec="zstd", asbytes=True) if n else b"" for b, n in sizes]
+
+
+def _alike(data: np.ndarray, begin: np.ndarray, size: np.ndarray, left: np.ndarray, rows: np.ndarray, leads: np.ndarray) -> np.ndarray:
+    """Whether the contexts ``rows`` have the bytes and the place of the anchor of ``leads``; only others than these themselves are compared."""
+    out = (size[rows] == size[leads]) & (left[rows] == left[leads])
+    k = np.flatnonzero(out & (rows != leads))
+    out[k] = T.same(data, begin[rows[k]], data, begin[leads[k]], size[rows[k]])
+    return out
+
+
 _SENT = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("data", "size", "left", "least", "most"))])
 _TOLD = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("part", pa.int32()), ("hash", pa.binary()), ("runs", pa.binary()), ("doc", pa.binary())])
 
 
-def _least(v: np.ndarray, raw: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _least(v: np.ndarray, data: np.ndarray, at: np.ndarray, length: int, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, bytes, smallest document) of distinct strings, in the order of ``distinct``."""
-    at, which = distinct(v, raw)
-    least = np.full(len(at), NEVER)
+    first, which = distinct(v, data, at, length)
+    least = np.full(len(first), NEVER)
     np.minimum.at(least, which, doc)
-    return v[at], raw[at], least
+    return v[first], _rows(data, at[first], length), least
 
 
 def common(p: np.ndarray, inv: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -329,35 +348,43 @@ def smallest(data: np.ndarray, begin: np.ndarray, size: np.ndarray, left: np.nda
 
     Contexts of one group have the same seed."""
     w = length - SEED + 1
-    out = np.full((len(begin), w), NEVER)
     right = np.minimum(size - left, length)
     order, share = suffix_sort(data, begin + left, right, group)
-    g = group[order]
-    edge = np.ones(len(g), bool)
-    edge[1:] = g[1:] != g[:-1]
+    g, at = group[order], (begin + left)[order]
+    fits = (left[order][:, None] >= np.arange(w)) & (right[order][:, None] >= length - np.arange(w))
+    found = np.where(fits, doc[order][:, None], NEVER)
+    edge = _news(g)
     p = T.prefix_hash(data)
+    room = (w + 6) // 8  # the bytes before the anchors, eight at a time
+    padded = np.concatenate([np.zeros(8 * room, np.uint8), data, np.zeros(8, np.uint8)])
+    ahead = [T.eight(padded, at + 8 * (room - 1 - j)) for j in range(room)]
     for o in range(w):
-        segment = np.cumsum(edge | (share < length - o))
-        ok = np.flatnonzero((left[order] >= o) & (right[order] >= length - o))
-        if not len(ok):
+        # neighbours of one segment have the bytes from the anchor on in common; only what stands left of it is left to compare
+        ok = np.flatnonzero(fits[:, o])
+        segment = np.cumsum(edge | (share < length - o))[ok]
+        near = segment[1:] == segment[:-1]
+        several = np.append(near, False) | np.append(False, near) if len(ok) else np.zeros(0, bool)
+        rows, s = ok[several], segment[several]
+        if not len(rows):
             continue
-        rows = order[ok]
-        at = begin[rows] + left[rows]
-        before = T.span_hash(p, at - o, at)
-        sort = np.lexsort((before, segment[ok]))
-        rows, s, b = rows[sort], segment[ok][sort], before[sort]
-        new = np.ones(len(rows), bool)
-        new[1:] = (s[1:] != s[:-1]) | (b[1:] != b[:-1])
+        before = T.span_hash(p, at[rows] - o, at[rows])
+        sort = np.lexsort((before, s))
+        rows, s, b = rows[sort], s[sort], before[sort]
+        new = _news(s, b)
         head = np.flatnonzero(new)
         lead = np.repeat(head, np.diff(np.append(head, len(rows))))
-        strings = data[(begin[rows] + left[rows] - o)[:, None] + np.arange(length)]
-        if not np.array_equal(strings, strings[lead]):  # a hash misled: by the bytes themselves
-            kinds = np.unique(np.column_stack([group[rows].astype("<u8").view(np.uint8).reshape(-1, 8), strings]).view(f"V{8 + length}").ravel(), return_inverse=True)[1].ravel()
+        k = np.flatnonzero(~new)
+        odd = [(ahead[j][rows[k]] ^ ahead[j][rows[lead[k]]]) >> np.uint64(64 - min(64, 8 * (o - 8 * j))) for j in range((o + 7) // 8)]
+        if any(x.any() for x in odd):  # a hash misled: by the bytes themselves
+            strings = data[(at[rows] - o)[:, None] + np.arange(length)]
+            kinds = np.unique(np.column_stack([g[rows].astype("<u8").view(np.uint8).reshape(-1, 8), strings]).view(f"V{8 + length}").ravel(), return_inverse=True)[1].ravel()
             least = np.full(kinds.max() + 1, NEVER)
-            np.minimum.at(least, kinds, doc[rows])
-            out[rows, o] = least[kinds]
+            np.minimum.at(least, kinds, doc[order[rows]])
+            found[rows, o] = least[kinds]
             continue
-        out[rows, o] = np.minimum.reduceat(doc[rows], head)[np.cumsum(new) - 1]
+        found[rows, o] = np.minimum.reduceat(doc[order[rows]], head)[np.cumsum(new) - 1]
+    out = np.empty_like(found)
+    out[order] = found
     return out
 
 
@@ -380,15 +407,18 @@ def _answers(contexts: DataFrame, length: int, bits: int) -> DataFrame:
 
 def _strings_told(rows: pa.Table, length: int) -> pa.Table:
     """The strings of all shards, sorted as suffixes among those of one hash; equals get the smallest document of all."""
-    sizes = [len(b) // 8 for b in rows["least"].to_pylist()]
+    least = opened(rows["least"])
+    sizes = [len(b) // 8 for b in least]
     v = np.frombuffer(b"".join(rows["size"].to_pylist()), np.uint64)
-    doc = np.frombuffer(b"".join(rows["least"].to_pylist()), np.int64)
-    data = T.utf8(rows["data"])[0]
-    least = np.empty(len(v), np.int64)
+    doc = np.frombuffer(b"".join(least), np.int64)
+    data = np.frombuffer(b"".join(opened(rows["data"])), np.uint8)
+    least = doc.copy()
     order = np.argsort(v, kind="stable")
-    edges = np.append(np.flatnonzero(_news(v[order])), len(v))
+    near = ~_news(v[order])
+    order = order[near | np.append(near[1:], False)]  # a hash that one shard alone has sent once has its answer
+    edges = np.append(np.flatnonzero(_news(v[order])), len(order)) if len(order) else np.zeros(0, np.int64)
     a = 0
-    while a < len(v):  # hashes by hashes
+    while a < len(order):  # hashes by hashes
         z = edges[max(np.searchsorted(edges, a + AT_ONCE, "right") - 1, np.searchsorted(edges, a, "right"))]
         own = order[a:z]
         sort, share = suffix_sort(data, own * length, np.full(len(own), length), np.cumsum(_news(v[own])))
@@ -400,28 +430,52 @@ def _strings_told(rows: pa.Table, length: int) -> pa.Table:
     return pa.table({"shard": rows["shard"], "kind": rows["kind"], "part": rows["part"], "hash": none, "runs": none, "doc": pa.array([least[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())}, _TOLD)
 
 
+def _near(p: np.ndarray, begin: np.ndarray, size: np.ndarray, left: np.ndarray, length: int, first: int) -> list[np.ndarray]:
+    """Two hashes of each context, of ``half`` bytes before the seed with it, and of the seed with what follows: every string holds
+    the one or the other. What a context is too short for is its own number, from ``first`` on."""
+    half, at = (length - SEED + 1) // 2, begin + left
+    out = []
+    for a, z, there in ((at - half, at + SEED, left >= half), (at, at + length - half, size - left >= length - half)):
+        key = np.arange(first, first + len(begin)).astype(np.uint64)
+        key[there] = T.mix(T.span_hash(p, a[there], z[there]))
+        out.append(key)
+    return out
+
+
+def _related(keys: list[np.ndarray]) -> np.ndarray:
+    """Which contexts share a hash of ``_near`` with another; others share no string, while a hash may relate too many."""
+    out = np.zeros(len(keys[0]), bool)
+    for key in keys:
+        order = np.argsort(key)
+        near = ~_news(key[order])
+        out[order[near | np.append(near[1:], False)]] = True
+    return out
+
+
 def _contexts_told(rows: pa.Table, length: int, bits: int) -> pa.Table:
-    size, left, least, most, hashes, seed = [], [], [], [], [], []
-    flat = {c: T.utf8(rows[c]) for c in ("data", "size", "left", "least", "most")}
+    size, left, least, most, hashes, same_as, seed, before, after, total = [], [], [], [], [], [], [], [], [], 0
     kinds = rows["kind"].to_pylist()
-    for i in range(rows.num_rows):
-        own, n, k, lo, hi = (x[at[i] : at[i + 1]] for x, at in flat.values())
-        n, k = n.astype(np.int64), k.astype(np.int64)
+    texts = opened(rows["data"])
+    for i, (text, n, k, lo, hi) in enumerate(zip(texts, rows["size"].to_pylist(), rows["left"].to_pylist(), opened(rows["least"]), opened(rows["most"]), strict=True)):
+        own, n, k = np.frombuffer(text, np.uint8), np.frombuffer(n, np.uint8).astype(np.int64), np.frombuffer(k, np.uint8).astype(np.int64)
         at, p = np.cumsum(n) - n, T.prefix_hash(own)
-        size.append(n), left.append(k), least.append(lo.copy().view(np.int64)), most.append(hi.copy().view(np.int64))
-        hashes.append(other_names(own, at, n, k) if kinds[i] == RENAMED else context_hash(p, at + k, at, at + n, bits))
+        size.append(n), left.append(k), least.append(np.frombuffer(lo, np.int64)), most.append(np.frombuffer(hi, np.int64))
+        same_as.append(context_hash(p, at + k, at, at + n, bits))
+        hashes.append(other_names(own, at, n, k) if kinds[i] == RENAMED else same_as[-1])
         seed.append(T.span_hash(p, at + k, at + k + SEED))
+        for x, y in zip((before, after), _near(p, at, n, k, length, total), strict=True):
+            x.append(y)
+        total += len(n)
     shard, renamed = (np.repeat(np.array(x), [len(y) for y in size]) for x in (rows["shard"].to_numpy(), np.array(kinds) == RENAMED))
-    size, left, least, most, hashes, seed = (np.concatenate(x) for x in (size, left, least, most, hashes, seed))
-    data = flat["data"][0]
+    size, left, least, most, hashes, same_as, seed, before, after = (np.concatenate(x) for x in (size, left, least, most, hashes, same_as, seed, before, after))
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    texts.clear()
     begin = np.cumsum(size) - size
     # equal contexts of several shards are one
-    same_as = context_hash(T.prefix_hash(data), begin + left, begin, begin + size) if renamed.any() else hashes
     order = np.lexsort((same_as, seed))
     new = _news(same_as[order], seed[order])
     lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    alike = (size[order] == size[lead]) & (left[order] == left[lead])
-    alike[alike] = T.same(data, begin[order][alike], data, begin[lead][alike], size[order][alike])
+    alike = _alike(data, begin, size, left, order, lead)
     if not alike.all():  # a hash misled: by the bytes themselves
         wide = np.zeros((len(size), 2 * length + 1), np.uint8)
         wide[:, 0] = left
@@ -433,6 +487,7 @@ def _contexts_told(rows: pa.Table, length: int, bits: int) -> pa.Table:
     head = np.append(np.flatnonzero(new), len(order))
     r, one_doc = order[head[:-1]], np.minimum.reduceat(least[order], head[:-1])
     group = np.cumsum(np.diff(seed[r], prepend=seed[r[0]]) != 0)
+    related = _related([before[r], after[r]])
     offsets = np.arange(length - SEED + 1)
     found: list[list[np.ndarray]] = [[] for _ in range(6)]
     edges = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(r))
@@ -440,14 +495,13 @@ def _contexts_told(rows: pa.Table, length: int, bits: int) -> pa.Table:
     while a < len(r):  # seeds by seeds, about AT_ONCE contexts at a time
         z = edges[max(np.searchsorted(edges, a + AT_ONCE, "right") - 1, np.searchsorted(edges, a, "right"))]
         k = np.arange(a, z)
-        alone = np.bincount(group[k] - group[a])[group[k] - group[a]] == 1
         fits = (left[r[k]][:, None] >= offsets) & ((size - left)[r[k]][:, None] >= length - offsets)
         table = np.where(fits, one_doc[k][:, None], NEVER)
-        some = k[~alone]
+        some = k[related[k]]
         if len(some):
             n = size[r[some]]
             near = data[np.repeat(begin[r[some]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            table[~alone] = smallest(near, np.cumsum(n) - n, n, left[r[some]], one_doc[some], group[some], length)
+            table[related[k]] = smallest(near, np.cumsum(n) - n, n, left[r[some]], one_doc[some], group[some], length)
         # contexts for which some document of the shard is later than a string's smallest
         member = order[head[a] : head[z]]
         kind = np.repeat(k - a, np.diff(head[a : z + 1]))
@@ -481,42 +535,47 @@ def _contexts_told(rows: pa.Table, length: int, bits: int) -> pa.Table:
 class HotStrings:
     """A shard's strings of hot seeds in the order in which it sent them, with the smallest document of each."""
 
-    def __init__(self, texts: pa.ChunkedArray, named: np.ndarray, told: pa.Table, parts: list[int], length: int, bits: int):
-        kind, part = told["kind"].to_numpy(), told["part"].to_pylist()
-        self.length, self.bits = length, bits
-        self.seeds = np.unique(np.concatenate([X.unpack(told["hash"][int(k)].as_py())[0] for k in np.flatnonzero(kind == SEEDS)]))
-        found = []
-        for i, _, data, offs in T.texts(texts, SLICE):
-            p, _, hot, s, _, v = self.here(data, offs, named[i:])
-            if len(v):
-                raw = data[s[:, None] + np.arange(length)]
-                found.append(_least(v, raw, np.zeros(len(v), np.int64))[:2])
-        empty = np.zeros(0, np.uint64), np.zeros((0, length), np.uint8)
-        v, raw = (np.concatenate(x) for x in zip(*found, strict=True)) if found else empty
-        self.values, raw, self.least = _least(v, raw, np.full(len(v), NEVER))
-        self.raw = raw.ravel()
-        cut = np.concatenate([[0], np.searchsorted(self.values, X.bounds(len(parts), 64), "right")])
-        number = {name: k for k, name in enumerate(parts)}
-        for k in np.flatnonzero(kind == STRINGS).tolist():
-            r = number[part[k]]
-            self.least[cut[r] : cut[r + 1]] = np.frombuffer(told["doc"][k].as_py(), np.int64)
-
-    def here(self, data: np.ndarray, offs: np.ndarray, named: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(prefix hashes, texts of anchors, hot anchors, first byte, hot anchor's number, hash of each string)."""
-        h, _, first, last, doc = anchors(data, offs, self.length)
-        hot = np.flatnonzero((X.lookup(X.upper(h), self.seeds) >= 0) & named[doc]) if len(h) else np.zeros(0, np.int64)
-        p = T.prefix_hash(data)
-        v, s, k = strings_of(p, first[hot], last[hot], self.length, self.bits)
-        return p, doc, hot, s, k, v
-
-    def struck(self, data: np.ndarray, offs: np.ndarray, ids: np.ndarray, named: np.ndarray) -> np.ndarray:
-        """First bytes of strings that a smaller document has."""
-        _, doc, hot, s, k, v = self.here(data, offs, named)
-        at = np.searchsorted(self.values, v)
-        size = np.full(len(at), self.length)
-        while len(wrong := np.flatnonzero(~T.same(data, s, self.raw, at * self.length, size))):  # strings of one hash stand beside each other
-            at[wrong] += 1
-        return s[self.least[at] < ids[doc[hot]][k]]
+    def __init__(self, told: pa.Table, parts: list[int], length: int, bits: int):
+        kind = told["kind"].to_numpy() if told.num_rows else np.zeros(0, np.int64)
+        self.parts, self.length, self.bits = parts, length, bits
+        self.told = told.filter(pa.array(kind == STRINGS))
+        seeds = [X.unpack(told["hash"][int(k)].as_py())[0] for k in np.flatnonzero(kind == SEEDS)]
+        self.seeds = np.unique(np.concatenate(seeds)) if seeds else np.zeros(0, np.uint64)
+        self.distinct: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held: list[tuple[np.ndarray, ...]] = []
+
+    def note(self, data: np.ndarray, p: np.ndarray, h: np.ndarray, first: np.ndarray, last: np.ndarray, doc: np.ndarray, named: np.ndarray, base: int, text: int) -> None:
+        """Holds a slice's distinct strings, and which of these its hot anchors stand for."""
+        hot = np.flatnonzero((X.lookup(X.upper(h), self.seeds) >= 0) & named[doc]) if len(self.seeds) else ()
+        if not len(hot):
+            return
+        v, s, _ = strings_of(p, first[hot], last[hot], self.length, self.bits)
+        at, which = distinct(v, data, s, self.length)
+        self.distinct.append((v[at], _rows(data, s[at], self.length)))
+        self.held.append((base + first[hot], base + last[hot], text + doc[hot], which.astype(np.int32)))
+
+    def struck(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(begins, ends, texts) of the bytes in strings that a smaller document has, slice by slice."""
+        if not self.held:
+            return
+        sizes = [len(v) for v, _ in self.distinct]
+        v, raw = (np.concatenate(x) for x in zip(*self.distinct, strict=True))
+        self.distinct.clear()
+        first, number = distinct(v, raw.ravel(), np.arange(len(v)) * self.length, self.length)
+        least = np.full(len(first), NEVER)
+        cut = np.concatenate([[0], np.searchsorted(v[first], X.bounds(len(self.parts), 64), "right")])
+        place = {name: k for k, name in enumerate(self.parts)}
+        for part, doc in zip(self.told["part"].to_pylist(), self.told["doc"].to_pylist(), strict=True):
+            least[cut[place[part]] : cut[place[part] + 1]] = np.frombuffer(doc, np.int64)
+        end = np.cumsum(sizes)
+        for (first, last, text, which), a, z in zip(self.held, end - sizes, end, strict=True):
+            n = last - first + 1
+            s = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            text = np.repeat(text, n)
+            gone = least[number[a:z][which]] < ids[text]
+            s, text = s[gone], text[gone]
+            head = np.flatnonzero(np.append(True, (s[1:] != s[:-1] + 1) | (text[1:] != text[:-1]))[: len(s)])  # runs of strings
+            yield s[head], s[np.append(head[1:], len(s)) - 1] + self.length if len(head) else s, text[head]
 
 
 def _by_name(found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -528,6 +587,16 @@ def _by_name(found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key[order], runs[order], least[order]
 
 
+def _spans(begin: np.ndarray, end: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begins, ends, texts) of the maximal runs that these stretches cover; a run stays in its text."""
+    order = np.argsort(begin)
+    begin, text, end = begin[order], text[order], np.maximum.accumulate(end[order])
+    new = np.ones(len(begin), bool)
+    new[1:] = (begin[1:] > end[:-1]) | (text[1:] != text[:-1])
+    head = np.flatnonzero(new)
+    return begin[head], end[np.append(head[1:], len(begin)) - 1] if len(head) else end, text[head]
+
+
 def dedup(docs: DataFrame, length: int = 50, cleaned: bool = False, hot_texts: int = HOT_TEXTS, bits: int = 64) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; with ``cleaned``, all columns of ``docs`` with what is kept as text.
 
@@ -550,56 +619,54 @@ def dedup(docs: DataFrame, length: int = 50, cleaned: bool = False, hot_texts: i
         named = ~ids.is_null().to_numpy()
         ids = ids.fill_null(0).to_numpy()
         kind = found["kind"].to_numpy() if found.num_rows else np.zeros(0, np.int64)
-        strings = HotStrings(own["text"], named, found.filter(pa.array((kind == STRINGS) | (kind == SEEDS))), parts, length, bits) if (kind == SEEDS).any() else None
+        strings = HotStrings(found.filter(pa.array((kind == STRINGS) | (kind == SEEDS))), parts, length, bits)
         misled = [X.unpack(found["hash"][int(k)].as_py())[0] for k in np.flatnonzero(kind == MISLED)]
         misled = np.unique(np.concatenate(misled)) if misled else np.zeros(0, np.uint64)
         answers_of = {k: _by_name(found.filter(pa.array(kind == k))) for k in (CONTEXTS, RENAMED)}
-        n_bytes, n_removed, n_spans, sha, kept_text = [], [], [], [], []
-        for i, j, data, offs in T.texts(own["text"], SLICE):
-            cover = np.zeros(len(data) + 1, np.int64)
-            if strings and len(data) >= length:
-                s = strings.struck(data, offs, ids[i:], named[i:])
-                np.add.at(cover, s, 1)
-                np.add.at(cover, s + length, -1)
-            if any(len(x[0]) for x in answers_of.values()) and len(data) >= length:
-                _, position, first, last, doc = anchors(data, offs, length)
-                h = context_hash(T.prefix_hash(data), position, first, last + length, bits)
-                other = X.lookup(h, misled) >= 0
-                h[other] = other_names(data, first[other], last[other] + length - first[other], position[other] - first[other])
-                for kinds, (key, runs, least) in answers_of.items():
-                    a, z = np.searchsorted(key, h), np.searchsorted(key, h, "right")
-                    n = np.where(other == (kinds == RENAMED), z - a, 0)
-                    k = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    row = np.repeat(np.arange(len(h)), n)
-                    use = (least[k] < ids[i + doc[row]]) & named[i + doc[row]]
-                    k, at = k[use], position[row[use]]
-                    np.add.at(cover, at - (runs[k, 1] - 1), 1)
-                    np.add.at(cover, at - runs[k, 0] + length, -1)
-            gone = np.cumsum(cover[:-1]) > 0
-            total = np.concatenate([[0], np.cumsum(gone)])
-            begin = gone.copy()
-            begin[1:] &= ~gone[:-1]
-            starts = offs[:-1][np.diff(offs) > 0]
-            begin[starts] = gone[starts]
-            spans = np.concatenate([[0], np.cumsum(begin)])
-            n_bytes.append(np.diff(offs))
-            n_removed.append(np.diff(total[offs]))
-            n_spans.append(np.diff(spans[offs]))
-            for d in range(j - i):
-                raw = data[offs[d] : offs[d + 1]]
-                if total[offs[d + 1]] > total[offs[d]]:
-                    raw = raw[~gone[offs[d] : offs[d + 1]]]
-                raw = raw.tobytes()
-                if cleaned:
-                    kept_text.append(raw.decode("utf-8", "ignore"))
-                else:
-                    sha.append(hashlib.sha256(raw).hexdigest())
+        flat, starts = T.utf8(own["text"])
+        covers: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 3]
+        for i, j in T.slices(starts, SLICE) if any(len(x[0]) for x in answers_of.values()) or len(strings.seeds) else ():
+            data, offs = flat[starts[i] : starts[j]], starts[i : j + 1] - starts[i]
+            seed, position, first, last, doc = anchors(data, offs, length)
+            if not len(seed):
+                continue
+            p = T.prefix_hash(data)
+            strings.note(data, p, seed, first, last, doc, named[i:], starts[i], i)
+            h = context_hash(p, position, first, last + length, bits)
+            other = X.lookup(h, misled) >= 0
+            h[other] = other_names(data, first[other], last[other] + length - first[other], position[other] - first[other])
+            for kinds, (key, runs, least) in answers_of.items():
+                a = np.searchsorted(key, h)
+                row = np.flatnonzero((other == (kinds == RENAMED)) & (key[np.minimum(a, len(key) - 1)] == h)) if len(key) else np.zeros(0, np.int64)
+                n = np.searchsorted(key, h[row], "right") - a[row]
+                k = np.repeat(a[row] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                row = np.repeat(row, n)
+                use = (least[k] < ids[i + doc[row]]) & named[i + doc[row]]
+                k, row = k[use], row[use]
+                at = starts[i] + position[row]
+                covers.append((at - (runs[k, 1] - 1), at - runs[k, 0] + length, i + doc[row]))
+        covers.extend(strings.struck(ids))
+        begin, end, text = _spans(*(np.concatenate(x) for x in zip(*covers, strict=True)))
+        n_spans = np.bincount(text, minlength=len(ids))
+        n_removed = np.zeros(len(ids), np.int64)
+        np.add.at(n_removed, text, end - begin)
+        sha, kept_text = [], []
+        view, at, cut, begin, end = memoryview(flat), starts.tolist(), np.concatenate([[0], np.cumsum(n_spans)]).tolist(), begin.tolist(), end.tolist()
+        for d in range(len(ids)):
+            a, z = cut[d], cut[d + 1]
+            kept_bytes = [view[x:y] for x, y in zip([at[d], *end[a:z]], [*begin[a:z], at[d + 1]], strict=True)]
+            if cleaned:
+                kept_text.append(b"".join(kept_bytes).decode("utf-8", "ignore"))
+            else:
+                digest = hashlib.sha256()
+                for x in kept_bytes:
+                    digest.update(x)
+                sha.append(digest.hexdigest())
         X.trim()
         if cleaned:
             new = pa.array(kept_text, pa.string(), mask=own["text"].is_null().to_numpy())
             return pa.table([new if f.name == "text" else own[f.name] for f in kept], names=[f.name for f in kept])
-        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.table({"doc_id": own["doc_id"], "n_bytes": join(n_bytes), "n_removed": join(n_removed), "n_spans": join(n_spans), "kept_sha256": pa.array(sha, pa.string())})
+        return pa.table({"doc_id": own["doc_id"], "n_bytes": np.diff(starts), "n_removed": n_removed, "n_spans": n_spans, "kept_sha256": pa.array(sha, pa.string())})
 
     schema = StructType(kept) if cleaned else f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     found = dealt.groupBy("__shard").cogroup(answers.groupBy("shard")).applyInArrow(one, schema)

@@ -123,10 +123,14 @@ LONG = 64
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
 
 
+def eight(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number."""
+    return np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))[at]
+
+
 def _eight(padded: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on as a number; those beyond ``left`` are zero. ``padded`` has eight bytes to spare."""
-    rows = np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1))[at]
-    return rows.view("<u8").ravel() & _MASK[np.minimum(left, 8)]
+    return eight(padded, at) & _MASK[np.minimum(left, 8)]
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

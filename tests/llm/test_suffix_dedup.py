@@ -64,6 +64,41 @@ def test_misleading_hashes_change_nothing(spark, sf, docs_of):
             assert check(docs.union(docs.selectExpr("doc_id + 1000", "concat('x', text)", "lang", "source", "n_chars")), hot_texts=hot, bits=bits) > 1000
 
 
+def test_hot_strings_take_one_pass(monkeypatch):
+    """A shard finds the anchors of its texts once, whether seeds are hot or not, and strings that one shard alone sent are not sorted."""
+    rng = random.Random(5)
+    line = "a line that stands in every one of these texts, with other words on both sides of it"
+    data = np.frombuffer("".join("".join(rng.choice("abcdefgh ") for _ in range(80)) + line for _ in range(30)).encode(), np.uint8)
+    offs = np.arange(31) * (80 + len(line))
+    h, _, first, last, doc = S.anchors(data, offs, 50)
+    p = S.T.prefix_hash(data)
+    v, s, k = S.strings_of(p, first, last, 50)
+    v, raw, least = S._least(v, data, s, 50, doc[k])
+    told = {"shard": [7, 8], "kind": [S.STRINGS] * 2, "part": [0, 0], "data": [S.squeezed(raw[:-9]), S.squeezed(raw[-19:])], "size": [v[:-9].tobytes(), v[-19:].tobytes()], "least": [S.squeezed(least[:-9]), S.squeezed(least[-19:] - 100)]}
+    sorted_rows, sort = [], S.suffix_sort
+    monkeypatch.setattr(S, "suffix_sort", lambda data, start, *a: sorted_rows.append(len(start)) or sort(data, start, *a))
+    got = S._strings_told(S.pa.table(told), 50)["doc"].to_pylist()
+    assert sum(sorted_rows) == 20
+    want = np.concatenate([least[:-19], least[-19:] - 100])
+    assert np.array_equal(np.frombuffer(got[0], np.int64), want[:-9]) and np.array_equal(np.frombuffer(got[1], np.int64), want[-19:])
+    found = S.HotStrings(S.pa.table({"kind": [S.SEEDS, S.STRINGS], "part": [0, 0], "hash": [S.X.pack(np.unique(S.X.upper(h))), b""], "doc": [b"", least.tobytes()]}), [0], 50, 64)
+    monkeypatch.setattr(S, "anchors", None)
+    found.note(data, p, h, first, last, doc, np.ones(30, bool), 0, 0)
+    begin, end, text = S._spans(*(np.concatenate(x) for x in zip(*found.struck(np.arange(30)), strict=True)))
+    assert text.tolist() == list(range(1, 30)) and (end - begin).min() >= len(line)
+
+
+def test_only_contexts_that_may_share_a_string_are_sorted():
+    """Contexts that have a seed in common, but no more of the bytes that every string holds, are related to none."""
+    rng = random.Random(6)
+    seed, some, other = "the seed in common", *("".join(rng.choice("abcdefgh ") for _ in range(64)) for _ in range(2))
+    texts = [some[:32] + seed + some[32:], other[:32] + seed + other[32:], some[:32] + seed + other[32:], "".join(reversed(some[:32])) + seed + "".join(reversed(some[32:]))]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    n = len(texts)
+    related = lambda k: S._related(S._near(S.T.prefix_hash(data), np.arange(n)[k] * 82, np.full(len(k), 82), np.full(len(k), 32), 50, 0)).tolist()
+    assert related([0, 1]) == [False, False] and related([0, 1, 2, 3]) == [True, True, True, False]
+
+
 def test_a_hot_seed_in_many_texts(docs_of):
     same = "this sentence stands in all of these documents, whatever else they may hold, word by word. "
     rng = random.Random(1)

@@ -145,13 +145,17 @@ def import_graph(spark, sf_dir):
 # ---- dumps ----
 
 
+#: Keys of which a nation's come into one line, so that lines keep their length as customers get more, as those of dumps do.
+_A_LINE = 25_000
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as INSERT lines of a page dump, a line a nation, with names that need every kind of escape."""
+    """Customers as INSERT lines of a page dump, a line for a nation's among ``_A_LINE`` keys, with names that need every kind of escape."""
     c = table(spark, sf_dir, "customer")
     name = F.concat(F.col("c_name"), F.lit("_(a,b)'\"\\"), F.col("c_mktsegment"))
     row = dumps.insert_line("page", F.col("c_custkey").cast("string"), F.lit("0"), dumps.quoted(name), F.lit("NULL"))
     line = F.concat(F.lit("INSERT INTO `page` VALUES "), F.array_join(F.array_sort(F.collect_list(row)), ","), F.lit(";"))
-    return c.groupBy("c_nationkey").agg(line.alias("value")).select(F.lit("xx").alias("lang"), F.lit("20240101").alias("date"), F.lit("page").alias("table"), "value")
+    return c.groupBy("c_nationkey", F.floor(F.col("c_custkey") / _A_LINE)).agg(line.alias("value")).select(F.lit("xx").alias("lang"), F.lit("20240101").alias("date"), F.lit("page").alias("table"), "value")
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS page_id, '0' AS namespace, replace(c_name || '_(a,b)''\"\\' || c_mktsegment, '_', ' ') AS title FROM customer")

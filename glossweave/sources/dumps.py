@@ -104,8 +104,9 @@ def records(lines: DataFrame, value: str = "value", strict: bool = False) -> Dat
     if strict:
         left = _left_over(text)
         every = F.when(F.contains(left, F.lit("(")), F.raise_error(F.concat(F.lit("malformed record: "), F.substring(left, 1, 200)))).otherwise(every)
-    found = lines.select(*rest, F.is_valid_utf8(F.col(value)).alias("__valid"), F.explode(every).alias("__record"))
-    found = found.where(F.col("__valid") | ~F.contains(F.col("__record"), F.lit("�")))
+    # chosen before they are exploded: what names the line afterwards has the line copied to each of its records
+    whole = F.when(F.is_valid_utf8(F.col(value)), every).otherwise(F.filter(every, lambda r: ~F.contains(r, F.lit("�"))))
+    found = lines.select(*rest, F.explode(whole).alias("__record"))
     each = F.transform(F.regexp_extract_all(F.col("__record"), F.lit(_EACH), F.lit(1)), unescaped)
     return found.select(*rest, each.alias("fields"))
 

@@ -1,5 +1,6 @@
 """Small graphs with answers worked out by hand."""
 
+import re
 import uuid
 
 import numpy as np
@@ -17,6 +18,7 @@ from glossweave.operators import layout as L
 from glossweave.operators import reconcile as B
 from glossweave.operators import render as V
 from glossweave.operators.components import connected_components
+from glossweave.plans import ingest_queries
 from glossweave.sources import dumps, store
 
 G1 = [("de:1", "en:1"), ("de:1", "en:1"), ("de:1", "fr:1"), ("en:2", "fr:1"), ("en:2", "pl:1"), ("en:2", "pl:1")]
@@ -165,6 +167,24 @@ def test_bare_fields_and_malformed_records(spark):
         dumps.records(df, strict=True).collect()
 
 
+def test_lines_are_not_copied_to_their_records(spark):
+    df = spark.createDataFrame([("xx", b"INSERT INTO `x` VALUES (1,'a'),(2,'\xff'),(3,'b');"), ("yy", "INSERT INTO `x` VALUES (4,'\ufffd');".encode()), ("zz", None)], "lang string, value binary")
+    for strict in (False, True):
+        found = dumps.records(df.selectExpr("lang", "cast(value as string) as value").repartition(1), strict=strict)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        carried = re.findall(r"\[([^\[\]]*)\], false, \[__record#\d+\]", plan)
+        assert carried and not any("value" in c for c in carried)
+        assert sorted((r["lang"], *r["fields"]) for r in found.collect()) == [("xx", "1", "a"), ("xx", "3", "b"), ("yy", "4", "\ufffd")]
+
+
+def test_dump_lines_keep_their_length(spark, tmp_path):
+    spark.range(60_000).selectExpr("id as c_custkey", "concat('c_', id) as c_name", "3 as c_nationkey", "'m' as c_mktsegment").write.parquet(str(tmp_path / "customer.parquet"))
+    sizes = [r["n"] for r in ingest_queries._lines(spark, str(tmp_path)).selectExpr("size(split(value, ',0,')) - 1 as n").collect()]
+    assert sum(sizes) == 60_000 and max(sizes) <= ingest_queries._A_LINE
+    got = ingest_queries.dump_roundtrip(spark, str(tmp_path))
+    assert got.count() == 60_000 and got.where("title = concat('c ', page_id, ' (a,b)', chr(39), chr(34), chr(92), 'm')").count() == 60_000
+
+
 def test_undivided_dumps_are_split_and_read_back(spark, tmp_path):
     text = "INSERT INTO `lost` VALUES (0);\n" + "".join(f"-- Table structure for table `{t}`\nCREATE\nINSERT INTO `{t}` VALUES ({k},0,'{t}_{k}');\nINSERT INTO `{t}` VALUES (9,0,'z');\n" for k, t in enumerate(("page", "page_props", "redirect")))
     for lang in ("pt_br", "de"):

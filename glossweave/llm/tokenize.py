@@ -5,14 +5,15 @@ space encode on their own; they are looked up by 64-bit hashes and compared with
 character, so the parts between spaces (each with its leading space) do; a text in which white space stands before a
 space is encoded whole, since there runs of white space could form one piece. Each part is looked up once and its ids
 kept in a bounded table of the process. Texts that hold the content of an added token, in whatever case, and texts with a
-part whose hash misled are encoded whole. All ways give the library's ids for the whole text.
+part whose hash misled are encoded whole. Where white space is dropped, parts of nothing but small letters of ASCII and
+Latin-1 are each one piece that normalizing leaves as it is, so the library is asked for them without its normalizer and
+its regular expression. All ways give the library's ids for the whole text.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from itertools import groupby
 from unicodedata import is_normalized
 
 import numpy as np
@@ -23,8 +24,8 @@ from glossweave.llm import text as T
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Most parts whose ids one process keeps; beyond it the table starts anew.
-KEEP = 600_000
+#: Most parts, and bytes of parts, whose ids one process keeps; beyond either the table starts anew.
+KEEP, KEEP_BYTES = 900_000, 1 << 25
 #: Parts encoded in one call.
 TOGETHER = 8192
 #: ASCII bytes that are neither letters, digits nor white space.
@@ -32,6 +33,10 @@ _SIGN = ~T.ALNUM & T.SOLID
 _SIGN[:0x21] = _SIGN[0x41:0x5B] = _SIGN[0x7F] = False
 _TIP = np.zeros(256, bool)
 _TIP[0x30:0x3A] = _TIP[0x41:0x5B] = _TIP[0x61:0x7B] = True
+#: Bytes of small letters of ASCII and, after 0xC3, of Latin-1: no other valid UTF-8 is made of these alone.
+_SMALL = np.zeros(256, bool)
+_SMALL[0x61:0x7B] = _SMALL[0xC3] = _SMALL[0x9F:0xC0] = True
+_SMALL[0xB7] = False  # the division sign
 _open: dict[str, "Encoder"] = {}
 
 
@@ -42,17 +47,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Codes(dict):
-    """Numbers keys in the order in which they are first asked for."""
-
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        return n
-
-
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.plain = Tokenizer.from_file(path)
         self.marks = sorted({t.content for t in self.plain.get_added_tokens_decoder().values()})
@@ -60,6 +58,9 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.drops_space = any(t.endswith("</w>") for t in vocab)
+        if self.drops_space:  # for parts of small letters alone; the model is shared
+            self.lean = Tokenizer(self.tokenizer.model)
+            self.lean.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         #: Of each id, the bytes that it stands for: one for each character but an end mark.
         self.bytes = np.zeros(max(vocab.values()) + 2, np.int64)
         for token, i in vocab.items():
@@ -67,71 +68,120 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.at = Codes()
+        #: Open addressing: the number of the part whose hash belongs there or before, and the hash of each part.
+        self.slot, self.key = np.full(1 << 17, -1, np.int32), np.zeros(1 << 16, np.uint64)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 16, np.int64)
         self.known = self.used = 0
         #: The bytes of all known parts in a row, and where each begins.
         self.raw, self.raw_at = np.zeros(1 << 18, np.uint8), np.zeros(1 << 16, np.int64)
 
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The numbers of the parts that have these hashes; -1 where there is none."""
+        mask = np.uint64(len(self.slot) - 1)
+        code = self.slot[h & mask]
+        live = np.flatnonzero((self.key[code] != h) & (code >= 0))
+        step = np.uint64(0)
+        while len(live):
+            step += np.uint64(1)
+            code[live] = found = self.slot[(h[live] + step) & mask]
+            live = live[(self.key[found] != h[live]) & (found >= 0)]
+        return code
+
+    def _place(self, h: np.ndarray, first: int) -> None:
+        """Enters distinct hashes that are not there, numbered from ``first`` on."""
+        mask = np.uint64(len(self.slot) - 1)
+        code, at = np.arange(first, first + len(h), dtype=np.int32), h & mask
+        while len(code):
+            free = self.slot[at] < 0
+            self.slot[at[free]] = code[free]
+            late = self.slot[at] != code
+            code, at = code[late], (at[late] + np.uint64(1)) & mask
+
     def _size(self, part: str) -> int:
         """Bytes of all tokens of a part."""
         if part.isascii():
             return len(part)
-        if self.drops_space and not is_normalized("NFC", part):
+        if not is_normalized("NFC", part):
             part = self.tokenizer.normalizer.normalize_str(part)
         return len(part.encode())
 
-    def _together(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _together(self, raw: np.ndarray, size: np.ndarray, late: bool) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each part) of parts encoded as one text, cut by the bytes that tokens stand for.
 
-        If a part's end is not a token's end there, each part is encoded for itself."""
-        if self.drops_space or all(p[0] == " " for p in parts):
-            ids = np.array(self.tokenizer.encode_batch_fast([("" if not self.drops_space else " ").join(parts)], add_special_tokens=False)[0].ids, np.uint32)
+        ``raw`` has the bytes of the parts, which are all ``late`` or all not (see ``_late``). If a part's end is not a
+        token's end there, each part is encoded for itself."""
+        edge = np.concatenate([[0], np.cumsum(size)])
+        parts = None
+        if late or not self.drops_space:
+            text = raw.tobytes()
+            parts = [text[i:j].decode() for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        if late or self.drops_space:
+            if self.drops_space:
+                spaced = np.full(len(raw) + len(size), 0x20, np.uint8)
+                spaced[np.arange(len(raw)) + np.repeat(np.arange(len(size)), size)] = raw
+                ends = np.cumsum([self._size(p) for p in parts]) if late else edge[1:]
+            else:
+                spaced, ends = raw, edge[1:]
+            tokenizer = self.lean if self.drops_space and not late else self.tokenizer
+            ids = np.array(tokenizer.encode_batch_fast([spaced.tobytes().decode()], add_special_tokens=False)[0].ids, np.uint32)
             reach = np.concatenate([[0], np.cumsum(self.bytes[ids])])
-            ends = np.cumsum([self._size(p) for p in parts])
             at = np.searchsorted(reach, ends)
             if reach[-1] == ends[-1] and np.array_equal(reach[at], ends):
                 return ids, np.diff(at, prepend=0)
+        if parts is None:
+            text = raw.tobytes()
+            parts = [text[i:j].decode() for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
         each = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
         return np.array([i for ids in each for i in ids], np.uint32), np.array([len(ids) for ids in each], np.int64)
 
-    def _add(self, parts: list[str]) -> None:
-        for group in self._groups(parts):
-            ids, n = self._together(group)
-            used = self.used
-            self.used += len(ids)
-            while len(self.ids) < self.used:  # doubling keeps this linear
-                self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
-            self.ids[used : self.used] = ids
-            while len(self.start) <= self.known + len(n):
-                self.start = np.concatenate([self.start, np.zeros(len(self.start), np.int64)])
-            self.start[self.known + 1 : self.known + len(n) + 1] = used + np.cumsum(n)
-            self.known += len(n)
-
-    def _remember(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> None:
-        """The bytes of new parts, in the order of their numbers; the last ones known are the last numbers."""
-        size = e - s
-        first = self.known - len(s)
+    def _late(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Which parts come after the others: where white space is dropped, those not of small letters alone; elsewhere, those that begin with a space."""
+        if not self.drops_space:
+            return data[s] == 0x20
+        other = np.concatenate([[0], np.cumsum(~_SMALL[data], dtype=np.int32)])
+        return other[e] != other[s]
+
+    def _add(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray) -> None:
+        """Encodes new parts (of distinct hashes) and keeps their ids, bytes and hashes."""
+        late = self._late(data, s, e)
+        order = np.argsort(late, kind="stable")
+        s, e, h = s[order], e[order], h[order]
+        n_early, first, size = len(s) - int(late.sum()), self.known, e - s
+        self._remember(data, s, size, h)
+        for lo, hi, after in ((0, n_early, False), (n_early, len(s), True)):
+            for i in range(lo, hi, TOGETHER):
+                j = min(hi, i + TOGETHER)
+                ids, n = self._together(self.raw[self.raw_at[first + i] : self.raw_at[first + j]], size[i:j], after)
+                used = self.used
+                self.used += len(ids)
+                while len(self.ids) < self.used:  # doubling keeps this linear
+                    self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+                self.ids[used : self.used] = ids
+                self.start[first + i + 1 : first + j + 1] = used + np.cumsum(n)
+
+    def _remember(self, data: np.ndarray, s: np.ndarray, size: np.ndarray, h: np.ndarray) -> None:
+        """The bytes and hashes of new parts, which take the next numbers; room for where their ids begin."""
+        first = self.known
+        self.known += len(s)
         total = int(self.raw_at[first] + size.sum())
         while len(self.raw) < total:
             self.raw = np.concatenate([self.raw, np.zeros(len(self.raw), np.uint8)])
-        while len(self.raw_at) <= self.known:
-            self.raw_at = np.concatenate([self.raw_at, np.zeros(len(self.raw_at), np.int64)])
+        while len(self.key) <= self.known:
+            self.key, self.start, self.raw_at = (np.concatenate([x, np.zeros(len(x), x.dtype)]) for x in (self.key, self.start, self.raw_at))
         self.raw_at[first + 1 : self.known + 1] = self.raw_at[first] + np.cumsum(size)
         pos = np.repeat(s - np.cumsum(size) + size, size) + np.arange(size.sum())
         self.raw[self.raw_at[first] : total] = data[pos]
-
-    @staticmethod
-    def _groups(parts: list[str]) -> Iterator[list[str]]:
-        """Runs of parts in order; those without a leading space, with which texts begin, stand apart."""
-        for k in range(0, len(parts), TOGETHER):
-            for _, run in groupby(parts[k : k + TOGETHER], lambda p: p[0] == " "):
-                yield list(run)
+        self.key[first : self.known] = h
+        if len(self.slot) < 2 * len(self.key):
+            self.slot = np.full(2 * len(self.key), -1, np.int32)
+            self._place(self.key[: self.known], 0)
+        else:
+            self._place(h, first)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, offsets) of an Arrow column of texts; null counts as empty."""
-        if self.known > KEEP:
+        if self.known > KEEP or self.raw_at[self.known] > KEEP_BYTES:
             self.clear()
         codes, counts, whole = self._by_hash(texts)
         start = self.start
@@ -160,18 +210,13 @@ class Encoder:
             s, e, first, runs = _spaced(data, offs)
             apart.append(runs)
         s, e, first = _without_tails(data, s, e, first)
-        u, at, inverse = np.unique(T.word_hashes(data, s, e), return_index=True, return_inverse=True)
-        # parts without a leading space stand together, so that the others can be encoded as one text
-        order = np.argsort(data[s[at]] == 0x20, kind="stable") if len(at) else at
-        known = len(self.at)
-        codes = np.empty(len(u), np.int64)
-        codes[order] = np.fromiter(map(self.at.__getitem__, u[order].tolist()), np.int64, len(u))
-        fresh = at[order][codes[order] >= known]
-        if len(fresh):
-            raw = data.tobytes()
-            self._add([raw[i:j].decode() for i, j in zip(s[fresh].tolist(), e[fresh].tolist(), strict=True)])
-            self._remember(data, s[fresh], e[fresh])
-        found = codes[inverse.ravel()]
+        h = T.word_hashes(data, s, e)
+        found = self._find(h)
+        miss = np.flatnonzero(found < 0)
+        if len(miss):
+            at = miss[np.unique(h[miss], return_index=True)[1]]
+            self._add(data, s[at], e[at], h[at])
+            found[miss] = self._find(h[miss])
         size = e - s
         misled = size != self.raw_at[found + 1] - self.raw_at[found]
         alike = np.flatnonzero(~misled)
@@ -206,9 +251,9 @@ def _spaced(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _without_tails(low: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Parts whose signs after a last ASCII letter or digit stand apart: a piece ends there, and signs alone are one piece."""
-    solid = np.where(_SIGN[low], 0, np.arange(1, len(low) + 1))
-    last = np.maximum.accumulate(solid) if len(low) else solid  # one past the last byte that is no sign
-    cut = last[e - 1] if len(e) else e
+    signed, solid, cut = np.flatnonzero(_SIGN[low[e - 1]]), np.flatnonzero(~_SIGN[low]), e.copy()
+    k = np.searchsorted(solid, e[signed])
+    cut[signed] = np.append(solid, -1)[k - 1] + 1  # one past the last byte that is no sign
     apart = (cut > s) & (cut < e)
     apart[apart] = _TIP[low[cut[apart] - 1]]
     before = np.concatenate([[0], np.cumsum(apart)])
